@@ -35,7 +35,8 @@ def register(name: str, sql: str | None = None):
 
 
 def rnd(df: DataFrame, places: dict[str, int]) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), p) for c, p in places.items()})
+    # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines print zeros alike
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), p) + F.lit(0.0) for c, p in places.items()})
 
 
 def T(spark, sf, name):
@@ -533,3 +534,219 @@ FROM r WINDOW w AS (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT R
 
 register("kaplan_meier", KM_SQL)(
     lambda s, sf: rnd(st.kaplan_meier(dv.user_survival(s, sf), "duration", "event"), {"survival": 8}))
+
+# ------------------------------------------------------- supervised learning
+from framewise.operators import ml  # noqa: E402
+from framewise.operators import unsupervised as un  # noqa: E402
+from framewise.operators import forecast as fc  # noqa: E402
+
+register("label_encode", """
+SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS l_returnflag,
+       dense_rank() OVER (ORDER BY l_linestatus) - 1 AS l_linestatus FROM lineitem""")(
+    lambda s, sf: ml.label_encode(T(s, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
+                                                                "l_linestatus"), ["l_returnflag", "l_linestatus"]))
+
+register("standard_scale", """
+SELECT l_orderkey, l_linenumber,
+  round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) + 0.0 AS l_quantity,
+  round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER (), 6) + 0.0
+    AS l_extendedprice
+FROM lineitem""")(
+    lambda s, sf: rnd(ml.standard_scale(T(s, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                                                      "l_extendedprice"),
+                                        ["l_quantity", "l_extendedprice"]), {"l_quantity": 6, "l_extendedprice": 6}))
+
+FEATURE_PREP_SQL = W("lineitem_text_num") + """,
+c AS (SELECT l_orderkey, l_linenumber, TRY_CAST(l_quantity AS DOUBLE) AS q,
+             CAST(dense_rank() OVER (ORDER BY l_orderkey % 7) - 1 AS DOUBLE) AS k FROM lineitem_text_num),
+f AS (SELECT l_orderkey, l_linenumber, coalesce(q, avg(q) OVER ()) AS q, k FROM c)
+SELECT l_orderkey, l_linenumber, round((q - avg(q) OVER ()) / stddev_pop(q) OVER (), 6) + 0.0 AS l_quantity__z,
+       round((k - avg(k) OVER ()) / stddev_pop(k) OVER (), 6) + 0.0 AS bucket__z FROM f"""
+
+
+def _feature_prep(s, sf):
+    d = dv.lineitem_text_num(s, sf).withColumn("bucket", (F.col("l_orderkey") % 7).cast("string"))
+    d = d.withColumn("l_quantity", F.expr("try_cast(l_quantity AS DOUBLE)"))
+    out = ml.prepare_features(d, ["l_quantity", "bucket"])
+    return rnd(out.select("l_orderkey", "l_linenumber", "l_quantity__z", "bucket__z"),
+               {"l_quantity__z": 6, "bucket__z": 6})
+
+
+register("feature_prep", FEATURE_PREP_SQL)(_feature_prep)
+
+
+def _split_sizes(s, sf):
+    o = T(s, sf, "orders")
+    tr, te = ml.split(o, 0.2, 42, ["o_orderkey"])
+    return (tr.select(F.lit("train").alias("part"), "o_orderkey")
+            .unionByName(te.select(F.lit("test").alias("part"), "o_orderkey"))
+            .groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("keys")))
+
+
+register("split")(_split_sizes)
+
+register("linear_coefficients", """
+SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coefficient FROM lineitem
+UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem""")(
+    lambda s, sf: rnd(ml.linear_coefficients(T(s, sf, "lineitem"), ["l_quantity"], "l_extendedprice"),
+                      {"coefficient": 4}))
+
+register("regression_metrics", """
+SELECT count(*) AS n, round(avg(power(l_extendedprice - (1000 * l_quantity + 500), 2)), 2) AS mse,
+       round(sqrt(avg(power(l_extendedprice - (1000 * l_quantity + 500), 2))), 6) AS rmse,
+       round(1 - sum(power(l_extendedprice - (1000 * l_quantity + 500), 2))
+             / (var_pop(l_extendedprice) * count(*)), 8) AS r2
+FROM lineitem""")(
+    lambda s, sf: rnd(ml.regression_metrics(T(s, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("label"), (F.lit(1000) * F.col("l_quantity") + 500).alias("prediction"))),
+        {"mse": 2, "rmse": 6, "r2": 8}))
+
+_PRED_ORDERS = ("CASE WHEN o_totalprice >= 150000 THEN 'F' WHEN o_totalprice >= 50000 THEN 'O' ELSE 'P' END")
+
+
+def _orders_pred(s, sf):
+    return T(s, sf, "orders").select(F.col("o_orderstatus").alias("label"),
+                                     F.expr(_PRED_ORDERS).alias("prediction"))
+
+
+CLASS_REPORT_SQL = f"""
+WITH p AS (SELECT o_orderstatus AS a, {_PRED_ORDERS} AS p FROM orders),
+labels AS (SELECT a AS c FROM p UNION SELECT p FROM p),
+per AS (SELECT c AS class,
+          (SELECT count(*) FROM p WHERE a = c AND p = c) AS tp,
+          (SELECT count(*) FROM p WHERE a = c) AS support,
+          (SELECT count(*) FROM p WHERE p = c) AS npred FROM labels),
+m AS (SELECT class, support, tp,
+        coalesce(CAST(tp AS DOUBLE) / nullif(npred, 0), 0) AS precision,
+        coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0) AS recall FROM per),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m)
+SELECT class, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1, support FROM f
+UNION ALL SELECT 'accuracy', round(sum(tp) / sum(support), 8), round(sum(tp) / sum(support), 8),
+                 round(sum(tp) / sum(support), 8), sum(support) FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8), sum(support) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 8),
+                 round(sum(recall * support) / sum(support), 8), round(sum(f1 * support) / sum(support), 8),
+                 sum(support) FROM f"""
+
+register("classification_report", CLASS_REPORT_SQL)(
+    lambda s, sf: rnd(ml.classification_report(_orders_pred(s, sf), "label", "prediction"),
+                      {"precision": 8, "recall": 8, "f1": 8}))
+
+register("confusion_matrix", f"""
+SELECT o_orderstatus AS actual, {_PRED_ORDERS} AS predicted, count(*) AS count FROM orders GROUP BY 1, 2""")(
+    lambda s, sf: ml.confusion_matrix(_orders_pred(s, sf), "label", "prediction"))
+
+_REG_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+def _docs_labelled(s, sf):
+    return T(s, sf, "documents").select("doc_id", "n_chars", "lang", "source").join(
+        T(s, sf, "labels"), "doc_id")
+
+
+for _kind in ("linear", "rf_reg", "gbt_reg"):
+    def _train_reg(s, sf, kind=_kind):
+        extra = {"maxIter": 20} if kind == "gbt_reg" else {}
+        b, _ = ml.train(T(s, sf, "lineitem"), _REG_FEATURES, "l_extendedprice", kind, **extra)
+        return ml.model_report(b)
+    register(f"model_{_kind}")(_train_reg)
+
+for _kind in ("logistic", "rf_clf", "gbt_clf"):
+    def _train_clf(s, sf, kind=_kind):
+        extra = {"maxIter": 20} if kind == "gbt_clf" else {}
+        b, _ = ml.train(_docs_labelled(s, sf), ["n_chars", "lang", "source"], "quality", kind, **extra)
+        return ml.model_report(b)
+    register(f"model_{_kind}")(_train_clf)
+
+
+def _multiclass(s, sf):
+    b, pred = ml.train(T(s, sf, "orders"), ["o_totalprice", "o_orderpriority", "o_orderdate"], "o_orderstatus",
+                       "gbt_clf", maxIter=10)
+    return ml.confusion_matrix(pred.withColumn("actual_class", F.element_at(
+        F.array(*[F.lit(c) for c in b.classes]), F.col("label").cast("int") + 1)), "actual_class", "predicted_class")
+
+
+register("model_gbt_multiclass")(_multiclass)
+
+
+def _tuned(s, sf):
+    b, _ = ml.train(_docs_labelled(s, sf), ["n_chars", "lang", "source"], "quality", "rf_clf", tune=True,
+                    grid={"numTrees": [10, 20], "maxDepth": [5, 10]})
+    return ml.model_report(b)
+
+
+register("model_tuned_rf")(_tuned)
+
+
+def _score_roundtrip(s, sf):
+    import tempfile
+    from framewise.session import ensure_checkpoint_dir
+    orders = T(s, sf, "orders")
+    b, _ = ml.train(orders, ["o_totalprice", "o_orderpriority"], "o_orderstatus", "logistic")
+    base = ensure_checkpoint_dir(s)
+    path = tempfile.mkdtemp(prefix="model-", dir=base) if base.startswith("/") else base.rstrip("/") + "/model"
+    ml.save_model(b, path)
+    loaded = ml.load_model(s, path)
+    return ml.score(loaded, orders).select("o_orderkey", "predicted_class")
+
+
+register("score_saved_model")(_score_roundtrip)
+
+
+def _actual_vs_pred(s, sf):
+    b, pred = ml.train(T(s, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", "linear")
+    pts, (lo, hi) = ml.actual_vs_predicted(pred)
+    return pts.withColumns({"line_low": F.lit(lo), "line_high": F.lit(hi)})
+
+
+register("actual_vs_predicted")(_actual_vs_pred)
+
+# ------------------------------------------------------ unsupervised learning
+register("pca_embeddings")(
+    lambda s, sf: un.pca(T(s, sf, "embeddings"), k=3, array_col="embedding", keep=["vec_id", "label"]))
+register("pca_variance")(lambda s, sf: un.pca_variance(T(s, sf, "embeddings"), k=10, array_col="embedding"))
+register("pca_lineitem")(
+    lambda s, sf: un.pca(T(s, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k=2))
+register("kmeans_embeddings")(
+    lambda s, sf: un.kmeans(T(s, sf, "embeddings"), k=10, array_col="embedding", keep=["vec_id", "label"], n_init=3))
+register("cluster_counts")(
+    lambda s, sf: un.cluster_counts(un.kmeans(T(s, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                                              k=3, n_init=3)))
+
+
+def _centroids(s, sf):
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    m, vec = un.kmeans_fit(T(s, sf, "lineitem"), cols, k=3, n_init=3)
+    vec.unpersist()
+    return un.centroids(m, cols)
+
+
+register("centroids")(_centroids)
+register("elbow")(lambda s, sf: un.elbow(T(s, sf, "embeddings"), array_col="embedding", max_k=10))
+
+# ---------------------------------------------------------------- forecasting
+AR1_SQL = """
+WITH s AS (SELECT event_type, date_trunc('day', ts) AS t, avg(value) AS y FROM events GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) - 1 AS i,
+             count(*) OVER (PARTITION BY event_type) AS n,
+             lag(y) OVER (PARTITION BY event_type ORDER BY t) AS y1 FROM s),
+tr AS (SELECT * FROM i WHERE i < floor(n * 0.8)),
+c AS (SELECT event_type, regr_intercept(y, y1) AS c, regr_slope(y, y1) AS phi FROM tr GROUP BY 1)
+SELECT tr.event_type, round(c, 6) AS const, round(phi, 6) AS phi, count(y1) AS n_fitted,
+       round(sqrt(avg(power(y - (c + phi * y1), 2))), 6) AS rmse, round(avg(abs(y - (c + phi * y1))), 6) AS mae
+FROM tr JOIN c USING (event_type) GROUP BY tr.event_type, c, phi"""
+
+
+def _ar1(s, sf):
+    f = fc.arima_fit(T(s, sf, "events"), "ts", "value", ["event_type"], (1, 0, 0), every="day")
+    return rnd(f.select("event_type", "const", F.col("ar")[0].alias("phi"), "n_fitted", "rmse", "mae"),
+               {"const": 6, "phi": 6, "rmse": 6, "mae": 6})
+
+
+register("arima_ar1", AR1_SQL)(_ar1)
+register("arima_fit")(
+    lambda s, sf: fc.arima_fit(T(s, sf, "events"), "ts", "value", ["event_type"], (5, 1, 0), every="day"))
+register("arima_forecast")(
+    lambda s, sf: fc.arima_forecast(T(s, sf, "events"), "ts", "value", ["event_type"], (5, 1, 0), 10, every="day"))
+register("arima_daily_orders")(
+    lambda s, sf: fc.arima_forecast(dv.orders_daily(s, sf), "day", "total", [], (5, 1, 0), 10))
