@@ -42,6 +42,20 @@ def kpi_summary(df: DataFrame, col: str | None = None) -> DataFrame:
                   F.min(x).alias("minimum"))
 
 
+def kpi_trend(df: DataFrame, col: str, order_by: Sequence[str], max_points: int = 1000) -> DataFrame:
+    """G2 trend: the series in row order, averaged into at most ``max_points``
+    consecutive blocks (the reference draws every row). Row positions come
+    from the bucketed ordering, not a one-task window."""
+    from framewise.plans.ordered import row_index
+    n = df.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([], "point long, first_row long, rows long, value double")
+    idx = row_index(df.select(*[q(c) for c in order_by], as_double(df, col).alias("_v")), order_by, out="_i")
+    pt = F.floor(F.col("_i") * F.lit(min(max_points, n)) / F.lit(n)).cast("long")
+    return (idx.groupBy(pt.alias("point")).agg(F.min("_i").alias("first_row"), F.count(F.lit(1)).alias("rows"),
+                                               F.avg("_v").alias("value")).orderBy("point"))
+
+
 def bar_count(df: DataFrame, x: str) -> DataFrame:
     """Rows per category (null category dropped), sorted by category."""
     return (df.where(q(x).isNotNull()).groupBy(q(x).alias(x)).agg(F.count(F.lit(1)).alias("Count"))

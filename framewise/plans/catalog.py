@@ -750,3 +750,105 @@ register("arima_forecast")(
     lambda s, sf: fc.arima_forecast(T(s, sf, "events"), "ts", "value", ["event_type"], (5, 1, 0), 10, every="day"))
 register("arima_daily_orders")(
     lambda s, sf: fc.arima_forecast(dv.orders_daily(s, sf), "day", "total", [], (5, 1, 0), 10))
+
+# ------------------------------------------------------------ sources, schema
+from framewise.sources import files as fl, nested as ns, schema as sh, jdbc as jd  # noqa: E402
+from framewise.streaming import live_kpi as lk  # noqa: E402
+from framewise.operators import risk as rk  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh location under the shared checkpoint folder."""
+    import uuid
+    from framewise.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+register("flatten_json", """
+SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k"
+FROM events""")(lambda s, sf: ns.flatten_json_col(T(s, sf, "events"), "props"))
+
+register("convert_datetimes", W("events_text_time") + """
+SELECT event_id, TRY_STRPTIME(ts_mostly, '%Y-%m-%d %H:%M:%S') AS ts_mostly, ts_rarely, value
+FROM events_text_time""")(lambda s, sf: sh.convert_datetimes(dv.events_text_time(s, sf)))
+
+register("column_types", """
+SELECT * FROM (VALUES (0, 'event_id', 'bigint', 'numeric'), (1, 'ts_mostly', 'string', 'datetime'),
+                      (2, 'ts_rarely', 'string', 'categorical'), (3, 'value', 'double', 'numeric'))
+       AS t(position, "column", dtype, kind)""")(lambda s, sf: sh.column_types(dv.events_text_time(s, sf)))
+
+SQL_PASSTHROUGH = """SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total
+FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority ORDER BY o_orderpriority"""
+
+
+def _sql_query(s, sf):
+    T(s, sf, "orders").createOrReplaceTempView("orders")
+    return jd.query(s, SQL_PASSTHROUGH)
+
+
+register("sql_query", SQL_PASSTHROUGH)(_sql_query)
+
+
+def _csv_roundtrip(s, sf):
+    path = _scratch(s, "csv")
+    li = T(s, sf, "lineitem")
+    fl.write_csv(li, path)
+    return fl.read_csv(s, path, schema=li.schema)
+
+
+register("csv_roundtrip", "SELECT * FROM lineitem")(_csv_roundtrip)
+
+
+def _json_roundtrip(s, sf):
+    path = _scratch(s, "json")
+    o = T(s, sf, "orders")
+    o.write.mode("overwrite").json(path)
+    return fl.read_json(s, path, multi_line=False, schema=o.schema)
+
+
+register("json_roundtrip", "SELECT * FROM orders")(_json_roundtrip)
+
+# ------------------------------------------------------------------ streaming
+LIVE_SQL = """
+SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end,
+       round(avg(value), 6) AS avg_value, max(value) AS max_value, min(value) AS min_value, count(*) AS events
+FROM events GROUP BY 1, 2"""
+
+
+def _live(s, sf):
+    ev = T(s, sf, "events")
+    stream = lk.file_stream(s, sf, ev.schema, glob="events.parquet")
+    out, _ = lk.run_live_kpi(lk.live_kpi(stream, "ts", "value", "1 hour", "10 minutes"))
+    return rnd(lk.latest_windows(s, out), {"avg_value": 6})
+
+
+register("live_kpi", LIVE_SQL)(_live)
+
+LIVE_TYPE_SQL = """
+SELECT time_bucket(INTERVAL 1 day, ts) AS window_start, time_bucket(INTERVAL 1 day, ts) + INTERVAL 1 day AS window_end,
+       event_type, round(avg(value), 6) AS avg_value, max(value) AS max_value, min(value) AS min_value,
+       count(*) AS events
+FROM events GROUP BY 1, 2, 3"""
+
+
+def _live_by_type(s, sf):
+    ev = T(s, sf, "events")
+    stream = lk.file_stream(s, sf, ev.schema, glob="events.parquet")
+    out, _ = lk.run_live_kpi(lk.live_kpi(stream, "ts", "value", "1 day", "1 hour", keys=["event_type"]))
+    return rnd(lk.latest_windows(s, out, ["event_type"]), {"avg_value": 6})
+
+
+register("live_kpi_by_type", LIVE_TYPE_SQL)(_live_by_type)
+
+# ------------------------------------------------------------------ risk, trend
+register("risk_bands")(
+    lambda s, sf: rk.risk_bands(dv.orders_daily(s, sf), "total", ["day"], days=30, paths=200))
+
+TREND_SQL = """
+WITH r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT CAST(floor(i * least(100, n) / n) AS BIGINT) AS point, min(i) AS first_row, count(*) AS rows,
+       round(avg(o_totalprice), 4) AS value
+FROM r GROUP BY 1 ORDER BY 1"""
+
+register("kpi_trend", TREND_SQL)(
+    lambda s, sf: rnd(charts.kpi_trend(T(s, sf, "orders"), "o_totalprice", ["o_orderkey"], 100), {"value": 4}))

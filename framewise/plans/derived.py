@@ -86,6 +86,10 @@ SQL = {
     "events_dup": "SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 50 = 0",
     "events_dirty": """SELECT * FROM events_missing UNION ALL
         SELECT * FROM events_missing WHERE event_id % 50 = 0""",
+    "events_text_time": """SELECT event_id,
+        CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts_mostly,
+        CASE WHEN event_id % 5 < 3 THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts_rarely,
+        value FROM events""",
     "lineitem_text_num": """SELECT l_orderkey, l_linenumber,
         CASE WHEN l_orderkey % 13 = 0 THEN 'bad' ELSE CAST(l_quantity AS VARCHAR) END AS l_quantity,
         l_extendedprice FROM lineitem""",
@@ -105,7 +109,7 @@ SQL = {
 
 def with_sql(*names: str) -> str:
     """``WITH`` prefix defining the named derived tables (in dependency order)."""
-    order = ["events_missing", "events_dup", "events_dirty", "lineitem_text_num", "orders_daily",
+    order = ["events_missing", "events_dup", "events_dirty", "events_text_time", "lineitem_text_num", "orders_daily",
              "user_conversion", "user_survival"]
     need = set(names)
     if "events_dirty" in need:
