@@ -242,7 +242,8 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         va = F.col(f"saa{key}") - F.try_divide(sa * sa, n)
         vb = F.col(f"sbb{key}") - F.try_divide(sb * sb, n)
         r = F.when((va > 0) & (vb > 0) & (n > 1), F.try_divide(cov, F.sqrt(va * vb)))
-        r = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+        # clamp rounding overshoot; least/greatest would turn null into a bound
+        r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
         structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("corr")))
         if i != j:
             structs.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("corr")))

@@ -395,8 +395,8 @@ BOX_SQL = """
 WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.5) med,
                   quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem GROUP BY 1),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
-SELECT l.l_returnflag, count(*) AS count, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3,
-       round(lf, 4) AS lower_fence, round(uf, 4) AS upper_fence,
+SELECT l.l_returnflag, count(*) AS count, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+       round(lf, 6) AS lower_fence, round(uf, 6) AS upper_fence,
        min(CASE WHEN l_extendedprice BETWEEN lf AND uf THEN l_extendedprice END) AS whisker_low,
        max(CASE WHEN l_extendedprice BETWEEN lf AND uf THEN l_extendedprice END) AS whisker_high,
        CAST(sum(CASE WHEN l_extendedprice BETWEEN lf AND uf THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
@@ -405,7 +405,7 @@ GROUP BY l.l_returnflag, q1, med, q3, lf, uf ORDER BY 1"""
 
 register("box_stats", BOX_SQL)(
     lambda s, sf: rnd(charts.box_stats(T(s, sf, "lineitem"), "l_extendedprice", "l_returnflag"),
-                      {k: 4 for k in ("q1", "median", "q3", "lower_fence", "upper_fence")}))
+                      {k: 6 for k in ("q1", "median", "q3", "lower_fence", "upper_fence")}))
 
 register("violin_density")(
     lambda s, sf: charts.violin_density(T(s, sf, "lineitem"), "l_extendedprice", "l_returnflag"))

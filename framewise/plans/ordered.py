@@ -181,7 +181,7 @@ def rolling_mean(df: DataFrame, col: str, n: int, order_by: Sequence[str],
 
 def running_sum(df: DataFrame, col: str, order_by: Sequence[str], partition_by: Sequence[str] | None = None,
                 out: str | None = None, n_buckets: int | None = None) -> DataFrame:
-    """Cumulative sum (nulls skipped) along ``order_by``."""
+    """Cumulative sum along ``order_by``; nulls are skipped and stay null."""
     pb, ob = list(partition_by or []), list(order_by)
     d = bucketize(df, ob, n_buckets)
     x = clean_value(d, col).cast("double")
@@ -190,8 +190,8 @@ def running_sum(df: DataFrame, col: str, order_by: Sequence[str], partition_by:
     totals = totals.select(*pb, BUCKET, F.coalesce(F.sum("_t").over(wc), F.lit(0.0)).alias("_off"))
     j = _join_carry(d, totals, pb)
     local = F.sum(x).over(_pb_window(pb, ob, (Window.unboundedPreceding, 0)))
-    # a row before any non-null value has no running total
-    return j.withColumn(out or f"{col}_cumsum", F.when(local.isNotNull(), local + F.col("_off"))) \
+    # like pandas' cumsum: a missing value keeps a missing total at its row
+    return j.withColumn(out or f"{col}_cumsum", F.when(x.isNotNull(), local + F.col("_off"))) \
         .drop("_off", BUCKET)
 
 
