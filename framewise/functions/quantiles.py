@@ -15,13 +15,17 @@ distributed selection:
 4. a band with one distinct value is solved; a band holding at most
    ``collect_limit`` values is solved by sorting those few values.
 
-Each pass shrinks a band's width by ``bins``; the task state is checkpointed
-between passes. ``approx=True`` uses ``percentile_approx`` instead (one pass,
-not interpolated).
+Each pass shrinks a band's width by ``bins``. When the number of
+(group, column) pairs is small (checked against ``max_driver_tasks``) the task
+state lives on the driver: every pass is one job whose result is at most
+``tasks x bins`` histogram rows. With more groups the state is a DataFrame,
+checkpointed between passes. ``approx=True`` uses ``percentile_approx``
+instead (one pass, not interpolated).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -43,8 +47,8 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    by: Sequence[str] = (), approx: bool = False, bins: int = 1024,
-                   collect_limit: int = 1_000_000, max_passes: int = 12,
-                   accuracy: int = 10_000) -> DataFrame:
+                   collect_limit: int = 50_000, max_passes: int = 12,
+                   accuracy: int = 10_000, max_driver_tasks: int = 20_000) -> DataFrame:
     """Quantiles per (by..., column, prob) as a long table.
 
     Columns: ``by...``, ``column`` (string), ``prob`` (double), ``value``
@@ -64,16 +68,11 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_V).alias("_lo"),
                                     F.max(_V).alias("_hi"))
+    few = stats.limit(max_driver_tasks + 1).collect()
+    if len(few) <= max_driver_tasks:
+        return _driver_refine(df, long, few, cols, probs, by, keys, bins, collect_limit, max_passes)
+
     stats = cut_lineage(stats)
-    largest = stats.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= collect_limit:
-        # every group is checked to hold at most collect_limit values, so the
-        # exact aggregate's per-group value map is bounded: one pass suffices
-        res = long.groupBy(*keys).agg(F.percentile(_V, F.array(*[F.lit(p) for p in probs])).alias("_qs"))
-        plist = F.array(*[F.lit(p) for p in probs])
-        res = res.select(*by, F.col(_C).alias("column"), F.posexplode("_qs").alias("_i", "value"))
-        res = res.select(*by, "column", F.element_at(plist, F.col("_i") + 1).alias("prob"), "value")
-        return _with_empty(df, res, cols, probs, by)
     # wanted positions per prob: p*(n-1) -> floor and ceil ranks (0-based)
     plist = F.array(*[F.lit(p) for p in probs])
     want = (stats.select(*keys, "_n", "_lo", "_hi", F.posexplode(plist).alias("_i", "prob"))
@@ -120,6 +119,85 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return _with_empty(df, res, cols, probs, by)
 
 
+def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_limit, max_passes):
+    """Refinement with the (bounded) task list on the driver."""
+    spark = df.sparkSession
+    wants, tasks = [], {}
+    for srow in stat_rows:
+        key = tuple(srow[k] for k in keys)
+        n = srow["_n"]
+        for p in probs:
+            pos = p * (n - 1)
+            k0, k1 = math.floor(pos), math.ceil(pos)
+            wants.append((key, p, k0, k1, pos - k0))
+            for r in {k0, k1}:
+                tasks.setdefault((key, r), {"lo": srow["_lo"], "hi": srow["_hi"], "below": 0, "cnt": n})
+    found: dict = {}
+    key_types = [long.schema[k].dataType.simpleString() for k in keys]
+    for step in range(max_passes + 1):
+        open_ = {}
+        for tk, t in tasks.items():
+            if tk in found:
+                continue
+            if t["lo"] == t["hi"]:
+                found[tk] = t["lo"]
+            else:
+                open_[tk] = t
+        if not open_:
+            break
+        last = step == max_passes
+        small = {tk: t for tk, t in open_.items() if t["cnt"] <= collect_limit or last}
+        big = {tk: t for tk, t in open_.items() if tk not in small}
+        if small:
+            order = list(small)
+            band = _band(spark, long, small, keys, key_types)
+            res = band.groupBy("_tid", "_below", "_rank").agg(F.sort_array(F.collect_list(_V)).alias("_vals"))
+            idx = (F.col("_rank") - F.col("_below") + 1).cast("int")
+            for r in res.select("_tid", F.element_at("_vals", idx).alias("_x")).collect():
+                found[order[r["_tid"]]] = r["_x"]
+        if big:
+            order = list(big)
+            band = _band(spark, long, big, keys, key_types)
+            width = F.col("_hi") - F.col("_lo")
+            b = F.least(F.floor((F.col(_V) - F.col("_lo")) / width * F.lit(float(bins))), F.lit(bins - 1))
+            hist = (band.withColumn("_bin", b).groupBy("_tid", "_bin")
+                    .agg(F.count(F.lit(1)).alias("_c"), F.min(_V).alias("_mn"), F.max(_V).alias("_mx")).collect())
+            per: dict = {}
+            for h in hist:
+                per.setdefault(h["_tid"], []).append(h)
+            for tid, rows in per.items():
+                tk = order[tid]
+                t = tasks[tk]
+                rel, before = tk[1] - t["below"], 0
+                for h in sorted(rows, key=lambda h: h["_bin"]):
+                    if before <= rel < before + h["_c"]:
+                        tasks[tk] = {"lo": h["_mn"], "hi": h["_mx"], "below": t["below"] + before, "cnt": h["_c"]}
+                        break
+                    before += h["_c"]
+    out = []
+    for key, p, k0, k1, frac in wants:
+        x0, x1 = found.get((key, k0)), found.get((key, k1))
+        v = None if x0 is None or x1 is None else x0 + (x1 - x0) * frac
+        out.append((*key, p, v))
+    fields = ", ".join([f"`{k}` {t}" for k, t in zip(keys, key_types)] + ["prob double", "value double"])
+    res = spark.createDataFrame(out, fields).withColumnRenamed(_C, "column")
+    return _with_empty(df, res, cols, probs, by)
+
+
+def _band(spark, long, tasks: dict, keys, key_types) -> DataFrame:
+    """Rows of ``long`` inside each task's band, tagged with the task id.
+
+    The task table comes from at most ``max_driver_tasks`` driver-side entries:
+    a proven-size broadcast."""
+    rows = [(*tk[0], i, float(t["lo"]), float(t["hi"]), int(t["below"]), int(tk[1]))
+            for i, (tk, t) in enumerate(tasks.items())]
+    fields = ", ".join([f"`{k}` {ty}" for k, ty in zip(keys, key_types)] +
+                       ["_tid int", "_lo double", "_hi double", "_below long", "_rank long"])
+    tdf = F.broadcast(spark.createDataFrame(rows, fields))
+    return (long.join(tdf, list(keys))
+            .where((F.col(_V) >= F.col("_lo")) & (F.col(_V) <= F.col("_hi"))))
+
+
 def _narrow(long: DataFrame, tasks: DataFrame, keys, tkeys, bins: int) -> DataFrame:
     band = (long.join(tasks, keys)
             .where((F.col(_V) >= F.col("_lo")) & (F.col(_V) <= F.col("_hi"))))

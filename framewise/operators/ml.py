@@ -205,6 +205,9 @@ def split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
 
 # ------------------------------------------------------------------ M6-M12
 REGRESSORS = ("linear", "rf_reg", "gbt_reg")
+# tree learners: more nodes per pass over the data, and node ids cached with
+# periodic checkpoints (into the shared checkpoint folder) for deep trees
+TREE_DEFAULTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 CLASSIFIERS = ("logistic", "rf_clf", "gbt_clf")
 
 
@@ -222,19 +225,19 @@ def make_estimator(kind: str, n_classes: int = 2, n_train: int | None = None, se
     if kind == "rf_reg":
         return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, numTrees=params.pop("numTrees", 100),
                                      maxDepth=params.pop("maxDepth", 10), featureSubsetStrategy="all",
-                                     seed=seed, **params)
+                                     seed=seed, **{**TREE_DEFAULTS, **params})
     if kind == "rf_clf":
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=params.pop("numTrees", 100),
                                       maxDepth=params.pop("maxDepth", 10), featureSubsetStrategy="sqrt",
-                                      seed=seed, **params)
+                                      seed=seed, **{**TREE_DEFAULTS, **params})
     if kind == "gbt_reg":
         return GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, maxIter=params.pop("maxIter", 100),
                             stepSize=params.pop("stepSize", 0.3), maxDepth=params.pop("maxDepth", 6),
-                            seed=seed, **params)
+                            seed=seed, **{**TREE_DEFAULTS, **params})
     if kind == "gbt_clf":
         gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=params.pop("maxIter", 100),
                             stepSize=params.pop("stepSize", 0.3), maxDepth=params.pop("maxDepth", 6),
-                            seed=seed, **params)
+                            seed=seed, **{**TREE_DEFAULTS, **params})
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL)
     raise ValueError(f"unknown model kind {kind!r}")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -94,6 +95,13 @@ def pca_variance(df: DataFrame, cols: Sequence[str] | None = None, k: int = 2,
         rows, "component int, explained_variance_ratio double, cumulative double, reaches_mark boolean")
 
 
+def _tol(k: int, rel: float = 1e-4) -> float:
+    """Convergence like scikit-learn's: stop when the summed squared centre
+    shift is below ``rel`` x the mean feature variance (1 after scaling).
+    Spark tests each centre's shift, so spread that budget over the k centres."""
+    return math.sqrt(rel / k)
+
+
 def kmeans_fit(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed: int = 42,
                n_init: int = 10, array_col: str | None = None, keep: Sequence[str] = (),
                max_iter: int = 300) -> tuple[KMeansModel, DataFrame]:
@@ -103,17 +111,14 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, see
         raise ValueError("k must be within 2..10")
     vec, _ = _scaled_vectors(df, cols, array_col, keep)
     vec = vec.persist()
-    try:
-        best = None
-        for i in range(n_init):
-            m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
-                       predictionCol="Cluster").fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        return best[1], vec
-    finally:
-        pass
+    best = None
+    for i in range(n_init):
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=_tol(k), featuresCol="features",
+                   predictionCol="Cluster").fit(vec)
+        cost = m.summary.trainingCost
+        if best is None or cost < best[0]:
+            best = (cost, m)
+    return best[1], vec
 
 
 def kmeans(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed: int = 42, n_init: int = 10,
@@ -151,7 +156,7 @@ def elbow(df: DataFrame, cols: Sequence[str] | None = None, max_k: int = 10, see
     tss = arr.select(F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + x * x).alias("_s")).agg(F.sum("_s")).first()[0]
     rows = [(1, float(tss or 0.0))] if top >= 1 else []
     for k in range(2, top + 1):
-        m = KMeans(k=k, seed=seed, featuresCol="features").fit(vec)
+        m = KMeans(k=k, seed=seed, tol=_tol(k), featuresCol="features").fit(vec)
         rows.append((k, float(m.summary.trainingCost)))
     vec.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")

@@ -711,12 +711,12 @@ register("kmeans_embeddings")(
     lambda s, sf: un.kmeans(T(s, sf, "embeddings"), k=10, array_col="embedding", keep=["vec_id", "label"], n_init=3))
 register("cluster_counts")(
     lambda s, sf: un.cluster_counts(un.kmeans(T(s, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
-                                              k=3, n_init=3)))
+                                              k=3, n_init=2)))
 
 
 def _centroids(s, sf):
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
-    m, vec = un.kmeans_fit(T(s, sf, "lineitem"), cols, k=3, n_init=3)
+    m, vec = un.kmeans_fit(T(s, sf, "lineitem"), cols, k=3, n_init=2)
     vec.unpersist()
     return un.centroids(m, cols)
 

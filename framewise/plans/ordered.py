@@ -97,16 +97,20 @@ def _fill(df: DataFrame, order_by, partition_by, cols, n_buckets, forward: bool)
         carry = carry.select(*pb, BUCKET, *[F.last(f"_c{i}", ignorenulls=True).over(wc).alias(f"_p{i}")
                                             for i in range(len(cols))])
     else:
-        wc = wc.rowsBetween(1, Window.unboundedFollowing)
-        carry = carry.select(*pb, BUCKET, *[F.first(f"_c{i}", ignorenulls=True).over(wc).alias(f"_p{i}")
+        wc = (Window.partitionBy(*[q(c) for c in pb]).orderBy(F.col(BUCKET).desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+        carry = carry.select(*pb, BUCKET, *[F.last(f"_c{i}", ignorenulls=True).over(wc).alias(f"_p{i}")
                                             for i in range(len(cols))])
     j = _join_carry(d, carry, pb)
-    w = local_window(pb, ob)
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
+    # a frame "current row .. unbounded following" is recomputed per row by
+    # Spark (quadratic); the backward fill runs forward over the reversed order
+    ordering = [q(c) for c in ob] if forward else [q(c).desc_nulls_last() for c in ob]
+    w = (Window.partitionBy(*[q(c) for c in pb], F.col(BUCKET)).orderBy(*ordering)
+         .rowsBetween(Window.unboundedPreceding, 0))
     filled = {}
     for i, c in enumerate(cols):
         v = clean_value(d, c)
-        local = F.last(v, ignorenulls=True).over(w) if forward else F.first(v, ignorenulls=True).over(w)
+        local = F.last(v, ignorenulls=True).over(w)
         filled[c] = F.coalesce(local, F.col(f"_p{i}")).cast(df.schema[c].dataType)
     return j.select(*[filled.get(c, q(c)).alias(c) for c in df.columns])
 

@@ -16,8 +16,14 @@ DATETIME_FORMATS = (None, "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-
                     "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy", "yyyy/MM/dd")
 
 
+# Every candidate pattern starts with a digit; text that does not is not
+# handed to the parser at all (a failed parse is an exception inside Spark).
+_SHAPE = r"^\s*[0-9]{1,4}[-/.][0-9]"
+
+
 def _parse(c, fmt):
-    return (F.try_to_timestamp(c) if fmt is None else F.try_to_timestamp(c, F.lit(fmt))).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(c) if fmt is None else F.try_to_timestamp(c, F.lit(fmt))
+    return F.when(c.rlike(_SHAPE), parsed.cast("timestamp_ntz"))
 
 
 def datetime_shares(df: DataFrame, cols: Sequence[str] | None = None,
