@@ -59,3 +59,17 @@ def missing_cells(df: DataFrame) -> Column:
     if not df.columns:
         return F.lit(0).cast("long")
     return sum((is_missing(df, c).cast("long") for c in df.columns), F.lit(0).cast("long"))
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+               max_rows: int = 20_000) -> DataFrame:
+    """Join a per-group statistics table onto the rows.
+
+    The small side is materialised once, bounded to ``max_rows`` rows: under
+    the bound it is broadcast (a proven size), over it the join is left to
+    the planner (sort-merge with AQE skew handling)."""
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        side = big.sparkSession.createDataFrame(rows, small.schema)
+        return big.join(F.broadcast(side), keys, how)
+    return big.join(small, keys, how)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.columns import as_double, numeric_columns, q
+from framewise.functions.columns import as_double, join_small, numeric_columns, q
 from framewise.functions.quantiles import quantile_table
 from framewise.functions.scalar import format_kpi
 
@@ -142,9 +142,9 @@ def box_stats(df: DataFrame, y: str, x: str | None = None, k: float = 1.5) -> Da
           .withColumn("upper_fence", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))))
     v = as_double(df, y).alias("_y")
     pts = data.select(*[q(b).alias(b) for b in by], v).where(F.col("_y").isNotNull())
-    # per-group fences join back on the group key (AQE picks the strategy from
-    # the measured size of the fence table); overall, the one row is a literal
-    joined = pts.join(qs, by) if by else _attach_row(pts, qs.first())
+    # per-group fences: broadcast once their row count is proven small;
+    # overall, the single row travels as literals
+    joined = join_small(pts, qs, by) if by else _attach_row(pts, qs.first())
     inside = (F.col("_y") >= F.col("lower_fence")) & (F.col("_y") <= F.col("upper_fence"))
     agg = joined.groupBy(*by, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("count"),
@@ -195,7 +195,7 @@ def violin_density(df: DataFrame, y: str, x: str | None = None, points: int = 64
         par_row = par.first()
         pts = _attach_row(pts, par_row)
     else:
-        pts = pts.join(par, by)
+        pts = join_small(pts, par, by)
     fine = (pts.withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("_y") - F.col("_lo")) / width
                                                                     * F.lit(float(fine_bins))),
                                                            F.lit(fine_bins - 1))).otherwise(F.lit(0)))

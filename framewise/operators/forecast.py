@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.functions.columns import q
+from framewise.functions.columns import join_small, q
 from framewise.functions.distributions import normal_ppf
 from framewise.plans.ordered import BUCKET, local_window, row_index, with_halo
 
@@ -114,7 +114,7 @@ def _coefficients(h: DataFrame, keys: list[str], p: int, d: int, use: str) -> Da
 
 def _attach(h: DataFrame, coef: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
-        return h.join(coef, keys)
+        return join_small(h, coef, keys)
     # a single series: its one row of coefficients becomes literals
     row = coef.first()
     return h.withColumns({c: F.lit(v) for c, v in row.asDict().items()})

@@ -50,10 +50,10 @@ def ab_summary(df: DataFrame, variant: str, converted: str, control) -> DataFram
     arms = df.groupBy(q(variant).alias("variant")).agg(F.count(F.lit(1)).alias("n"),
                                                         F.sum(conv).alias("conversions"))
     arms = arms.where(F.col("variant").isNotNull())
-    c = arms.where(F.col("variant") == F.lit(control)).select(F.col("n").alias("n_c"),
-                                                              F.col("conversions").alias("x_c"))
-    # control totals are one row: join on a constant key (not a cross join)
-    t = arms.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # the control arm's totals are one small row: they travel as literals
+    c = arms.where(F.col("variant") == F.lit(control)).first()
+    t = arms.withColumns({"n_c": F.lit(c["n"] if c else None).cast("long"),
+                          "x_c": F.lit(c["conversions"] if c else None).cast("double")})
     n, x, nc, xc = (F.col("n").cast("double"), F.col("conversions"), F.col("n_c").cast("double"), F.col("x_c"))
     rate = F.try_divide(x, n)
     rate_c = F.try_divide(xc, nc)
