@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,27 @@ def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_lim
                 tasks.setdefault((key, r), {"lo": srow["_lo"], "hi": srow["_hi"], "below": 0, "cnt": n})
     found: dict = {}
     key_types = [long.schema[k].dataType.simpleString() for k in keys]
+    # every pass re-reads the values; when they come out of a shuffle (a
+    # distinct, a join) keep them instead of recomputing the shuffle per pass
+    shuffled = "Exchange" in long._jdf.queryExecution().executedPlan().toString()
+    if shuffled:
+        long = long.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _passes(spark, long, tasks, found, keys, key_types, bins, collect_limit, max_passes)
+    finally:
+        if shuffled:
+            long.unpersist()
+    out = []
+    for key, p, k0, k1, frac in wants:
+        x0, x1 = found.get((key, k0)), found.get((key, k1))
+        v = None if x0 is None or x1 is None else x0 + (x1 - x0) * frac
+        out.append((*key, p, v))
+    fields = ", ".join([f"`{k}` {t}" for k, t in zip(keys, key_types)] + ["prob double", "value double"])
+    res = spark.createDataFrame(out, fields).withColumnRenamed(_C, "column")
+    return _with_empty(df, res, cols, probs, by)
+
+
+def _passes(spark, long, tasks, found, keys, key_types, bins, collect_limit, max_passes):
     for step in range(max_passes + 1):
         open_ = {}
         for tk, t in tasks.items():
@@ -174,14 +196,6 @@ def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_lim
                         tasks[tk] = {"lo": h["_mn"], "hi": h["_mx"], "below": t["below"] + before, "cnt": h["_c"]}
                         break
                     before += h["_c"]
-    out = []
-    for key, p, k0, k1, frac in wants:
-        x0, x1 = found.get((key, k0)), found.get((key, k1))
-        v = None if x0 is None or x1 is None else x0 + (x1 - x0) * frac
-        out.append((*key, p, v))
-    fields = ", ".join([f"`{k}` {t}" for k, t in zip(keys, key_types)] + ["prob double", "value double"])
-    res = spark.createDataFrame(out, fields).withColumnRenamed(_C, "column")
-    return _with_empty(df, res, cols, probs, by)
 
 
 def _band(spark, long, tasks: dict, keys, key_types) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from framewise.functions.columns import join_small, q
 from framewise.functions.distributions import normal_ppf
 from framewise.plans.ordered import BUCKET, local_window, row_index, with_halo
+from framewise.session import cut_lineage
 
 
 def series(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), every: str | None = None) -> DataFrame:
@@ -140,7 +141,8 @@ def arima_fit(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), or
         raise ValueError("MA terms (q > 0) are not supported by the least-squares estimator")
     keys = list(keys)
     s = series(df, time, value, keys, every)
-    h = _design(s, keys, p, d, train_share)
+    # the design table feeds the coefficient, fit and metric jobs: build it once
+    h = cut_lineage(_design(s, keys, p, d, train_share))
     coef = _coefficients(h, keys, p, d, "_train")
     fit = _fitted(_attach(h, coef, keys), p, d)
     tr = fit.where(F.col("_train"))
@@ -209,8 +211,8 @@ def arima_forecast(df: DataFrame, time: str, value: str, keys: Sequence[str] = (
     if qq:
         raise ValueError("MA terms (q > 0) are not supported by the least-squares estimator")
     keys = list(keys)
-    s = series(df, time, value, keys, every)
-    h = _design(s, keys, p, d, None)
+    s = cut_lineage(series(df, time, value, keys, every))
+    h = cut_lineage(_design(s, keys, p, d, None))
     coef = _coefficients(h, keys, p, d, "_train")
     fit = _fitted(_attach(h, coef, keys), p, d)
     resid = fit.groupBy(*keys).agg(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.columns import as_double, q
+from framewise.functions.columns import as_double, join_small, q
 from framewise.functions.distributions import chi2_pvalue, t_pvalue
-from framewise.plans.ordered import running_sum
+from framewise.plans.ordered import running_sums
+from framewise.session import cut_lineage
 
 
 def groups(df: DataFrame, col: str) -> DataFrame:
@@ -92,16 +93,17 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | None = None
     # at risk = exits at or after t = total - exits strictly before t; the
     # running sums use the bucketed order scheme, not a one-task window
     pb = by_cols
+    # the per-time table feeds several jobs: materialise it once
+    per_t = cut_lineage(per_t)
     totals = per_t.groupBy(*pb).agg(F.sum("exits").alias("_tot"))
-    per_t = running_sum(per_t, "exits", ["time"], pb, "_cum")
-    per_t = (per_t.join(totals, pb) if pb else
+    dead_all = F.col("events") == F.col("at_risk")
+    per_t = running_sums(per_t, {"exits": "_cum"}, ["time"], pb)
+    per_t = (join_small(per_t, totals, pb) if pb else
              per_t.withColumn("_tot", F.lit(totals.first()["_tot"])))
     per_t = per_t.withColumn("at_risk", (F.col("_tot") - F.col("_cum") + F.col("exits")).cast("long"))
-    dead_all = F.col("events") == F.col("at_risk")
     per_t = per_t.withColumn("_dead_all", F.when(dead_all, 1.0).otherwise(0.0)).withColumn(
         "_lf", F.when(dead_all, F.lit(None)).otherwise(F.log1p(-F.col("events") / F.col("at_risk"))))
-    per_t = running_sum(per_t, "_dead_all", ["time"], pb, "_zero")
-    per_t = running_sum(per_t, "_lf", ["time"], pb, "_ls")
+    per_t = running_sums(per_t, {"_dead_all": "_zero", "_lf": "_ls"}, ["time"], pb)
     surv = F.when(F.col("_zero") > 0, F.lit(0.0)).otherwise(F.exp(F.coalesce(F.col("_ls"), F.lit(0.0))))
     return per_t.select(*by_cols, "time", "at_risk", "events",
                         (F.col("exits") - F.col("events")).alias("censored"), surv.alias("survival")) \

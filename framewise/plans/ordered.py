@@ -186,17 +186,26 @@ def rolling_mean(df: DataFrame, col: str, n: int, order_by: Sequence[str],
 def running_sum(df: DataFrame, col: str, order_by: Sequence[str], partition_by: Sequence[str] | None = None,
                 out: str | None = None, n_buckets: int | None = None) -> DataFrame:
     """Cumulative sum along ``order_by``; nulls are skipped and stay null."""
+    return running_sums(df, {col: out or f"{col}_cumsum"}, order_by, partition_by, n_buckets)
+
+
+def running_sums(df: DataFrame, outs: dict[str, str], order_by: Sequence[str],
+                 partition_by: Sequence[str] | None = None, n_buckets: int | None = None) -> DataFrame:
+    """Several cumulative sums (``{column: output name}``) sharing one bucketing,
+    one per-bucket total table and one window pass."""
     pb, ob = list(partition_by or []), list(order_by)
     d = bucketize(df, ob, n_buckets)
-    x = clean_value(d, col).cast("double")
-    totals = d.groupBy(*[q(c) for c in pb], BUCKET).agg(F.sum(x).alias("_t"))
+    xs = {c: clean_value(d, c).cast("double") for c in outs}
+    totals = d.groupBy(*[q(c) for c in pb], BUCKET).agg(*[F.sum(x).alias(f"_t{i}") for i, x in enumerate(xs.values())])
     wc = Window.partitionBy(*[q(c) for c in pb]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*pb, BUCKET, F.coalesce(F.sum("_t").over(wc), F.lit(0.0)).alias("_off"))
+    totals = totals.select(*pb, BUCKET, *[F.coalesce(F.sum(f"_t{i}").over(wc), F.lit(0.0)).alias(f"_off{i}")
+                                          for i in range(len(xs))])
     j = _join_carry(d, totals, pb)
-    local = F.sum(x).over(_pb_window(pb, ob, (Window.unboundedPreceding, 0)))
+    w = _pb_window(pb, ob, (Window.unboundedPreceding, 0))
     # like pandas' cumsum: a missing value keeps a missing total at its row
-    return j.withColumn(out or f"{col}_cumsum", F.when(x.isNotNull(), local + F.col("_off"))) \
-        .drop("_off", BUCKET)
+    j = j.withColumns({outs[c]: F.when(x.isNotNull(), F.sum(x).over(w) + F.col(f"_off{i}"))
+                       for i, (c, x) in enumerate(xs.items())})
+    return j.drop(BUCKET, *[f"_off{i}" for i in range(len(xs))])
 
 
 def row_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] | None = None,

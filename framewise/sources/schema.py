@@ -10,20 +10,27 @@ from pyspark.sql import types as T
 
 from framewise.functions.columns import DATETIME, NUMERIC, q
 
-# Candidate patterns tried on text columns, in order; None = Spark's own
-# timestamp cast rules (ISO 8601 style).
+# Candidate patterns tried on text columns, in order, each with the shape a
+# value must have before it is handed to the parser (a failed parse costs an
+# exception inside Spark). None = Spark's own timestamp cast rules (ISO 8601).
 DATETIME_FORMATS = (None, "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy",
                     "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy", "yyyy/MM/dd")
-
-
-# Every candidate pattern starts with a digit; text that does not is not
-# handed to the parser at all (a failed parse is an exception inside Spark).
-_SHAPE = r"^\s*[0-9]{1,4}[-/.][0-9]"
+_SHAPES = {
+    None: r"^\s*[0-9]{4}-[0-9]{1,2}",
+    "yyyy-MM-dd HH:mm:ss": r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:",
+    "yyyy-MM-dd": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "MM/dd/yyyy": r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+    "MM/dd/yyyy HH:mm:ss": r"^[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:",
+    "dd.MM.yyyy": r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$",
+    "yyyy/MM/dd": r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$",
+}
+_ANY_DIGIT_LED = r"^\s*[0-9]{1,4}[-/.][0-9]"
 
 
 def _parse(c, fmt):
     parsed = F.try_to_timestamp(c) if fmt is None else F.try_to_timestamp(c, F.lit(fmt))
-    return F.when(c.rlike(_SHAPE), parsed.cast("timestamp_ntz"))
+    return F.when(c.rlike(_SHAPES.get(fmt, _ANY_DIGIT_LED)), parsed.cast("timestamp_ntz"))
 
 
 def datetime_shares(df: DataFrame, cols: Sequence[str] | None = None,
