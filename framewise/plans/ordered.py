@@ -70,6 +70,14 @@ def bucketize(df: DataFrame, order_by: Sequence[str], n_buckets: int | None = No
     return out.withColumn(BUCKET, F.coalesce(F.col("_kb").cast("int"), F.lit(-1))).drop("_k", "_kb")
 
 
+def _small_scan(carry: DataFrame, fn, out_schema: str) -> DataFrame:
+    """Without partition keys a carry table has at most ``n_buckets`` rows
+    (the bucket count bounds it), so it is scanned in bucket order on the
+    driver instead of in a one-partition window, and sent back as a broadcast."""
+    rows = sorted(carry.collect(), key=lambda r: r[BUCKET])
+    return F.broadcast(carry.sparkSession.createDataFrame(fn(rows), out_schema))
+
+
 def _join_carry(d: DataFrame, carry: DataFrame, pb: list[str]) -> DataFrame:
     keys = pb + [BUCKET]
     if not pb:
@@ -91,6 +99,22 @@ def _fill(df: DataFrame, order_by, partition_by, cols, n_buckets, forward: bool)
     carry = d.groupBy(*[q(c) for c in pb], BUCKET).agg(*[
         pick(clean_value(d, c), F.when(clean_value(d, c).isNotNull(), ordv)).alias(f"_c{i}")
         for i, c in enumerate(cols)])
+    if not pb:
+        types = [carry.schema[f"_c{i}"].dataType.simpleString() for i in range(len(cols))]
+
+        def scan(rows):
+            seq = rows if forward else rows[::-1]
+            last = [None] * len(cols)
+            out = []
+            for r in seq:
+                out.append((r[BUCKET], *last))
+                for i in range(len(cols)):
+                    if r[f"_c{i}"] is not None:
+                        last[i] = r[f"_c{i}"]
+            return out
+        schema = ", ".join([f"{BUCKET} int"] + [f"_p{i} {t}" for i, t in enumerate(types)])
+        carry = _small_scan(carry, scan, schema)
+        return _apply_fill(df, d, carry, pb, ob, cols, forward)
     wc = Window.partitionBy(*[q(c) for c in pb]).orderBy(BUCKET)
     if forward:
         wc = wc.rowsBetween(Window.unboundedPreceding, -1)
@@ -101,6 +125,10 @@ def _fill(df: DataFrame, order_by, partition_by, cols, n_buckets, forward: bool)
               .rowsBetween(Window.unboundedPreceding, -1))
         carry = carry.select(*pb, BUCKET, *[F.last(f"_c{i}", ignorenulls=True).over(wc).alias(f"_p{i}")
                                             for i in range(len(cols))])
+    return _apply_fill(df, d, carry, pb, ob, cols, forward)
+
+
+def _apply_fill(df, d, carry, pb, ob, cols, forward):
     j = _join_carry(d, carry, pb)
     # a frame "current row .. unbounded following" is recomputed per row by
     # Spark (quadratic); the backward fill runs forward over the reversed order
@@ -145,12 +173,24 @@ def with_halo(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str
     tails = d.withColumn("_rn", F.row_number().over(wdesc)).where(F.col("_rn") <= k).drop("_rn")
     # index the tails in order (per partition key); a bucket's halo is the k
     # tail rows just before its first tail row
+    if not pb:
+        # at most n_buckets x k tail rows: assign halos on the driver
+        rows = tails.collect()
+        key = [c for c in ob]
+        rows.sort(key=lambda r: tuple((0,) if r[c] is None else (1, r[c]) for c in key))
+        first_of: dict = {}
+        for g, r in enumerate(rows):
+            first_of.setdefault(r[BUCKET], g)
+        halo_rows = []
+        for b, start in first_of.items():
+            for r in rows[max(0, start - k):start]:
+                halo_rows.append(tuple(b if c == BUCKET else (True if c == "_halo" else r[c]) for c in d.columns))
+        halo = d.sparkSession.createDataFrame(halo_rows, d.schema)
+        return d.unionByName(halo)
     wg = Window.partitionBy(*[q(c) for c in pb]).orderBy(*[q(c) for c in ob])
     tails = tails.withColumn("_g", F.row_number().over(wg))
     starts = tails.groupBy(*[q(c) for c in pb], BUCKET).agg(F.min("_g").alias("_s"))
     cand = tails.drop(BUCKET).withColumn("_s", F.explode(F.sequence(F.col("_g") + 1, F.col("_g") + k)))
-    if not pb:
-        starts = F.broadcast(starts)
     halo = cand.join(starts, pb + ["_s"]).drop("_s", "_g").withColumn("_halo", F.lit(True))
     return d.unionByName(halo)
 
@@ -197,9 +237,20 @@ def running_sums(df: DataFrame, outs: dict[str, str], order_by: Sequence[str],
     d = bucketize(df, ob, n_buckets)
     xs = {c: clean_value(d, c).cast("double") for c in outs}
     totals = d.groupBy(*[q(c) for c in pb], BUCKET).agg(*[F.sum(x).alias(f"_t{i}") for i, x in enumerate(xs.values())])
-    wc = Window.partitionBy(*[q(c) for c in pb]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*pb, BUCKET, *[F.coalesce(F.sum(f"_t{i}").over(wc), F.lit(0.0)).alias(f"_off{i}")
-                                          for i in range(len(xs))])
+    if pb:
+        wc = Window.partitionBy(*[q(c) for c in pb]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(*pb, BUCKET, *[F.coalesce(F.sum(f"_t{i}").over(wc), F.lit(0.0)).alias(f"_off{i}")
+                                              for i in range(len(xs))])
+    else:
+        k = len(xs)
+
+        def scan(rows):
+            run, out = [0.0] * k, []
+            for r in rows:
+                out.append((r[BUCKET], *run))
+                run = [a + (r[f"_t{i}"] or 0.0) for i, a in enumerate(run)]
+            return out
+        totals = _small_scan(totals, scan, ", ".join([f"{BUCKET} int"] + [f"_off{i} double" for i in range(k)]))
     j = _join_carry(d, totals, pb)
     w = _pb_window(pb, ob, (Window.unboundedPreceding, 0))
     # like pandas' cumsum: a missing value keeps a missing total at its row
@@ -214,8 +265,17 @@ def row_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str
     pb, ob = list(partition_by or []), list(order_by)
     d = bucketize(df, ob, n_buckets)
     counts = d.groupBy(*[q(c) for c in pb], BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    wc = Window.partitionBy(*[q(c) for c in pb]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*pb, BUCKET, F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"))
+    if pb:
+        wc = Window.partitionBy(*[q(c) for c in pb]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*pb, BUCKET, F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"))
+    else:
+        def scan(rows):
+            run, out = 0, []
+            for r in rows:
+                out.append((r[BUCKET], run))
+                run += r["_n"]
+            return out
+        counts = _small_scan(counts, scan, f"{BUCKET} int, _off long")
     j = _join_carry(d, counts, pb)
     return j.withColumn(out, (F.row_number().over(local_window(pb, ob)) - 1 + F.col("_off")).cast("long")) \
         .drop("_off", BUCKET)
