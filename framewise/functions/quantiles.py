@@ -181,7 +181,10 @@ def _passes(spark, long, tasks, found, keys, key_types, bins, collect_limit, max
             order = list(big)
             band = _band(spark, long, big, keys, key_types)
             width = F.col("_hi") - F.col("_lo")
-            b = F.least(F.floor((F.col(_V) - F.col("_lo")) / width * F.lit(float(bins))), F.lit(bins - 1))
+            # few open bands: afford finer bins (the collected histogram stays
+            # below ~4M rows), so a huge column needs fewer passes
+            nb = max(bins, min(65_536, 4_000_000 // len(big)))
+            b = F.least(F.floor((F.col(_V) - F.col("_lo")) / width * F.lit(float(nb))), F.lit(nb - 1))
             hist = (band.withColumn("_bin", b).groupBy("_tid", "_bin")
                     .agg(F.count(F.lit(1)).alias("_c"), F.min(_V).alias("_mn"), F.max(_V).alias("_mx")).collect())
             per: dict = {}

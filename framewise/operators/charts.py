@@ -15,12 +15,26 @@ from framewise.functions.scalar import format_kpi
 AGG_LABEL = {"Sum": "Total", "Average": "Avg", "Maximum": "Max"}
 
 
-def kpi(df: DataFrame, cols: Sequence[str], agg: str = "Sum") -> DataFrame:
+def kpi(df: DataFrame, cols: Sequence[str], agg: str = "Sum", compare: DataFrame | None = None) -> DataFrame:
     """G1: "Total Rows" card first, then ``Total/Avg/Max {col}`` cards.
 
-    One global aggregate; columns: position, label, value, display."""
+    One global aggregate; columns: position, label, value, display. With
+    ``compare`` (e.g. the previous period) each card also gets ``delta`` =
+    value minus the same card computed on ``compare``."""
     if agg not in AGG_LABEL:
         raise ValueError(f"agg must be one of {list(AGG_LABEL)}")
+    cards = _kpi_cards(df, cols, agg)
+    if compare is None:
+        return cards
+    # the comparison cards are at most len(cols) + 1 rows: literals
+    prev = {r["position"]: r["value"] for r in _kpi_cards(compare, cols, agg).collect()}
+    delta = F.col("value") - F.element_at(F.create_map(*[x for pos, v in prev.items()
+                                                         for x in (F.lit(pos), F.lit(v).cast("double"))]),
+                                          F.col("position"))
+    return cards.withColumn("delta", delta)
+
+
+def _kpi_cards(df: DataFrame, cols: Sequence[str], agg: str) -> DataFrame:
     fn = {"Sum": lambda x: F.coalesce(F.sum(x), F.lit(0.0)), "Average": F.avg, "Maximum": F.max}[agg]
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[fn(as_double(df, c)).alias(f"_v{i}") for i, c in enumerate(cols)])

@@ -13,10 +13,15 @@ from framewise.plans.ordered import (BUCKET, lag_value, local_window, rolling_me
 
 
 def pct_change(df: DataFrame, col: str, order_by: Sequence[str], partition_by: Sequence[str] | None = None,
-               out: str | None = None, dropna: bool = True, n_buckets: int | None = None) -> DataFrame:
+               out: str | None = None, dropna: bool = True, pad_nulls: bool = False,
+               n_buckets: int | None = None) -> DataFrame:
     """``x / previous x - 1`` along ``order_by``; a zero previous value gives
-    null. ``dropna`` removes the rows without a return (the first row)."""
+    null. ``dropna`` removes the rows without a return (the first row).
+    ``pad_nulls=True`` forward-fills the prices first (older pandas' default)."""
     out = out or f"{col}_return"
+    if pad_nulls:
+        from framewise.plans.ordered import ffill
+        df = ffill(df, order_by, partition_by, [col], n_buckets)
     lagged = lag_value(df, col, order_by, partition_by, 1, "_prev", n_buckets)
     r = lagged.withColumn(out, F.try_divide(q(col).cast("double"), F.col("_prev").cast("double")) - 1).drop("_prev")
     return r.where(F.col(out).isNotNull()) if dropna else r

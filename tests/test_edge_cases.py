@@ -119,3 +119,15 @@ def test_kaplan_meier_textbook(spark):
     got = [(r["time"], r["at_risk"], r["survival"]) for r in stats.kaplan_meier(df, "d", "e").collect()]
     assert [g[1] for g in got] == [5, 4, 2, 1]
     assert [round(g[2], 10) for g in got] == [0.8, 0.4, 0.2, 0.2]
+
+
+def test_kpi_delta_and_pad(spark):
+    now = spark.createDataFrame([(10.0,), (20.0,)], "v double")
+    before = spark.createDataFrame([(5.0,)], "v double")
+    cards = {r["label"]: (r["value"], r["delta"]) for r in charts.kpi(now, ["v"], "Sum", before).collect()}
+    assert cards == {"Total Rows": (2.0, 1.0), "Total v": (30.0, 25.0)}
+    from framewise.operators import finance
+    df = spark.createDataFrame([(0, 10.0), (1, None), (2, 12.0)], "t int, p double")
+    padded = [r["p_return"] for r in finance.pct_change(df, "p", ["t"], pad_nulls=True, n_buckets=2)
+              .orderBy("t").collect()]
+    assert padded == [0.0, pytest.approx(0.2)]
