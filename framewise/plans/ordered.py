@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from framewise.functions.columns import clean_value, q
 
 BUCKET = "_ob"
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
+DRIVER_HALO_ROWS = 200_000
 
 
 def _order_key(df: DataFrame, name: str) -> Column | None:
@@ -45,9 +46,18 @@ def _order_key(df: DataFrame, name: str) -> Column | None:
     return None
 
 
+BYTES_PER_BUCKET = 256 * 1024 * 1024
+
+
 def default_buckets(df: DataFrame) -> int:
+    """At least the shuffle partition count, more when the optimizer's size
+    estimate says a bucket would exceed ~256 MB (no job is run for this)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, n))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        size = 0
+    return max(1, min(MAX_BUCKETS, max(n, size // BYTES_PER_BUCKET)))
 
 
 def bucketize(df: DataFrame, order_by: Sequence[str], n_buckets: int | None = None) -> DataFrame:
@@ -173,7 +183,7 @@ def with_halo(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str
     tails = d.withColumn("_rn", F.row_number().over(wdesc)).where(F.col("_rn") <= k).drop("_rn")
     # index the tails in order (per partition key); a bucket's halo is the k
     # tail rows just before its first tail row
-    if not pb:
+    if not pb and default_buckets(d) * k <= DRIVER_HALO_ROWS:
         # at most n_buckets x k tail rows: assign halos on the driver
         rows = tails.collect()
         key = [c for c in ob]
@@ -191,6 +201,8 @@ def with_halo(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str
     tails = tails.withColumn("_g", F.row_number().over(wg))
     starts = tails.groupBy(*[q(c) for c in pb], BUCKET).agg(F.min("_g").alias("_s"))
     cand = tails.drop(BUCKET).withColumn("_s", F.explode(F.sequence(F.col("_g") + 1, F.col("_g") + k)))
+    if not pb:
+        starts = F.broadcast(starts)  # one row per bucket
     halo = cand.join(starts, pb + ["_s"]).drop("_s", "_g").withColumn("_halo", F.lit(True))
     return d.unionByName(halo)
 

@@ -19,6 +19,19 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Suggested for a large cluster (100 TB class inputs): let AQE size shuffle
+# partitions from a generous upper bound, read ~256 MB splits, and keep skew
+# splitting on. Pass as get_spark(**{k.replace(".", "__"): v ...}) or in
+# spark-defaults; spark.checkpoint.dir must name a shared folder.
+SCALE_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+}
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
