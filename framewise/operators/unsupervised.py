@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,5 +161,3 @@ def elbow(df: DataFrame, cols: Sequence[str] | None = None, max_k: int = 10, see
     vec.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
-
-_ = array_to_vector

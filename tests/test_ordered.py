@@ -2,8 +2,6 @@
 
 import pandas as pd
 import pytest
-from pyspark.sql import Window
-from pyspark.sql import functions as F
 
 from framewise.operators import finance
 from framewise.plans import ordered as od
@@ -63,6 +61,8 @@ def test_pct_change_and_sma_match_pandas(spark):
 
 
 def test_no_single_partition_window(spark, gaps):
-    plan = od.ffill(gaps, ["i"], n_buckets=4)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.split("BroadcastExchange")[0] or "hashpartitioning(_ob" in plan
-    _ = Window, F
+    for df in (od.ffill(gaps, ["i"], n_buckets=4), od.bfill(gaps, ["i"], n_buckets=4),
+               od.rolling_mean(gaps, "x", 3, ["i"], n_buckets=4), od.running_sum(gaps, "x", ["i"], n_buckets=4)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+        assert "hashpartitioning(_ob" in plan

@@ -1,4 +1,3 @@
-import os
 import sqlite3
 import tempfile
 import zipfile
@@ -93,4 +92,3 @@ def test_datetime_threshold(spark):
     assert kinds == {"a": "datetime", "b": "categorical"}
     empty = spark.createDataFrame([], "s string")
     assert schema.column_types(empty).first()["kind"] == "categorical"
-    _ = os
