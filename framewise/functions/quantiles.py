@@ -67,11 +67,20 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return res.select(*by, F.col(_C).alias("column"),
                           F.element_at(plist, F.col("_i") + 1).alias("prob"), "value")
 
+    # the first scan also sketches each column (Greenwald-Khanna, rank error
+    # at most n / accuracy) to seed narrow bands around the wanted ranks
+    eps = 1.0 / accuracy
+    seed_probs = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-3 * eps, 3 * eps)})
     stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_V).alias("_lo"),
                                     F.max(_V).alias("_hi"))
-    few = stats.limit(max_driver_tasks + 1).collect()
+    seeded = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_V).alias("_lo"),
+                                     F.max(_V).alias("_hi"),
+                                     F.percentile_approx(_V, seed_probs, accuracy).alias("_seed"))
+    few = seeded.limit(max_driver_tasks + 1).collect()
     if len(few) <= max_driver_tasks:
-        return _driver_refine(df, long, few, cols, probs, by, keys, bins, collect_limit, max_passes)
+        seeds = {p: i for i, p in enumerate(seed_probs)}
+        return _driver_refine(df, long, few, cols, probs, by, keys, bins, collect_limit, max_passes,
+                              seeds, eps)
 
     stats = cut_lineage(stats)
     # wanted positions per prob: p*(n-1) -> floor and ceil ranks (0-based)
@@ -120,10 +129,11 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return _with_empty(df, res, cols, probs, by)
 
 
-def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_limit, max_passes):
+def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_limit, max_passes,
+                   seeds=None, eps=None):
     """Refinement with the (bounded) task list on the driver."""
     spark = df.sparkSession
-    wants, tasks = [], {}
+    wants, tasks, trial = [], {}, {}
     for srow in stat_rows:
         key = tuple(srow[k] for k in keys)
         n = srow["_n"]
@@ -133,6 +143,12 @@ def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_lim
             wants.append((key, p, k0, k1, pos - k0))
             for r in {k0, k1}:
                 tasks.setdefault((key, r), {"lo": srow["_lo"], "hi": srow["_hi"], "below": 0, "cnt": n})
+                # mid-sized groups: the sketch band around the rank holds at most
+                # ~8 n / accuracy values, few enough to sort in one more pass
+                if seeds and collect_limit < n and 8 * eps * n <= collect_limit:
+                    sk = srow["_seed"]
+                    trial[(key, r)] = (sk[seeds[min(1.0, max(0.0, p - 3 * eps))]],
+                                       sk[seeds[min(1.0, max(0.0, p + 3 * eps))]])
     found: dict = {}
     key_types = [long.schema[k].dataType.simpleString() for k in keys]
     # every pass re-reads the values; when they come out of a shuffle (a
@@ -141,6 +157,8 @@ def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_lim
     if shuffled:
         long = long.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if trial:
+            _seeded_solve(spark, long, trial, found, keys, key_types)
         _passes(spark, long, tasks, found, keys, key_types, bins, collect_limit, max_passes)
     finally:
         if shuffled:
@@ -155,6 +173,35 @@ def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_lim
     return _with_empty(df, res, cols, probs, by)
 
 
+def _seeded_solve(spark, long, trial, found, keys, key_types):
+    """One pass for sketch-seeded bands ``[lo, hi]``: count the values below
+    ``lo`` and equal to either end, sort the few strictly inside. A rank the
+    counts do not confirm is left to the regular passes (nothing is assumed
+    from the sketch without checking)."""
+    order = list(trial)
+    rows = [(*tk[0], i, float(lo), float(hi)) for i, (tk, (lo, hi)) in enumerate(trial.items())]
+    fields = ", ".join([f"`{k}` {ty}" for k, ty in zip(keys, key_types)] + ["_tid int", "_lo double", "_hi double"])
+    tdf = F.broadcast(spark.createDataFrame(rows, fields))
+    v, lo, hi = F.col(_V), F.col("_lo"), F.col("_hi")
+    res = (long.join(tdf, list(keys)).groupBy("_tid")
+           .agg(F.count(F.when(v < lo, 1)).alias("_below"), F.count(F.when(v == lo, 1)).alias("_eq_lo"),
+                F.count(F.when(v == hi, 1)).alias("_eq_hi"),
+                F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v))).alias("_in")).collect())
+    for r in res:
+        tk = order[r["_tid"]]
+        lo_v, hi_v = trial[tk]
+        rel = tk[1] - r["_below"]
+        inside = r["_in"]
+        if rel < 0:
+            continue
+        if rel < r["_eq_lo"]:
+            found[tk] = lo_v
+        elif lo_v != hi_v and rel < r["_eq_lo"] + len(inside):
+            found[tk] = inside[rel - r["_eq_lo"]]
+        elif lo_v != hi_v and rel < r["_eq_lo"] + len(inside) + r["_eq_hi"]:
+            found[tk] = hi_v
+
+
 def _passes(spark, long, tasks, found, keys, key_types, bins, collect_limit, max_passes):
     for step in range(max_passes + 1):
         open_ = {}

@@ -45,3 +45,15 @@ def test_approx_is_close(spark):
     df = spark.range(10001).selectExpr("cast(id as double) x")
     r = quantile_table(df, ["x"], [0.5], approx=True).collect()[0]["value"]
     assert abs(r - 5000) <= 5
+
+
+@pytest.mark.parametrize("limit", [60, 2000])
+def test_sketch_seeded_band_matches_pandas(spark, limit):
+    # n = 5000 > limit and 8 n / accuracy <= limit, so the seeded one-pass solve runs
+    rng = np.random.default_rng(3)
+    vals = [float(v) for v in rng.normal(50, 10, 4000).round(2)] + [42.0] * 1000
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.01, 0.25, 0.5, 0.75, 0.999]
+    got = {r["prob"]: r["value"] for r in quantile_table(df, ["x"], probs, collect_limit=limit).collect()}
+    for p in probs:
+        assert math.isclose(got[p], _pandas_q(vals, p), rel_tol=1e-12, abs_tol=1e-12)
