@@ -852,3 +852,32 @@ FROM r GROUP BY 1 ORDER BY 1"""
 
 register("kpi_trend", TREND_SQL)(
     lambda s, sf: rnd(charts.kpi_trend(T(s, sf, "orders"), "o_totalprice", ["o_orderkey"], 100), {"value": 4}))
+
+
+def _live_sessions(s, sf):
+    ev = T(s, sf, "events")
+    stream = lk.file_stream(s, sf, ev.schema, glob="events.parquet")
+    agg = lk.live_kpi(stream, "ts", "value", watermark="1 hour", keys=["user_id"], kind="session", gap="30 minutes")
+    out, _ = lk.run_live_kpi(agg, mode="append")
+    return rnd(lk.latest_windows(s, out, ["user_id"]), {"avg_value": 6})
+
+
+register("live_kpi_sessions")(_live_sessions)
+
+SLIDING_SQL = """
+WITH w AS (SELECT unnest([time_bucket(INTERVAL 6 hour, ts), time_bucket(INTERVAL 6 hour, ts) - INTERVAL 3 hour,
+                          time_bucket(INTERVAL 6 hour, ts) + INTERVAL 3 hour]) AS window_start, ts, value FROM events)
+SELECT window_start, window_start + INTERVAL 6 hour AS window_end, round(avg(value), 6) AS avg_value,
+       max(value) AS max_value, min(value) AS min_value, count(*) AS events
+FROM w WHERE ts >= window_start AND ts < window_start + INTERVAL 6 hour GROUP BY 1, 2"""
+
+
+def _live_sliding(s, sf):
+    ev = T(s, sf, "events")
+    stream = lk.file_stream(s, sf, ev.schema, glob="events.parquet")
+    out, _ = lk.run_live_kpi(lk.live_kpi(stream, "ts", "value", "6 hours", "1 hour", kind="sliding",
+                                         slide="3 hours"))
+    return rnd(lk.latest_windows(s, out), {"avg_value": 6})
+
+
+register("live_kpi_sliding", SLIDING_SQL)(_live_sliding)

@@ -62,10 +62,13 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
 
 
 def run_live_kpi(agg: DataFrame, out_path: str | None = None, trigger_once: bool = True,
-                 keys: Sequence[str] = ()) -> tuple[str, object]:
-    """Start the aggregate in update mode; every micro-batch's changed windows
-    are appended (with ``batch_id``) under ``out_path``. Returns the output
-    path and the streaming query (already finished when ``trigger_once``)."""
+                 keys: Sequence[str] = (), mode: str = "update") -> tuple[str, object]:
+    """Start the aggregate; every micro-batch's output windows are appended
+    (with ``batch_id``) under ``out_path``. ``mode="update"`` emits changed
+    windows each batch; session windows need ``mode="append"``, which emits a
+    window once the watermark has closed it (the newest ones stay open when a
+    finite stream ends). Returns the output path and the streaming query
+    (already finished when ``trigger_once``)."""
     spark = agg.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex
@@ -75,7 +78,7 @@ def run_live_kpi(agg: DataFrame, out_path: str | None = None, trigger_once: bool
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
 
-    w = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
+    w = agg.writeStream.outputMode(mode).option("checkpointLocation", ckpt).foreachBatch(sink)
     q = w.trigger(availableNow=True).start() if trigger_once else w.start()
     if trigger_once:
         q.awaitTermination()
