@@ -29,7 +29,9 @@ def _fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
     for c, v in values.items():
         if v is None:
             continue
-        out[c] = F.coalesce(clean_value(df, c), F.lit(v))
+        # the fill value takes the column's type (a Python datetime literal would
+        # otherwise turn a timestamp_ntz column into a local timestamp)
+        out[c] = F.coalesce(clean_value(df, c), F.lit(v).cast(df.schema[c].dataType))
     return df.withColumns(out) if out else df
 
 

@@ -622,11 +622,12 @@ m AS (SELECT class, support, tp,
 f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m)
 SELECT class, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1, support FROM f
 UNION ALL SELECT 'accuracy', round(sum(tp) / sum(support), 8), round(sum(tp) / sum(support), 8),
-                 round(sum(tp) / sum(support), 8), sum(support) FROM f
-UNION ALL SELECT 'macro avg', round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8), sum(support) FROM f
+                 round(sum(tp) / sum(support), 8), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8),
+                 CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 8),
                  round(sum(recall * support) / sum(support), 8), round(sum(f1 * support) / sum(support), 8),
-                 sum(support) FROM f"""
+                 CAST(sum(support) AS BIGINT) FROM f"""
 
 register("classification_report", CLASS_REPORT_SQL)(
     lambda s, sf: rnd(ml.classification_report(_orders_pred(s, sf), "label", "prediction"),
