@@ -57,3 +57,18 @@ def test_sketch_seeded_band_matches_pandas(spark, limit):
     got = {r["prob"]: r["value"] for r in quantile_table(df, ["x"], probs, collect_limit=limit).collect()}
     for p in probs:
         assert math.isclose(got[p], _pandas_q(vals, p), rel_tol=1e-12, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("limit", [5, 100_000])
+def test_many_groups_dataframe_state_path(spark, limit):
+    # max_driver_tasks=1 forces the checkpointed DataFrame-state refinement
+    rng = np.random.default_rng(5)
+    rows = [(f"g{i % 7}", float(v)) for i, v in enumerate(rng.gamma(2.0, 3.0, 700).round(2))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    res = quantile_table(df, ["x"], [0.1, 0.5, 0.9], by=["g"], collect_limit=limit, bins=4,
+                         max_driver_tasks=1).collect()
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    assert len(res) == 21
+    for r in res:
+        exp = pdf[pdf.g == r["g"]].x.quantile(r["prob"])
+        assert math.isclose(r["value"], exp, rel_tol=1e-12, abs_tol=1e-12)
