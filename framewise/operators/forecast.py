@@ -1,4 +1,4 @@
-"""ARIMA(p, d, 0) for many series at once, fitted by conditional least squares.
+"""ARIMA(p, d, q) for many series at once, fitted by least squares.
 
 The reference fits one series with a state-space maximum-likelihood ARIMA.
 Here every series key is fitted at once and nothing holds a whole series in
@@ -14,7 +14,10 @@ one task:
 * forecasts start from the last ``p + d`` values of each key (a top-k) and
   use the psi-weights of the fitted model for the 95% interval.
 
-MA terms (q > 0) are not estimated by this least-squares path and are refused.
+With MA terms (q > 0) the Hannan-Rissanen two-stage regression is used: a
+long autoregression estimates the innovations as a column, their lags come
+from the same halo windows, and a second least-squares fit gives both AR and
+MA terms.
 Training rows are the first ``train_share`` of each series in time order
 (the reference's split); the forecast refits on every row.
 """
@@ -113,6 +116,60 @@ def _coefficients(h: DataFrame, keys: list[str], p: int, d: int, use: str) -> Da
     return sums.groupBy(*keys).applyInPandas(lambda pdf: _solve_group(pdf, keys, names), schema)
 
 
+def _ols(h: DataFrame, keys: list[str], xs: dict, y, ok) -> DataFrame:
+    """Per-key least squares of ``y`` on the ``xs`` columns over rows where
+    ``ok``: one grouped aggregate of the normal-equation sums, solved per key."""
+    names = list(xs)
+    rows = h.where(ok)
+    aggs = [F.count(F.lit(1)).alias("_m")]
+    for i, a in enumerate(names):
+        aggs.append(F.sum(xs[a] * y).alias(f"s_{i}_y"))
+        for j, b in enumerate(names):
+            aggs.append(F.sum(xs[a] * xs[b]).alias(f"s_{i}_{j}"))
+    key_fields = ", ".join(f"`{k}` {h.schema[k].dataType.simpleString()}" for k in keys)
+    schema = ((key_fields + ", ") if keys else "") + ", ".join(f"b_{n} double" for n in names) + ", n_fit_rows long"
+    if not keys:
+        sums = rows.agg(*aggs).withColumn("_g", F.lit(0))
+        return sums.groupBy("_g").applyInPandas(lambda pdf: _solve_group(pdf, [], names), schema)
+    sums = rows.groupBy(*keys).agg(*aggs)
+    return sums.groupBy(*keys).applyInPandas(lambda pdf: _solve_group(pdf, keys, names), schema)
+
+
+def _hannan_rissanen(s: DataFrame, keys: list[str], p: int, d: int, q: int,
+                     train_share: float | None) -> DataFrame:
+    """ARIMA(p, d, q) by Hannan-Rissanen, every step distributed: a long AR(m)
+    gives innovation estimates (a column), their lags come from the bucketed
+    halo windows, and a second least-squares fit on z lags and innovation lags
+    gives the AR and MA terms. Returns rows with ``_z``, ``_zhat``, ``fitted``,
+    ``_train`` and the ``b_*`` coefficients."""
+    m = max(2 * (p + q), 8)
+    h = cut_lineage(_design(s, keys, m, d, train_share))
+    coef1 = _coefficients(h, keys, m, d, "_train")
+    f1 = _fitted(_attach(h, coef1, keys), m, d)
+    f1 = f1.withColumn("_e", F.col("_z") - F.col("_zhat")).drop("_zhat", "fitted", *coef1.columns[len(keys):])
+    h2 = with_halo(f1, ["t"], keys, q)
+    w = local_window(keys, ["t"])
+    h2 = h2.withColumns({f"_e{j}": F.lag("_e", j).over(w) for j in range(1, q + 1)})
+    h2 = cut_lineage(h2.where(~F.col("_halo")).drop("_halo", BUCKET))
+    xs = ({"const": F.lit(1.0)} if d == 0 else {})
+    xs.update({f"ar{j}": F.col(f"_z{j}") for j in range(1, p + 1)})
+    xs.update({f"ma{j}": F.col(f"_e{j}") for j in range(1, q + 1)})
+    ok = F.col("_train") & F.col("_z").isNotNull()
+    for c in xs.values():
+        ok = ok & c.isNotNull()
+    coef2 = _ols(h2, keys, xs, F.col("_z"), ok)
+    j2 = _attach(h2, coef2, keys)
+    zhat = F.col("b_const") if d == 0 else F.lit(0.0)
+    for j in range(1, p + 1):
+        zhat = zhat + F.col(f"b_ar{j}") * F.col(f"_z{j}")
+    for j in range(1, q + 1):
+        zhat = zhat + F.col(f"b_ma{j}") * F.col(f"_e{j}")
+    undo = F.lit(0.0)
+    for k in range(1, d + 1):
+        undo = undo - F.lit(float((-1) ** k * _binom(d, k))) * F.col(f"_y{k}")
+    return j2.withColumn("_zhat", zhat).withColumn("fitted", F.col("_zhat") + undo)
+
+
 def _attach(h: DataFrame, coef: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
         return join_small(h, coef, keys)
@@ -137,14 +194,15 @@ def arima_fit(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), or
     terms as an array), residual variance, and in-sample RMSE / MAE over the
     training rows that have a fit (the first p + d rows have none; counted)."""
     p, d, qq = order
-    if qq:
-        raise ValueError("MA terms (q > 0) are not supported by the least-squares estimator")
     keys = list(keys)
     s = series(df, time, value, keys, every)
-    # the design table feeds the coefficient, fit and metric jobs: build it once
-    h = cut_lineage(_design(s, keys, p, d, train_share))
-    coef = _coefficients(h, keys, p, d, "_train")
-    fit = _fitted(_attach(h, coef, keys), p, d)
+    if qq:
+        fit = _hannan_rissanen(cut_lineage(s), keys, p, d, qq, train_share)
+    else:
+        # the design table feeds the coefficient, fit and metric jobs: build it once
+        h = cut_lineage(_design(s, keys, p, d, train_share))
+        coef = _coefficients(h, keys, p, d, "_train")
+        fit = _fitted(_attach(h, coef, keys), p, d)
     tr = fit.where(F.col("_train"))
     err = F.col("y") - F.col("fitted")
     agg = tr.groupBy(*keys).agg(
@@ -153,30 +211,36 @@ def arima_fit(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), or
         F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
         F.avg((F.col("_z") - F.col("_zhat")) * (F.col("_z") - F.col("_zhat"))).alias("sigma2"),
         *[F.first(f"b_{n}").alias(f"b_{n}") for n in (["const"] if d == 0 else []) +
-          [f"ar{j}" for j in range(1, p + 1)]])
+          [f"ar{j}" for j in range(1, p + 1)] + [f"ma{j}" for j in range(1, qq + 1)]])
     ar = F.array(*[F.col(f"b_ar{j}") for j in range(1, p + 1)]) if p else F.array().cast("array<double>")
+    ma = F.array(*[F.col(f"b_ma{j}") for j in range(1, qq + 1)]) if qq else F.array().cast("array<double>")
     const = F.col("b_const") if d == 0 else F.lit(None).cast("double")
-    return agg.select(*keys, "n", "n_train", "n_fitted", F.lit(f"({p},{d},0)").alias("order"),
-                      const.alias("const"), ar.alias("ar"), "sigma2", "rmse", "mae")
+    return agg.select(*keys, "n", "n_train", "n_fitted", F.lit(f"({p},{d},{qq})").alias("order"),
+                      const.alias("const"), ar.alias("ar"), ma.alias("ma"), "sigma2", "rmse", "mae")
 
 
-def _psi(phi: np.ndarray, d: int, h: int) -> np.ndarray:
-    """psi-weights of (1 - phi(B)) (1 - B)^d."""
+def _psi(phi: np.ndarray, d: int, h: int, theta: np.ndarray | None = None) -> np.ndarray:
+    """psi-weights of (1 + theta(B)) / ((1 - phi(B)) (1 - B)^d)."""
     poly = np.concatenate([[1.0], -phi]) if len(phi) else np.array([1.0])
     for _ in range(d):
         poly = np.convolve(poly, [1.0, -1.0])
     a = -poly[1:]
     psi = np.zeros(h)
     psi[0] = 1.0
+    th = theta if theta is not None else np.array([])
     for j in range(1, h):
-        psi[j] = sum(a[i - 1] * psi[j - i] for i in range(1, min(j, len(a)) + 1))
+        psi[j] = (th[j - 1] if j <= len(th) else 0.0) + \
+            sum(a[i - 1] * psi[j - i] for i in range(1, min(j, len(a)) + 1))
     return psi
 
 
-def _forecast_group(pdf: pd.DataFrame, keys: list[str], p: int, d: int, horizon: int, zq: float) -> pd.DataFrame:
+def _forecast_group(pdf: pd.DataFrame, keys: list[str], p: int, d: int, horizon: int, zq: float,
+                    q: int = 0) -> pd.DataFrame:
     r = pdf.iloc[0]
-    hist = np.array(r["_last"], dtype=float)          # most recent last, length <= p + d
+    hist = np.array(r["_last"], dtype=float)          # most recent last
     phi = np.array([r[f"b_ar{j}"] for j in range(1, p + 1)], dtype=float)
+    theta = np.array([r[f"b_ma{j}"] for j in range(1, q + 1)], dtype=float)
+    eps = [0.0 if v is None or pd.isna(v) else float(v) for v in (r["_last_e"] if q else [])]
     c = float(r["b_const"]) if d == 0 else 0.0
     sigma2 = float(r["sigma2"]) if r["sigma2"] is not None and not pd.isna(r["sigma2"]) else np.nan
     y = list(hist)
@@ -185,11 +249,13 @@ def _forecast_group(pdf: pd.DataFrame, keys: list[str], p: int, d: int, horizon:
         arr = np.array(y)
         z = np.diff(arr, n=d) if d else arr
         zf = c + sum(phi[j - 1] * z[-j] for j in range(1, p + 1)) if len(z) >= p else np.nan
+        zf += sum(theta[j - 1] * eps[-j] for j in range(1, q + 1) if len(eps) >= j)
+        eps.append(0.0)  # future innovations have mean zero
         # undo the differencing: y_t = z_t - sum_{k>=1} (-1)^k C(d,k) y_{t-k}
         yf = zf - sum(((-1) ** k) * math.comb(d, k) * arr[-k] for k in range(1, d + 1))
         y.append(yf)
         out_vals.append(yf)
-    psi = _psi(phi, d, horizon)
+    psi = _psi(phi, d, horizon, theta)
     se = np.sqrt(sigma2 * np.cumsum(psi ** 2))
     last_t = pd.Timestamp(r["_last_t"])
     step = pd.Timedelta(microseconds=int(r["_step_us"])) if r["_step_us"] and r["_step_us"] > 0 \
@@ -208,21 +274,27 @@ def arima_forecast(df: DataFrame, time: str, value: str, keys: Sequence[str] = (
     Refits on all rows; future times continue from the last time with the
     series' constant spacing, or one day when spacing varies."""
     p, d, qq = order
-    if qq:
-        raise ValueError("MA terms (q > 0) are not supported by the least-squares estimator")
     keys = list(keys)
     s = cut_lineage(series(df, time, value, keys, every))
-    h = cut_lineage(_design(s, keys, p, d, None))
-    coef = _coefficients(h, keys, p, d, "_train")
-    fit = _fitted(_attach(h, coef, keys), p, d)
-    resid = fit.groupBy(*keys).agg(
-        F.avg((F.col("_z") - F.col("_zhat")) * (F.col("_z") - F.col("_zhat"))).alias("sigma2"))
-    # last p + d values per key: a top-k, planned as a partial group limit
-    m = max(p + d, 1)
+    if qq:
+        fit = cut_lineage(_hannan_rissanen(s, keys, p, d, qq, None))
+        names = (["const"] if d == 0 else []) + [f"ar{j}" for j in range(1, p + 1)] + \
+            [f"ma{j}" for j in range(1, qq + 1)]
+        coef = fit.groupBy(*keys).agg(*[F.first(f"b_{n}").alias(f"b_{n}") for n in names])
+    else:
+        h = cut_lineage(_design(s, keys, p, d, None))
+        coef = _coefficients(h, keys, p, d, "_train")
+        fit = _fitted(_attach(h, coef, keys), p, d)
+    fit = fit.withColumn("_res", F.col("_z") - F.col("_zhat"))
+    resid = fit.groupBy(*keys).agg(F.avg(F.col("_res") * F.col("_res")).alias("sigma2"))
+    # last p + d values (and q innovations) per key: a top-k, planned as a
+    # partial group limit
+    m = max(p + d, qq, 1)
     wd = Window.partitionBy(*keys).orderBy(F.col("t").desc())
-    tail = s.withColumn("_r", F.row_number().over(wd)).where(F.col("_r") <= m)
+    tail = fit.select(*keys, "t", "y", "_res").withColumn("_r", F.row_number().over(wd)).where(F.col("_r") <= m)
     last = tail.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("t", "y"))), lambda e: e["y"]).alias("_last"),
+        F.transform(F.sort_array(F.collect_list(F.struct("t", "_res"))), lambda e: e["_res"]).alias("_last_e"),
         F.max("t").alias("_last_t"))
     # spacing: constant gap when min gap == max gap
     gaps = with_halo(s, ["t"], keys, 1)
@@ -243,4 +315,4 @@ def arima_forecast(df: DataFrame, time: str, value: str, keys: Sequence[str] = (
     if not keys:
         parts = parts.withColumn("_g", F.lit(0))
     return parts.groupBy(*grp).applyInPandas(
-        lambda pdf: _forecast_group(pdf, keys, p, d, horizon, zq), schema)
+        lambda pdf: _forecast_group(pdf, keys, p, d, horizon, zq, qq), schema)

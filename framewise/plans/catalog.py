@@ -882,3 +882,8 @@ def _live_sliding(s, sf):
 
 
 register("live_kpi_sliding", SLIDING_SQL)(_live_sliding)
+
+register("arima_arma_fit")(
+    lambda s, sf: fc.arima_fit(dv.orders_daily(s, sf), "day", "total", [], (2, 1, 1)))
+register("arima_arma_forecast")(
+    lambda s, sf: fc.arima_forecast(T(s, sf, "events"), "ts", "value", ["event_type"], (1, 0, 1), 10, every="day"))

@@ -50,3 +50,20 @@ def test_ar1_recovered_and_forecast(spark):
     assert (fc["Lower CI"] < fc.Forecast).all() and (fc.Forecast < fc["Upper CI"]).all()
     widths = (fc["Upper CI"] - fc["Lower CI"]).tolist()
     assert widths[0] < widths[1] < widths[2]
+
+
+def test_arma11_recovered(spark):
+    rng = np.random.default_rng(21)
+    phi, theta, e_prev, y = 0.5, 0.4, 0.0, [0.0]
+    for _ in range(5999):
+        e = rng.normal(0, 1.0)
+        y.append(phi * y[-1] + e + theta * e_prev)
+        e_prev = e
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + dt.timedelta(hours=i), v) for i, v in enumerate(y)], "t timestamp_ntz, y double")
+    r = forecast.arima_fit(df, "t", "y", [], (1, 0, 1)).first()
+    assert r["ar"][0] == pytest.approx(phi, abs=0.08) and r["ma"][0] == pytest.approx(theta, abs=0.08)
+    assert r["order"] == "(1,0,1)"
+    fc = forecast.arima_forecast(df, "t", "y", [], (1, 1, 1), horizon=4).orderBy("step").toPandas()
+    assert len(fc) == 4 and fc.Date.iloc[0] == t0 + dt.timedelta(hours=6000)
+    assert (fc["Upper CI"] - fc["Lower CI"]).is_monotonic_increasing
