@@ -887,3 +887,33 @@ register("arima_arma_fit")(
     lambda s, sf: fc.arima_fit(dv.orders_daily(s, sf), "day", "total", [], (2, 1, 1)))
 register("arima_arma_forecast")(
     lambda s, sf: fc.arima_forecast(T(s, sf, "events"), "ts", "value", ["event_type"], (1, 0, 1), 10, every="day"))
+
+# ----------------------------------------------------- square correlation, KPI deltas
+_CM = ["l_quantity", "l_extendedprice", "l_discount"]
+CORR_MATRIX_SQL = "\nUNION ALL ".join(
+    f"SELECT '{a}' AS \"column\", " + ", ".join(f"round(corr({a}, {b}), 6) AS {b}" for b in _CM) + " FROM lineitem"
+    for a in _CM)
+
+register("correlation_matrix", CORR_MATRIX_SQL)(
+    lambda s, sf: rnd(charts.correlation_matrix(T(s, sf, "lineitem"), _CM), {c: 6 for c in _CM}))
+
+KPI_DELTA_SQL = f"""
+WITH cur AS (SELECT count(*) AS n, CAST(sum(o_totalprice) AS DOUBLE) AS v FROM orders WHERE year(o_orderdate) = 2000),
+prev AS (SELECT count(*) AS n, CAST(sum(o_totalprice) AS DOUBLE) AS v FROM orders WHERE year(o_orderdate) = 1999)
+SELECT 0 AS position, 'Total Rows' AS label, CAST(cur.n AS DOUBLE) AS value, format('{{:,}}', cur.n) AS display,
+       CAST(cur.n - prev.n AS DOUBLE) AS delta FROM cur, prev
+UNION ALL
+SELECT 1, 'Total o_totalprice', round(cur.v, 2), {KPI_FMT_SQL.replace('v', 'cur.v')}, round(cur.v - prev.v, 2)
+FROM cur, prev"""
+
+
+def _kpi_delta(s, sf):
+    o = T(s, sf, "orders")
+    cur = o.where(F.year("o_orderdate") == 2000)
+    prev = o.where(F.year("o_orderdate") == 1999)
+    k = charts.kpi(cur, ["o_totalprice"], "Sum", compare=prev)
+    return k.withColumn("value", F.when(F.col("position") == 0, F.col("value")).otherwise(F.round("value", 2))) \
+        .withColumn("delta", F.when(F.col("position") == 0, F.col("delta")).otherwise(F.round("delta", 2)))
+
+
+register("kpi_delta", KPI_DELTA_SQL)(_kpi_delta)
