@@ -67,3 +67,35 @@ def test_arma11_recovered(spark):
     fc = forecast.arima_forecast(df, "t", "y", [], (1, 1, 1), horizon=4).orderBy("step").toPandas()
     assert len(fc) == 4 and fc.Date.iloc[0] == t0 + dt.timedelta(hours=6000)
     assert (fc["Upper CI"] - fc["Lower CI"]).is_monotonic_increasing
+
+
+def test_approx_flags_close_to_exact(spark, sf):
+    from framewise.operators import clean, profile
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    exact = {r["column"]: r["unique"] for r in profile.column_info(li).collect()}
+    approx = {r["column"]: r["unique"] for r in profile.column_info(li, approx=True).collect()}
+    for c, n in exact.items():
+        assert abs(approx[c] - n) <= max(3, 0.15 * n)  # HyperLogLog, 5% relative standard error
+    e = clean.iqr_fences(li, ["l_extendedprice"])["l_extendedprice"]
+    a = clean.iqr_fences(li, ["l_extendedprice"], approx=True)["l_extendedprice"]
+    assert abs(a[0] - e[0]) < 0.05 * abs(e[1] - e[0]) and abs(a[1] - e[1]) < 0.05 * abs(e[1] - e[0])
+
+
+def test_scatter_sample_bounded_and_deterministic(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    a = charts.scatter_points(li, "l_quantity", "l_extendedprice", max_points=500)
+    b = charts.scatter_points(li, "l_quantity", "l_extendedprice", max_points=500)
+    n = a.count()
+    assert 300 <= n <= 700
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert charts.scatter_points(li, "l_quantity", "l_extendedprice").count() == li.count()
+
+
+def test_correlation_matrix_square(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_tax"]
+    m = charts.correlation_matrix(li, cols).toPandas().set_index("column").loc[cols, cols]
+    assert np.allclose(np.diag(m.to_numpy()), 1.0)
+    assert np.allclose(m.to_numpy(), m.to_numpy().T)
+    ref = li.select(*cols).toPandas().corr().loc[cols, cols]
+    assert np.allclose(m.to_numpy(), ref.to_numpy(), atol=1e-9)
