@@ -53,7 +53,7 @@ def column_info(df: DataFrame, approx: bool = False) -> DataFrame:
 def numeric_insights(df: DataFrame, n: int = 3, cols: Sequence[str] | None = None) -> DataFrame:
     """Mean, median, sample std of the first ``n`` numeric columns."""
     cols = list(cols) if cols is not None else numeric_columns(df)[:n]
-    return describe(df, cols).select("position", "column", "mean", F.col("50%").alias("median"), "std")
+    return describe(df, cols, probs=(0.5,)).select("position", "column", "mean", F.col("50%").alias("median"), "std")
 
 
 def categorical_insights(df: DataFrame, n: int = 3, cols: Sequence[str] | None = None) -> DataFrame:
@@ -74,7 +74,8 @@ def categorical_insights(df: DataFrame, n: int = 3, cols: Sequence[str] | None =
 STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
+             probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """P5: count, mean, std, min, quartiles (interpolated), max per column.
 
     One aggregate for the moments, one distributed quantile pass; the result
@@ -95,7 +96,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
                  F.col(f"n{i}").cast("long").alias("count"), F.col(f"m{i}").alias("mean"),
                  F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
         for i, c in enumerate(cols)])))
-    qt = quantile_table(df, cols, [0.25, 0.5, 0.75], approx=approx)
+    # only the wanted quartiles are selected; the others are null columns
+    qt = quantile_table(df, cols, list(probs), approx=approx)
     qw = qt.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
                                     for p, name in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%"))])
     out = mom.join(qw, "column", "left")
