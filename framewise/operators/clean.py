@@ -7,11 +7,14 @@ never leave the executors, and the returned DataFrame is a lazy plan.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewise.functions.columns import (as_double, clean_value, missing_cells, numeric_columns,
                                          q)
@@ -101,11 +104,38 @@ def mode_table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    out = {}
-    for c in cols:
-        row = mode_table(df, c).first()
-        out[c] = row["mode"] if row is not None else None
-    return out
+    """Mode of each column, all columns in one action: every column's mode is
+    chosen in its own type, then the one-row results are unioned as text and
+    turned back into the column's type on the driver (one value per column)."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    parts = [mode_table(df, c).select(F.lit(i).alias("_i"), F.col("mode").cast("string").alias("_m"))
+             for i, c in enumerate(cols)]
+    allm = parts[0]
+    for part in parts[1:]:
+        allm = allm.unionByName(part)
+    got = {r["_i"]: r["_m"] for r in allm.collect()}
+    return {c: _from_text(got.get(i), df.schema[c].dataType) for i, c in enumerate(cols)}
+
+
+def _from_text(v: str | None, dt: T.DataType):
+    """A value Spark rendered as text, back in its Python type."""
+    if v is None:
+        return None
+    if isinstance(dt, T.IntegralType):
+        return int(v)
+    if isinstance(dt, T.DecimalType):
+        return decimal.Decimal(v)
+    if isinstance(dt, T.FractionalType):
+        return float(v)
+    if isinstance(dt, T.BooleanType):
+        return v == "true"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return datetime.datetime.fromisoformat(v)
+    if isinstance(dt, T.DateType):
+        return datetime.date.fromisoformat(v)
+    return v
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
