@@ -101,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same = lambda a, b, c: a[c].eqNullSafe(b[c])  # noqa: E731  null is a source like any other
     prefix = sums.join(starts, same(sums, starts, "source") & (sums["range"] == starts["range"])).select(
         sums["source"], "key", "words", (F.col("start") + F.col("upto")).alias("upto"))
-    cut = prefix.join(plan, same(prefix, plan, "source")).where(
+    cut = join_checked(prefix, plan, same(prefix, plan, "source")).where(
         (F.col("upto") - F.col("words") < F.col("need")) & (F.col("need") <= F.col("upto"))).select(
         prefix["source"], F.col("key").alias("cut_key"), F.col("words").alias("cut_words"),
         (F.col("need") - F.col("upto") + F.col("words")).alias("cut_need"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, langid, lattice, linededup, mixing, quality, simhash, topk, urlfilter
+from framewise.llm import bpe, langid, lattice, linededup, mixing, quality, runindex, simhash, topk, urlfilter
 from framewise.session import cut_lineage, read_table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -57,12 +57,17 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.removal_report(read_table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_bpe, op4_language_id, op5_line_dedup,
-                                   op6_url_filter, op7_topk_search, op8_embedding_near_dedup, op10_quality)}
+                                   op6_url_filter, op7_topk_search, op8_embedding_near_dedup,
+                                   op9_suffix_dedup, op10_quality)}
 
 WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
