@@ -79,15 +79,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _kept_masks() -> list[int]:
+    """Per part: the bits of all blocks but one."""
+    edges = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
+    return [_signed(sum(1 << b for b in range(BITS) if not edges[p] <= b < edges[p + 1])) for p in range(BLOCKS)]
+
+
 def _keys(fps: DataFrame, distance: int) -> DataFrame:
     """``(part, key, fp)``: the ball of every fingerprint in each word that leaves one block out."""
     radius = -(-(distance - -(-distance // BLOCKS)) // 2)
-    edges = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
     parts = []
-    for p in range(BLOCKS):
-        left_out = range(edges[p], edges[p + 1])
-        rest = [b for b in range(BITS) if b not in left_out]
-        keep = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in rest))))
+    for p, mask in enumerate(_kept_masks()):
+        rest = [b for b in range(BITS) if mask >> b & 1]
+        keep = F.col("fp").bitwiseAND(F.lit(mask))
         masks = F.array(*[F.lit(m).cast("long") for m in _flips(rest, radius)])
         parts.append(fps.select("fp", keep.alias("w"), F.explode(masks).alias("m")).select(
             F.lit(p).cast("byte").alias("part"), F.col("w").bitwiseXOR(F.col("m")).alias("key"), "fp"))
@@ -105,12 +109,20 @@ def links(fps: DataFrame, distance: int = 3, pairs_up_to: int = 64) -> DataFrame
     """Links ``(src, dst)`` between distinct fingerprints (``fps`` has one column ``fp``, no repeats) whose
     components are those of the relation "at most ``distance`` bits apart"."""
     w = Window.partitionBy("part", "key")
-    met = cut_lineage(_keys(fps, distance).withColumn("n", F.count("*").over(w)).where(F.col("n") > 1))
+    # flips: how the key differs from the fingerprint's own word. Fingerprints with the same word meet under every key
+    # of its ball, all with the same flips; the meeting under the word itself is enough.
+    keep = F.element_at(F.array(*[F.lit(k).cast("long") for k in _kept_masks()]), F.col("part") + 1)
+    flips = F.col("key").bitwiseXOR(F.col("fp").bitwiseAND(keep))
+    met = _keys(fps, distance).withColumn("flips", flips).withColumns({
+        "n": F.count("*").over(w), "lo": F.min("flips").over(w), "hi": F.max("flips").over(w)})
+    met = cut_lineage(met.where("n > 1 and (lo <> hi or flips = 0)").select("part", "key", "fp", "flips", "n"))
     few = met.where(F.col("n") <= pairs_up_to)
     # within a small key: every earlier fingerprint, by windows over at most pairs_up_to rows
-    earlier = F.collect_list("fp").over(w.orderBy("fp").rowsBetween(Window.unboundedPreceding, -1))
-    pairs = (few.withColumn("before", earlier).select(F.col("fp").alias("src"), F.explode("before").alias("dst"))
-             .where(_far(F.col("src"), F.col("dst")) <= distance).distinct())
+    earlier = F.collect_list(F.struct("fp", "flips")).over(w.orderBy("fp").rowsBetween(Window.unboundedPreceding, -1))
+    close = F.filter("before", lambda o: ((o["flips"] != F.col("flips")) | (o["flips"] == 0))
+                     & (_far(o["fp"], F.col("fp")) <= distance))
+    pairs = few.withColumn("before", earlier).select(F.col("fp").alias("src"), F.explode(
+        F.transform(close, lambda o: o["fp"])).alias("dst")).distinct()
     many = met.where(F.col("n") > pairs_up_to).select("fp").distinct()
     return pairs.unionByName(_star_links(many, distance))
 
