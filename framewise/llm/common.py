@@ -44,6 +44,18 @@ def join_checked(big: DataFrame, table: DataFrame, on, how: str = "inner") -> Da
     return big.join(F.broadcast(table) if fits_broadcast(table) else table, on, how)
 
 
+def cut_lineage_partitioned(df: DataFrame) -> DataFrame:
+    """A checkpoint that keeps the hash partitioning of ``df``, so that later groupings by it need no shuffle. Adaptive
+    execution hides the partitioning of what it ran, so it is off for this one job."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(key, before)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an undirected graph given as ``(src, dst)`` longs: component is the smallest
     node reachable. Nodes without edges to other nodes do not appear.
