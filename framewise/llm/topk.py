@@ -69,28 +69,32 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     parts = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("code"), s).alias("val")) for s in range(segments)]))
     index = cut_lineage(classes.select("code", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first"), parts.alias("p"))
                         .select("p.seg", "p.val", "code", "n", "first"))
-    active = cut_lineage(queries.select(F.col("code").alias("q")).distinct())
+    # bound: no code farther than this can still be among a query's nearest
+    active = cut_lineage(queries.select(F.col("code").alias("q"), F.lit(BITS).alias("bound")).distinct())
     best, finished = None, None
     rank = Window.partitionBy("q").orderBy("d", "first")
     for radius in range(width + 1):
         if active.isEmpty():
             break
         masks = F.explode(F.array(*[F.lit(m).cast("long") for m in _flips(width, radius)]))
-        probes = active.select("q", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("q"), s).alias("val"))
+        probes = active.select("q", "bound", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("q"), s).alias("val"))
                                                         for s in range(segments)])).alias("p")).select(
-            "q", "p.seg", F.col("p.val").alias("own"), masks.alias("m")).select(
-            "q", "seg", F.col("own").bitwiseXOR(F.col("m")).alias("val"))
-        found = probes.join(index, ["seg", "val"]).select(
-            "q", "code", "n", "first", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d")).distinct()
+            "q", "bound", "p.seg", F.col("p.val").alias("own"), masks.alias("m")).select(
+            "q", "bound", "seg", F.col("own").bitwiseXOR(F.col("m")).alias("val"))
+        far = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        meet = (probes["seg"] == index["seg"]) & (probes["val"] == index["val"]) & (far <= F.col("bound"))
+        found = probes.join(index, meet).select("q", "code", "n", "first", far.alias("d")).distinct()
         if best is not None:
-            found = found.unionByName(best.join(active, "q", "left_semi")).distinct()
+            found = found.unionByName(best.join(active, "q", "left_semi").select(*found.columns)).distinct()
         best = cut_lineage(found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= need).drop("r"))
         covered = segments * (radius + 1) - 1 if radius < width else BITS
         done = best.where(F.col("d") <= covered).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select("q")
         done = cut_lineage(done if radius < width else active)
         kept = best.join(done, "q", "left_semi")
         finished = kept if finished is None else finished.unionByName(kept)
-        active = cut_lineage(active.join(done, "q", "left_anti"))
+        bounds = best.groupBy("q").agg(F.sum("n").alias("n"), F.max("d").alias("d")).where(F.col("n") >= need).select("q", "d")
+        active = cut_lineage(active.join(done, "q", "left_anti").join(bounds, "q", "left").select(
+            "q", F.coalesce("d", "bound").alias("bound")))
     if finished is None:
         finished = active.select("q", F.col("q").alias("code"), F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("d")).limit(0)
     near = finished.select("q", "code", "d").join(classes, "code").select("q", "d", F.explode("ids").alias("hit"))
