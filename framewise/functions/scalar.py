@@ -16,11 +16,11 @@ EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 # Password-strength rules, checked in this order; the first failing rule is reported.
 MIN_LENGTH = 8
 STRENGTH_RULES = (
-    ("length", None, "Password must be at least 8 characters long"),
-    ("uppercase", r"[A-Z]", "Password must contain at least one uppercase letter"),
-    ("lowercase", r"[a-z]", "Password must contain at least one lowercase letter"),
-    ("number", r"[0-9]", "Password must contain at least one number"),
-    ("special", r"[!@#$%^&*(),.?\":{}|<>]", "Password must contain at least one special character"),
+    ("length", None),
+    ("uppercase", r"[A-Z]"),
+    ("lowercase", r"[a-z]"),
+    ("number", r"[0-9]"),
+    ("special", r"[!@#$%^&*(),.?\":{}|<>]"),
 )
 
 
@@ -104,7 +104,7 @@ def email_valid(col: Column) -> Column:
 def strength_failure(col: Column) -> Column:
     """Name of the first strength rule the text fails, or null when all pass."""
     out = None
-    for name, pattern, _msg in STRENGTH_RULES:
+    for name, pattern in STRENGTH_RULES:
         cond = F.length(col) < MIN_LENGTH if pattern is None else ~col.rlike(pattern)
         out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
     return out.otherwise(F.lit(None).cast("string"))

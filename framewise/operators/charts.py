@@ -56,16 +56,16 @@ def kpi_summary(df: DataFrame, col: str | None = None) -> DataFrame:
                   F.min(x).alias("minimum"))
 
 
-def kpi_trend(df: DataFrame, col: str, order_by: Sequence[str], max_points: int = 1000) -> DataFrame:
-    """G2 trend: the series in row order, averaged into at most ``max_points``
-    consecutive blocks (the reference draws every row). Row positions come
+def kpi_trend(df: DataFrame, col: str, order_by: Sequence[str], max_points: int | None = None) -> DataFrame:
+    """G2 trend: the series in row order, every row a point; with ``max_points``,
+    averaged into at most that many consecutive blocks. Row positions come
     from the bucketed ordering, not a one-task window."""
     from framewise.plans.ordered import row_index
     n = df.count()
     if n == 0:
         return df.sparkSession.createDataFrame([], "point long, first_row long, rows long, value double")
     idx = row_index(df.select(*[q(c) for c in order_by], as_double(df, col).alias("_v")), order_by, out="_i")
-    pt = F.floor(F.col("_i") * F.lit(min(max_points, n)) / F.lit(n)).cast("long")
+    pt = F.floor(F.col("_i") * F.lit(min(max_points or n, n)) / F.lit(n)).cast("long")
     return (idx.groupBy(pt.alias("point")).agg(F.min("_i").alias("first_row"), F.count(F.lit(1)).alias("rows"),
                                                F.avg("_v").alias("value")).orderBy("point"))
 
@@ -281,15 +281,16 @@ def pie_shares(df: DataFrame, col: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, max_points: int | None, seed: int = 42) -> DataFrame:
     """Deterministic hash sample down to about ``max_points`` rows (a sampling
-    operator for charts; independent of partitioning)."""
+    operator for charts; independent of partitioning). The hash is compared in
+    its whole 64-bit range, so the share may be as small as it needs to be."""
     if not max_points:
         return df
     n = df.count()
     if n <= max_points:
         return df
-    keep = int(max_points / n * 1_000_000)
-    h = F.pmod(F.xxhash64(*[q(c) for c in df.columns], F.lit(seed)), F.lit(1_000_000))
-    return df.where(h < F.lit(keep))
+    below = -(1 << 63) + max_points * (1 << 64) // n
+    h = F.xxhash64(*[q(c) for c in df.columns], F.lit(seed))
+    return df.where(h < F.lit(below).cast("long"))
 
 
 def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import zoneinfo
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -116,11 +117,12 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     for part in parts[1:]:
         allm = allm.unionByName(part)
     got = {r["_i"]: r["_m"] for r in allm.collect()}
-    return {c: _from_text(got.get(i), df.schema[c].dataType) for i, c in enumerate(cols)}
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    return {c: _from_text(got.get(i), df.schema[c].dataType, zone) for i, c in enumerate(cols)}
 
 
-def _from_text(v: str | None, dt: T.DataType):
-    """A value Spark rendered as text, back in its Python type."""
+def _from_text(v: str | None, dt: T.DataType, zone: str):
+    """A value Spark rendered as text (instants in the session's time zone), back in its Python type."""
     if v is None:
         return None
     if isinstance(dt, T.IntegralType):
@@ -131,7 +133,9 @@ def _from_text(v: str | None, dt: T.DataType):
         return float(v)
     if isinstance(dt, T.BooleanType):
         return v == "true"
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dt, T.TimestampType):
+        return datetime.datetime.fromisoformat(v).replace(tzinfo=zoneinfo.ZoneInfo(zone))
+    if isinstance(dt, T.TimestampNTZType):
         return datetime.datetime.fromisoformat(v)
     if isinstance(dt, T.DateType):
         return datetime.date.fromisoformat(v)

@@ -26,14 +26,12 @@ def filter_equals(df: DataFrame, col: str, value) -> DataFrame:
     return df.where(q(col) == F.lit(value))
 
 
-def category_values(df: DataFrame, col: str, max_categories: int = 1000) -> list:
-    """Sorted distinct non-null values, refused beyond ``max_categories``.
-
-    The distinct runs distributed; only up to ``max_categories + 1`` values
-    reach the driver, so the size of what is collected is bounded."""
-    vals = (df.select(q(col).alias("v")).where(F.col("v").isNotNull()).distinct()
-            .limit(max_categories + 1).collect())
-    if len(vals) > max_categories:
+def category_values(df: DataFrame, col: str, max_categories: int | None = None) -> list:
+    """Sorted distinct non-null values: each becomes a column, so they are as
+    many as a table can have columns. ``max_categories`` refuses more than that."""
+    distinct = df.select(q(col).alias("v")).where(F.col("v").isNotNull()).distinct()
+    vals = (distinct.limit(max_categories + 1) if max_categories else distinct).collect()
+    if max_categories and len(vals) > max_categories:
         raise ValueError(f"{col!r} has more than {max_categories} categories")
     return sorted(r["v"] for r in vals)
 
@@ -43,7 +41,7 @@ def _label(v) -> str:
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
-            max_categories: int = 1000) -> DataFrame:
+            max_categories: int | None = None) -> DataFrame:
     """``{col}_{value}`` boolean columns, categories sorted, first dropped.
 
     New columns are appended after the remaining ones and the source columns

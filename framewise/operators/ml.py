@@ -65,16 +65,18 @@ def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def standard_scale(df: DataFrame, cols: Sequence[str], out_suffix: str = "") -> DataFrame:
     """M4: ``(x - mean) / population std`` in one aggregate pass; a zero
-    standard deviation gives 0, null stays null; booleans are not scaled."""
+    standard deviation gives 0, null stays null, NaN is missing and becomes
+    null; booleans are not scaled."""
     cols = [c for c in cols if not isinstance(df.schema[c].dataType, T.BooleanType)]
     if not cols:
         return df
-    row = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    value = {c: F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")) for c in cols}
+    row = df.agg(*[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(value[c]).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = {}
     for i, c in enumerate(cols):
         m, s = row[f"m{i}"], row[f"s{i}"]
-        x = q(c).cast("double")
+        x = value[c]
         if m is None:
             out[c + out_suffix] = x
         elif not s:
@@ -134,7 +136,8 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, dict]:
         if isinstance(dt, DATETIME):
             exprs.append(f"unix_micros(CAST({_sql_name(c)} AS TIMESTAMP)) / 1e6 AS {_sql_name(c + '__num')}")
         else:
-            exprs.append(f"CAST({_sql_name(c)} AS DOUBLE) AS {_sql_name(c + '__num')}")
+            x = f"CAST({_sql_name(c)} AS DOUBLE)"
+            exprs.append(f"CASE WHEN NOT isnan({x}) THEN {x} END AS {_sql_name(c + '__num')}")
     scaled = spec.text + spec.numeric
     if exprs:
         st = SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
@@ -173,14 +176,14 @@ def prepare_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- M2
-def encode_target(df: DataFrame, target: str, max_classes: int = 20) -> tuple[DataFrame, list[str]]:
-    """M2: class labels -> ``label`` (0..k-1 in sorted order); refuses more than
-    ``max_classes`` classes or fewer than 2. Rows with a null target are dropped."""
-    vals = (df.select(q(target).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-            .limit(max_classes + 1).collect())
-    if len(vals) > max_classes:
+def encode_target(df: DataFrame, target: str, max_classes: int | None = None) -> tuple[DataFrame, list[str]]:
+    """M2: class labels -> ``label`` (0..k-1 in sorted order); refuses fewer than
+    2 classes, or more than ``max_classes`` if given. Rows with a null target are dropped."""
+    classes = df.select(q(target).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+    n = classes.limit(max(max_classes or 1, 1) + 1).count()
+    if max_classes and n > max_classes:
         raise ValueError(f"{target!r} has more than {max_classes} classes")
-    if len(vals) < 2:
+    if n < 2:
         raise ValueError(f"{target!r} needs at least two classes")
     m = StringIndexer(inputCol="_t", outputCol=LABEL, stringOrderType="alphabetAsc").fit(
         df.select(q(target).cast("string").alias("_t")).where(F.col("_t").isNotNull()))

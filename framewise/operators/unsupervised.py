@@ -17,13 +17,14 @@ from framewise.functions.columns import q
 def _scaled_vectors(df: DataFrame, cols: Sequence[str] | None, array_col: str | None,
                     keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """Drop rows missing any input, standardise each input with its mean and
-    population std (one aggregate), assemble a ``features`` vector."""
+    population std (one aggregate), assemble a ``features`` vector. An array
+    shorter than the longest one misses its last inputs."""
     keep = [q(c) for c in keep]
     if array_col:
         d = df.select(*keep, q(array_col).alias("_arr")).where(F.col("_arr").isNotNull())
         dim = d.select(F.max(F.size("_arr"))).first()[0] or 0
         d = d.select(*[F.col(c) for c in d.columns if c != "_arr"],
-                     *[F.col("_arr")[i].cast("double").alias(f"_x{i}") for i in range(dim)])
+                     *[F.get("_arr", F.lit(i)).cast("double").alias(f"_x{i}") for i in range(dim)])
         names = [f"_x{i}" for i in range(dim)]
     else:
         names = list(cols)
@@ -118,6 +119,7 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, see
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
+    vec.unpersist()
     return best[1], vec
 
 

@@ -909,8 +909,9 @@ FROM cur, prev"""
 
 def _kpi_delta(s, sf):
     o = T(s, sf, "orders")
-    cur = o.where(F.year("o_orderdate") == 2000)
-    prev = o.where(F.year("o_orderdate") == 1999)
+    day = F.col("o_orderdate")  # ranges reach the scan, a function of the column would not
+    cur = o.where((day >= F.lit("2000-01-01").cast("timestamp_ntz")) & (day < F.lit("2001-01-01").cast("timestamp_ntz")))
+    prev = o.where((day >= F.lit("1999-01-01").cast("timestamp_ntz")) & (day < F.lit("2000-01-01").cast("timestamp_ntz")))
     k = charts.kpi(cur, ["o_totalprice"], "Sum", compare=prev)
     return k.withColumn("value", F.when(F.col("position") == 0, F.col("value")).otherwise(F.round("value", 2))) \
         .withColumn("delta", F.when(F.col("position") == 0, F.col("delta")).otherwise(F.round("delta", 2)))

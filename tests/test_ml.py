@@ -62,7 +62,7 @@ def test_save_load_scores_unchanged_and_unseen(spark, sf, tmp_path):
 def test_target_refusals(spark):
     df = spark.createDataFrame([(float(i), str(i)) for i in range(30)], "x double, y string")
     with pytest.raises(ValueError):
-        ml.encode_target(df, "y")
+        ml.encode_target(df, "y", max_classes=20)
     with pytest.raises(ValueError):
         ml.encode_target(df.withColumn("y", F.lit("a")), "y")
 
