@@ -11,7 +11,7 @@ Lines are compared by their sets of ``shingle``-character strings (a shorter lin
    probability 0.002.
 3. Verification. Lines that share a band are verified on their exact shingle sets (kept as 64-bit hashes). First every
    line of a band group is compared with the smallest; groups whose lines then are in more than one component are
-   compared across components (:func:`_across`). Lines of one component need no more pairs. Pairs whose signatures agree
+   compared across components, in pairs of blocks (:func:`_across`). Lines of one component need no more pairs. Pairs whose signatures agree
    at fewer than half of the positions (judged by 4 bits of each, a long in all) are not verified; at similarity 0.8
    that happens to 1 pair in 1,000.
 4. Union-find over the links (:func:`framewise.llm.common.connected_components`) and one line kept per component: that of
@@ -31,6 +31,8 @@ from framewise.session import cut_lineage
 
 GRID = 4
 LEAST = 8  # signature positions that must agree for a pair to be verified
+WORDS = 8  # 64-bit words of a line's parity bits
+BLOCK = 16_384  # shingles of the lines that are compared with another block's at a time
 
 
 def _constants() -> list[int]:
@@ -99,16 +101,65 @@ def _first_pairs(met: DataFrame) -> DataFrame:
         F.col("o.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _across(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of different components in the band groups that :func:`_first_pairs` did not cover wholly."""
+def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(band, id, sketch, c)``: the band groups that :func:`_first_pairs` did not cover wholly and whose lines are in
+    more than one component."""
     at = join_checked(met.where(F.col("n") > 2), comp, "id", "left").select(
         "band", "id", "sketch", F.coalesce("component", "id").alias("c"))
     w = Window.partitionBy("band")
-    mixed = at.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi")
-    l, r = (mixed.select(F.col("band").alias(f"band_{n}"), F.col("id").alias(n), F.col("c").alias(f"c{n}"),
-                         F.col("sketch").alias(f"s{n}")) for n in "ab")
-    return l.join(r, (F.col("band_a") == F.col("band_b")) & (F.col("ca") < F.col("cb")) & _alike(F.col("sa"), F.col("sb"))).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return at.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi")
+
+
+def _across(met: DataFrame, mixed: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(src, dst)`` between the components of the mixed band groups: dst is a component with a line like src.
+
+    A group's lines are cut into blocks of about ``BLOCK`` shingles, and every two blocks of a group are one row that is
+    verified as a whole, so no row per pair is made. A pair is verified in the first of the groups that it shares, and
+    only if the sets' parity bits allow so few differences: an exact bound, which spares most intersections."""
+    ids = cut_lineage(mixed.select("id").distinct())
+    keys = join_checked(met.select("id", "band"), ids, "id", "left_semi").groupBy("id").agg(
+        F.sort_array(F.collect_set("band")).alias("keys"))
+    sets = join_checked(lines.select("id", "line"), ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")).select(
+        "id", F.encode("line", "UTF-16BE").alias("code")).select("id", _shingle_set("code", shingle).alias("set"))
+    member = cut_lineage(keys.join(sets.withColumn("odd", _parities("set")), "id"))
+    at = F.sum(F.size("set")).over(Window.partitionBy("band").orderBy("id"))
+    blocks = cut_lineage(mixed.join(member, "id").withColumn("block", F.floor(at / BLOCK)).groupBy("band", "block").agg(
+        F.collect_list(F.struct("id", "c", "sketch", "odd", "keys", "set")).alias("rows")))
+    l = blocks.withColumnsRenamed({"band": "band_l", "block": "block_l", "rows": "left"})
+    r = blocks.withColumnsRenamed({"rows": "right"})
+
+    def linked(x: Column, y: Column) -> Column:
+        total = F.size(x["set"]) + F.size(y["set"])
+        apart = sum(F.bit_count(x["odd"][f"w{i}"].bitwiseXOR(y["odd"][f"w{i}"])) for i in range(WORDS))
+        return ((x["c"] != y["c"]) & ((F.col("block_l") < F.col("block")) | (x["c"] < y["c"])) & _alike(x["sketch"], y["sketch"])
+                & (apart <= total - 2 * _least(total, similarity))
+                & (F.get(F.array_intersect(x["keys"], y["keys"]), F.lit(0)) == F.col("band"))
+                & (F.size(F.array_intersect(x["set"], y["set"])) >= _least(total, similarity)))
+
+    found = F.flatten(F.transform("left", lambda x: F.transform(
+        F.array_distinct(F.transform(F.filter("right", lambda y: linked(x, y)), lambda y: y["c"])),
+        lambda c: F.struct(x["id"].alias("src"), c.alias("dst")))))
+    return l.join(r, (F.col("band_l") == F.col("band")) & (F.col("block_l") <= F.col("block"))).select(
+        F.explode(found).alias("link")).select("link.src", "link.dst")
+
+
+def _shingle_set(code: str, shingle: int) -> Column:
+    return F.array_distinct(F.transform(_starts(F.col(code), shingle), lambda i: F.xxhash64(_cut(F.col(code), i, shingle))))
+
+
+def _parities(members: str) -> Column:
+    """A set's members dealt to 64 * WORDS bits, each the parity of its members. Where two sets differ in k members,
+    their parities differ in at most k bits."""
+    def word(i: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(F.filter(members, lambda h: F.pmod(h, F.lit(WORDS)) == i), F.lit(0).cast("long"),
+                           lambda acc, h: acc.bitwiseXOR(bit(h)))
+    return F.struct(*[word(i).alias(f"w{i}") for i in range(WORDS)])
+
+
+def _least(total: Column, similarity: float) -> Column:
+    """The smallest intersection of two sets of ``total`` members in all that are similar enough."""
+    return F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -119,14 +170,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     two = pairs.join(text.withColumnsRenamed({"id": "a", "code": "code_a"}), "a").join(
         text.withColumnsRenamed({"id": "b", "code": "code_b"}), "b")
 
-    def shingles(code: str) -> Column:
-        return F.array_distinct(F.transform(_starts(F.col(code), shingle), lambda i: F.xxhash64(_cut(F.col(code), i, shingle))))
-
-    two = two.select("a", "b", shingles("code_a").alias("sa"), shingles("code_b").alias("sb"))
+    two = two.select("a", "b", _shingle_set("code_a", shingle).alias("sa"), _shingle_set("code_b", shingle).alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     two = two.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return two.where(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select(
-        F.col("a").alias("src"), F.col("b").alias("dst"))
+    return two.where(F.col("both") >= _least(F.col("sum"), similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def line_components(lines: DataFrame, shingle: int = 8, similarity: float = 0.8) -> DataFrame:
@@ -135,9 +182,9 @@ def line_components(lines: DataFrame, shingle: int = 8, similarity: float = 0.8)
     tried = cut_lineage(_first_pairs(met))
     found = cut_lineage(_verified(tried, lines, shingle, similarity))
     comp = connected_components(found)
-    more = cut_lineage(_across(met, comp.withColumnRenamed("node", "id")).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        added = cut_lineage(_verified(more, lines, shingle, similarity))
+    mixed = cut_lineage(_mixed(met, comp.withColumnRenamed("node", "id")))
+    if not mixed.isEmpty():
+        added = cut_lineage(_across(met, mixed, lines, shingle, similarity))
         if not added.isEmpty():
             comp = connected_components(found.unionByName(added))
     return comp.withColumnRenamed("node", "id")
