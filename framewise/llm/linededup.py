@@ -113,6 +113,7 @@ def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
 def _across(met: DataFrame, mixed: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links ``(src, dst)`` between the components of the mixed band groups: dst is a component with a line like src.
 
+    The sets move once: the exchange by band serves the running size, the blocks and both sides of their join.
     A group's lines are cut into blocks of about ``BLOCK`` shingles, and every two blocks of a group are one row that is
     verified as a whole, so no row per pair is made. A pair is verified in the first of the groups that it shares, and
     only if the sets' parity bits allow so few differences: an exact bound, which spares most intersections."""
@@ -121,10 +122,10 @@ def _across(met: DataFrame, mixed: DataFrame, lines: DataFrame, shingle: int, si
         F.sort_array(F.collect_set("band")).alias("keys"))
     sets = join_checked(lines.select("id", "line"), ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")).select(
         "id", F.encode("line", "UTF-16BE").alias("code")).select("id", _shingle_set("code", shingle).alias("set"))
-    member = cut_lineage(keys.join(sets.withColumn("odd", _parities("set")), "id"))
+    member = keys.join(sets.withColumn("odd", _parities("set")), "id")
     at = F.sum(F.size("set")).over(Window.partitionBy("band").orderBy("id"))
-    blocks = cut_lineage(mixed.join(member, "id").withColumn("block", F.floor(at / BLOCK)).groupBy("band", "block").agg(
-        F.collect_list(F.struct("id", "c", "sketch", "odd", "keys", "set")).alias("rows")))
+    blocks = mixed.join(member, "id").withColumn("block", F.floor(at / BLOCK)).groupBy("band", "block").agg(
+        F.collect_list(F.struct("id", "c", "sketch", "odd", "keys", "set")).alias("rows"))
     l = blocks.withColumnsRenamed({"band": "band_l", "block": "block_l", "rows": "left"})
     r = blocks.withColumnsRenamed({"rows": "right"})
 
