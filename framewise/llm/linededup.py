@@ -9,11 +9,12 @@ Lines are compared by their sets of ``shingle``-character strings (a shorter lin
 2. Banding. The 16 positions form a 4 x 4 grid; its rows, columns and the four diagonals ``column = row XOR s`` are
    12 bands of 4. Any two positions share at most one band, so at similarity 0.8 a pair misses all bands with
    probability 0.002.
-3. Verification. Lines that share a band are verified on their exact shingle sets (kept as 64-bit hashes). First every
-   line of a band group is compared with the smallest; groups whose lines then are in more than one component are
-   compared across components, in pairs of blocks (:func:`_across`). Lines of one component need no more pairs. Pairs whose signatures agree
-   at fewer than half of the positions (judged by 4 bits of each, a long in all) are not verified; at similarity 0.8
-   that happens to 1 pair in 1,000.
+3. Verification. Lines that share a band are verified on their exact shingle sets. First every line of a band group is
+   compared with the smallest; the lines of groups that then are in more than one component are compared across
+   components (:func:`_across`). Lines of one component need no more pairs. Two cheap tests come before: pairs whose
+   signatures agree at fewer than half of the positions (judged by 4 bits of each, a long in all) are not verified; at
+   similarity 0.8 that happens to 1 pair in 1,000. And a line's set is dealt once to 512 parity bits, whose difference
+   bounds that of the sets from below; pairs beyond what similarity 0.8 allows are out, without loss.
 4. Union-find over the links (:func:`framewise.llm.common.connected_components`) and one line kept per component: that of
    the smallest (id, hash of the text, line number), null ids last. Rows with the same id and text are one document
    repeated and fare alike.
@@ -32,7 +33,7 @@ from framewise.session import cut_lineage
 GRID = 4
 LEAST = 8  # signature positions that must agree for a pair to be verified
 WORDS = 8  # 64-bit words of a line's parity bits
-BLOCK = 16_384  # shingles of the lines that are compared with another block's at a time
+BLOCK = 1024  # lines of a band group that meet the whole group in one task
 
 
 def _constants() -> list[int]:
@@ -102,60 +103,38 @@ def _first_pairs(met: DataFrame) -> DataFrame:
 
 
 def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """``(band, id, sketch, c)``: the band groups that :func:`_first_pairs` did not cover wholly and whose lines are in
+    """``(band, id, sketch, n, c)``: the band groups that :func:`_first_pairs` did not cover wholly and whose lines are in
     more than one component."""
     at = join_checked(met.where(F.col("n") > 2), comp, "id", "left").select(
-        "band", "id", "sketch", F.coalesce("component", "id").alias("c"))
+        "band", "id", "sketch", "n", F.coalesce("component", "id").alias("c"))
     w = Window.partitionBy("band")
     return at.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi")
 
 
-def _across(met: DataFrame, mixed: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links ``(src, dst)`` between the components of the mixed band groups: dst is a component with a line like src.
-
-    The sets move once: the exchange by band serves the running size, the blocks and both sides of their join.
-    A group's lines are cut into blocks of about ``BLOCK`` shingles, and every two blocks of a group are one row that is
-    verified as a whole, so no row per pair is made. A pair is verified in the first of the groups that it shares, and
-    only if the sets' parity bits allow so few differences: an exact bound, which spares most intersections."""
-    ids = cut_lineage(mixed.select("id").distinct())
-    keys = join_checked(met.select("id", "band"), ids, "id", "left_semi").groupBy("id").agg(
-        F.sort_array(F.collect_set("band")).alias("keys"))
-    sets = join_checked(lines.select("id", "line"), ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")).select(
-        "id", F.encode("line", "UTF-16BE").alias("code")).select("id", _shingle_set("code", shingle).alias("set"))
-    member = keys.join(sets.withColumn("odd", _parities("set")), "id")
-    at = F.sum(F.size("set")).over(Window.partitionBy("band").orderBy("id"))
-    blocks = mixed.join(member, "id").withColumn("block", F.floor(at / BLOCK)).groupBy("band", "block").agg(
-        F.collect_list(F.struct("id", "c", "sketch", "odd", "keys", "set")).alias("rows"))
-    l = blocks.withColumnsRenamed({"band": "band_l", "block": "block_l", "rows": "left"})
-    r = blocks.withColumnsRenamed({"rows": "right"})
-
-    def linked(x: Column, y: Column) -> Column:
-        total = F.size(x["set"]) + F.size(y["set"])
-        apart = sum(F.bit_count(x["odd"][f"w{i}"].bitwiseXOR(y["odd"][f"w{i}"])) for i in range(WORDS))
-        return ((x["c"] != y["c"]) & ((F.col("block_l") < F.col("block")) | (x["c"] < y["c"])) & _alike(x["sketch"], y["sketch"])
-                & (apart <= total - 2 * _least(total, similarity))
-                & (F.get(F.array_intersect(x["keys"], y["keys"]), F.lit(0)) == F.col("band"))
-                & (F.size(F.array_intersect(x["set"], y["set"])) >= _least(total, similarity)))
-
-    found = F.flatten(F.transform("left", lambda x: F.transform(
-        F.array_distinct(F.transform(F.filter("right", lambda y: linked(x, y)), lambda y: y["c"])),
-        lambda c: F.struct(x["id"].alias("src"), c.alias("dst")))))
-    return l.join(r, (F.col("band_l") == F.col("band")) & (F.col("block_l") <= F.col("block"))).select(
-        F.explode(found).alias("link")).select("link.src", "link.dst")
-
-
-def _shingle_set(code: str, shingle: int) -> Column:
-    return F.array_distinct(F.transform(_starts(F.col(code), shingle), lambda i: F.xxhash64(_cut(F.col(code), i, shingle))))
-
-
-def _parities(members: str) -> Column:
-    """A set's members dealt to 64 * WORDS bits, each the parity of its members. Where two sets differ in k members,
-    their parities differ in at most k bits."""
-    def word(i: int) -> Column:
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(F.filter(members, lambda h: F.pmod(h, F.lit(WORDS)) == i), F.lit(0).cast("long"),
-                           lambda acc, h: acc.bitwiseXOR(bit(h)))
-    return F.struct(*[word(i).alias(f"w{i}") for i in range(WORDS)])
+def _shingles(line: str, shingle: int) -> Column:
+    """The ``shingle``-character strings of a line, repeats included; a shorter line is one."""
+    return F.when(F.char_length(line) < shingle, F.array(line)).otherwise(
+        F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))."), F.lit(1)))
+
+
+def _parities(text: DataFrame, shingle: int) -> DataFrame:
+    """``(id, size, odd)``: a line's number of different shingles, and these dealt to 64 * WORDS bits, each the parity
+    of its members. Where two sets differ in k members, their parities differ in at most k bits."""
+    x = F.col("x")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)).cast("int"))
+    words = [F.bit_xor(F.when(x.bitwiseAND(F.lit(WORDS - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}")
+             for i in range(WORDS)]
+    rows = text.select("id", F.explode(F.array_distinct(_shingles("line", shingle))).alias("s")).select(
+        "id", F.xxhash64("s").alias("x"))
+    return rows.groupBy("id").agg(F.count("*").alias("size"), *words).select(
+        "id", "size", F.struct(*[f"w{i}" for i in range(WORDS)]).alias("odd"))
+
+
+def _near(x: str, y: str, similarity: float) -> Column:
+    """Whether the parities of two rows allow as few differences as the similarity asks: an exact bound."""
+    total = F.col(f"{x}.size") + F.col(f"{y}.size")
+    apart = sum(F.bit_count(F.col(f"{x}.odd.w{i}").bitwiseXOR(F.col(f"{y}.odd.w{i}"))) for i in range(WORDS))
+    return apart <= total - 2 * _least(total, similarity)
 
 
 def _least(total: Column, similarity: float) -> Column:
@@ -163,29 +142,49 @@ def _least(total: Column, similarity: float) -> Column:
     return F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs ``(src, dst)`` whose shingle sets are similar enough. Only the lines in pairs move."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    text = cut_lineage(join_checked(lines.select("id", "line"), ids, "id", "left_semi").groupBy("id").agg(
-        F.first("line").alias("line")).select("id", F.encode("line", "UTF-16BE").alias("code")))
-    two = pairs.join(text.withColumnsRenamed({"id": "a", "code": "code_a"}), "a").join(
-        text.withColumnsRenamed({"id": "b", "code": "code_b"}), "b")
+def _near_pairs(pairs: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, total)``: the pairs ``(a, b)`` that the parity bound allows, with the sum of their sizes."""
+    two = pairs.join(odd.select(F.col("id").alias("a"), F.struct("size", "odd").alias("x")), "a").join(
+        odd.select(F.col("id").alias("b"), F.struct("size", "odd").alias("y")), "b")
+    return two.where(_near("x", "y", similarity)).select("a", "b", (F.col("x.size") + F.col("y.size")).alias("total"))
 
-    two = two.select("a", "b", _shingle_set("code_a", shingle).alias("sa"), _shingle_set("code_b", shingle).alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    two = two.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return two.where(F.col("both") >= _least(F.col("sum"), similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+def _across(mixed: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, total)``: the pairs of lines of different components in the mixed band groups that signature digits and
+    parity bound allow. Only these rows of about 100 bytes meet, not texts or sets; a group of n lines is dealt to
+    ``n / BLOCK`` parts, each of which meets all of the group, so a hot group is many tasks."""
+    rows = mixed.join(odd, "id")
+    parts = F.ceil(F.col("n") / BLOCK).cast("long")
+    kept = F.struct("id", "c", "sketch", "size", "odd")
+    l = rows.select("band", F.pmod(F.xxhash64("id"), parts).alias("part"), kept.alias("x"))
+    r = rows.select("band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), kept.alias("y"))
+    met = l.join(r, ["band", "part"]).where(
+        (F.col("x.c") < F.col("y.c")) & _alike(F.col("x.sketch"), F.col("y.sketch")) & _near("x", "y", similarity))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
+                      (F.col("x.size") + F.col("y.size")).alias("total")).distinct()
+
+
+def _verified(pairs: DataFrame, text: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``(src, dst)`` of ``(a, b, total)`` whose shingle sets are similar enough. Only the lines in pairs move."""
+    two = pairs.join(text.withColumnsRenamed({"id": "a", "line": "line_a"}), "a").join(
+        text.withColumnsRenamed({"id": "b", "line": "line_b"}), "b")
+    both = F.size(F.array_intersect(_shingles("line_a", shingle), _shingles("line_b", shingle)))
+    return two.where(both >= _least(F.col("total"), similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def line_components(lines: DataFrame, shingle: int = 8, similarity: float = 0.8) -> DataFrame:
     """``(id, component)`` of the distinct lines that have a near duplicate."""
     met = cut_lineage(_meetings(signatures(lines, shingle)))
-    tried = cut_lineage(_first_pairs(met))
-    found = cut_lineage(_verified(tried, lines, shingle, similarity))
+    ids = cut_lineage(met.select("id").distinct())
+    text = cut_lineage(join_checked(lines.select("id", "line"), ids, "id", "left_semi").groupBy("id").agg(
+        F.first("line").alias("line")))
+    odd = cut_lineage(_parities(text, shingle))
+    tried = _near_pairs(_first_pairs(met), odd, similarity)
+    found = cut_lineage(_verified(tried, text, shingle, similarity))
     comp = connected_components(found)
     mixed = cut_lineage(_mixed(met, comp.withColumnRenamed("node", "id")))
     if not mixed.isEmpty():
-        added = cut_lineage(_across(met, mixed, lines, shingle, similarity))
+        added = cut_lineage(_verified(_across(mixed, odd, similarity), text, shingle, similarity))
         if not added.isEmpty():
             comp = connected_components(found.unionByName(added))
     return comp.withColumnRenamed("node", "id")
