@@ -10,10 +10,11 @@ Lines are compared by their sets of ``shingle``-character strings (a shorter lin
    12 bands of 4. Any two positions share at most one band, so at similarity 0.8 a pair misses all bands with
    probability 0.002.
 3. Verification. Lines that share a band are verified on their exact shingle sets. First every line of a band group is
-   compared with the smallest; the lines of groups that then are in more than one component are compared across
-   components (:func:`_across`). Lines of one component need no more pairs. Two cheap tests come before: pairs whose
+   compared with the smallest, then, in groups of more than one component, the lines of other components with a line
+   drawn by hash; what still is in more than one component is compared across components (:func:`_across`). Lines of
+   one component need no more pairs. Two cheap tests come before: pairs whose
    signatures agree at fewer than half of the positions (judged by 4 bits of each, a long in all) are not verified; at
-   similarity 0.8 that happens to 1 pair in 1,000. And a line's set is dealt once to 512 parity bits, whose difference
+   similarity 0.8 that happens to 1 pair in 1,000. And a line's set is dealt once to 1,024 parity bits, whose difference
    bounds that of the sets from below; pairs beyond what similarity 0.8 allows are out, without loss.
 4. Union-find over the links (:func:`framewise.llm.common.connected_components`) and one line kept per component: that of
    the smallest (id, hash of the text, line number), null ids last. Rows with the same id and text are one document
@@ -32,7 +33,8 @@ from framewise.session import cut_lineage
 
 GRID = 4
 LEAST = 8  # signature positions that must agree for a pair to be verified
-WORDS = 8  # 64-bit words of a line's parity bits
+TURNS = 1  # further times that band groups of several components are compared with one of their lines
+WORDS = 16  # 64-bit words of a line's parity bits
 BLOCK = 1024  # lines of a band group that meet the whole group in one task
 
 
@@ -111,6 +113,13 @@ def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
     return at.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi")
 
 
+def _again(mixed: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: in every mixed band group, one line drawn by hash and the lines of other components."""
+    hub = F.first(F.struct("id", "sketch", "c")).over(Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
+    return mixed.withColumn("o", hub).where((F.col("o.c") != F.col("c")) & _alike(F.col("o.sketch"), F.col("sketch"))).select(
+        F.least("o.id", "id").alias("a"), F.greatest("o.id", "id").alias("b")).distinct()
+
+
 def _shingles(line: str, shingle: int) -> Column:
     """The ``shingle``-character strings of a line, repeats included; a shorter line is one."""
     return F.when(F.char_length(line) < shingle, F.array(line)).otherwise(
@@ -151,17 +160,19 @@ def _near_pairs(pairs: DataFrame, odd: DataFrame, similarity: float) -> DataFram
 
 def _across(mixed: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
     """``(a, b, total)``: the pairs of lines of different components in the mixed band groups that signature digits and
-    parity bound allow. Only these rows of about 100 bytes meet, not texts or sets; a group of n lines is dealt to
-    ``n / BLOCK`` parts, each of which meets all of the group, so a hot group is many tasks."""
-    rows = mixed.join(odd, "id")
+    parity bound allow, each in the first of the groups that it shares. Only rows of about 200 bytes meet, not texts or
+    sets; a group of n lines is dealt to ``n / BLOCK`` parts, each of which meets all of the group, so a hot group is
+    many tasks."""
+    keys = mixed.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("keys"))
+    rows = mixed.join(odd.join(keys, "id"), "id")
     parts = F.ceil(F.col("n") / BLOCK).cast("long")
-    kept = F.struct("id", "c", "sketch", "size", "odd")
+    kept = F.struct("id", "c", "sketch", "size", "odd", "keys")
     l = rows.select("band", F.pmod(F.xxhash64("id"), parts).alias("part"), kept.alias("x"))
     r = rows.select("band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), kept.alias("y"))
     met = l.join(r, ["band", "part"]).where(
-        (F.col("x.c") < F.col("y.c")) & _alike(F.col("x.sketch"), F.col("y.sketch")) & _near("x", "y", similarity))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
-                      (F.col("x.size") + F.col("y.size")).alias("total")).distinct()
+        (F.col("x.c") < F.col("y.c")) & _alike(F.col("x.sketch"), F.col("y.sketch")) & _near("x", "y", similarity)
+        & (F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("band")))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.size") + F.col("y.size")).alias("total"))
 
 
 def _verified(pairs: DataFrame, text: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -182,11 +193,14 @@ def line_components(lines: DataFrame, shingle: int = 8, similarity: float = 0.8)
     tried = _near_pairs(_first_pairs(met), odd, similarity)
     found = cut_lineage(_verified(tried, text, shingle, similarity))
     comp = connected_components(found)
-    mixed = cut_lineage(_mixed(met, comp.withColumnRenamed("node", "id")))
-    if not mixed.isEmpty():
-        added = cut_lineage(_verified(_across(mixed, odd, similarity), text, shingle, similarity))
-        if not added.isEmpty():
-            comp = connected_components(found.unionByName(added))
+    for turn in range(TURNS + 1):
+        mixed = cut_lineage(_mixed(met, comp.withColumnRenamed("node", "id")))
+        if mixed.isEmpty():
+            break
+        pairs = _near_pairs(_again(mixed, turn), odd, similarity) if turn < TURNS else _across(mixed, odd, similarity)
+        added = cut_lineage(_verified(pairs, text, shingle, similarity))
+        found = found.unionByName(added)
+        comp = connected_components(found)
     return comp.withColumnRenamed("node", "id")
 
 
