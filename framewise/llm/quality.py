@@ -5,7 +5,8 @@ those of documents labelled good. A document's importance weight is the mean log
 n-grams (``log_weight``). N-grams are the 2, 3 and 4-byte strings plus, for every pair of neighbouring words, how
 often the document has repeated that pair (as a power of two): a text may repeat itself in perfectly ordinary
 letters. The documents that stay are a Gumbel top-k sample: weight over temperature plus Gumbel noise from a hash
-of the id, the k largest win; k is the number of documents whose weight is above that of nearly all good ones.
+of the id, the k largest win; k is the number of documents whose weight is at or above the cut, the weight that
+parts the documents labelled good from those labelled bad best.
 
 Counts and weights cover every byte of every document; only the labels are a bounded sample (``max_labels``).
 """
@@ -84,9 +85,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, m
     return docs.join(F.broadcast(sample), docs[id_col] == sample["_id"], "left").select(*[docs[c] for c in docs.columns], name)
 
 
-def fit(docs: DataFrame, text_col: str, label_col: str) -> np.ndarray:
-    """Log ratio of target to raw model per bucket. All documents are counted; the driver gets one row per
-    bucket (2^16)."""
+def fit(docs: DataFrame, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratio of target to raw model per bucket, and the target counts (one of each unseen). All documents are
+    counted; the driver gets one row per bucket (2^16)."""
     src = docs.select(text_or_empty(F.col(text_col)).alias("t"), F.coalesce(F.col(label_col) == 1, F.lit(False)).alias("good"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, text_col: str, label_col: str) -> np.ndarray:
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)  # one of each unseen
     raw[counts["bucket"]] += counts["raw"].to_numpy(float)
     target[counts["bucket"]] += counts["target"].to_numpy(float)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return np.log(target / target.sum()) - np.log(raw / raw.sum()), target
 
 
 def _add(sums: dict, held: dict) -> None:
@@ -121,22 +122,41 @@ def _add(sums: dict, held: dict) -> None:
             fs.clear()
 
 
-def _scorer(docs: DataFrame, table: np.ndarray):
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
+def _scorer(docs: DataFrame, table: np.ndarray, target: np.ndarray | None = None):
+    """Column function of (text, good): n-grams, their summed log ratios, and (``apart``) the same sum with a good
+    text's own n-grams taken out of the ``target`` counts, which is how a text without a label is seen."""
+    shared = docs.sparkSession.sparkContext.broadcast((table.astype(np.float32), target))
 
-    @F.pandas_udf("n long, total double")
-    def score(t: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("n long, total double, apart double")
+    def score(t: pd.Series, good: pd.Series) -> pd.DataFrame:
+        ratio, counts = shared.value
+        all_counts = 0.0 if counts is None else counts.sum()
         rows = []
-        for x in t:
-            n, total = 0, 0.0
+        for x, g in zip(t, good):
+            n, total, own = 0, 0.0, np.zeros(BUCKETS, np.int64) if g else None
             for f in features(x):
-                n, total = n + len(f), total + float(shared.value[f].sum(dtype=np.float64))
-            rows.append((n, total))
-        return pd.DataFrame(rows, columns=["n", "total"])
+                n, total = n + len(f), total + float(ratio[f].sum(dtype=np.float64))
+                if g:
+                    own += np.bincount(f, minlength=BUCKETS)
+            apart = total
+            if g:
+                at = np.flatnonzero(own)
+                left = np.maximum(counts[at] - own[at], 1)
+                apart += float(own[at] @ np.log(left / counts[at])) - n * math.log(max(all_counts - n, 1) / all_counts)
+            rows.append((n, total, apart))
+        return pd.DataFrame(rows, columns=["n", "total", "apart"])
 
     return score
 
 
+def _best_cut(weights: np.ndarray, good: np.ndarray) -> float:
+    """The weight that maximises the kept share of the good less the kept share of the others; of equals the lowest.
+    Labels that are wrong at random scale that difference for every cut alike, so they don't move its maximum."""
+    values, at = np.unique(weights, return_inverse=True)
+    below = [np.concatenate(([0], np.cumsum(np.bincount(at[k], minlength=len(values)))[:-1])) / k.sum() for k in (good, ~good)]
+    return float(values[np.argmax(below[1] - below[0])])
+
+
 class QualityModel:
     """A fitted classifier: the bucket table, the prior that short texts are drawn to, the cut and the Gumbel
     threshold. ``score`` adds ``log_weight``, ``gumbel_score`` and ``kept`` to any documents."""
@@ -153,7 +173,7 @@ class QualityModel:
 
     def score(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         s = own_name(docs, "scored")
-        d = docs.withColumn(s, _scorer(docs, self.table)(text_or_empty(F.col(text_col))))
+        d = docs.withColumn(s, _scorer(docs, self.table)(text_or_empty(F.col(text_col)), F.lit(False)))
         weight, gumbel = self.columns(F.col(f"{s}.n"), F.col(f"{s}.total"), F.col(id_col))
         names = [own_name(docs, c) for c in ("log_weight", "gumbel_score", "kept")]
         return d.select(*[d[c] for c in docs.columns], weight.alias(names[0]), gumbel.alias(names[1])).withColumn(
@@ -163,23 +183,29 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           max_labels: int = 20_000, lose: float = 0.0005, pseudo: float = 300.0, temperature: float = 0.05,
           seed: int = 42) -> tuple[QualityModel, DataFrame]:
-    """The model and the checkpointed scores ``(id, n, total, label)`` of all rows.
-
-    ``cut``: the weight below which the share ``lose`` of the labelled good documents lies. ``pseudo`` n-grams of the
-    good documents' mean weight are added to every text, so short texts need more than one odd word to go; null and
-    empty texts have only those. Without a good label every document has weight 0 and stays. Rows with the same id
-    share their noise; rows that tie at the k-th place stay together. Same input, same result.
+    """The model and the checkpointed scores ``(id, label, n, total, apart)`` of all rows.
+
+    ``cut``: the weight at which the kept share of the labelled good documents exceeds that of the labelled bad ones
+    most, good ones weighed without their own counts. Only if no document is labelled bad, it is the weight below which
+    the share ``lose`` of the good ones lies. ``pseudo`` n-grams of the good documents' mean weight are added to every
+    text, so short texts need more than one odd word to go; null and empty texts have only those. Without a good label
+    every document has weight 0 and stays. Rows with the same id share their noise; rows that tie at the k-th place
+    stay together. Same input, same result.
     """
     lab = _labelled(docs.select(id_col, text_col), labels, id_col, label_col, max_labels)
     label = lab.columns[-1]
-    table = fit(lab, text_col, label)
-    scored = cut_lineage(lab.withColumn("s", _scorer(lab, table)(text_or_empty(F.col(text_col)))).select(
-        F.col(id_col).alias("id"), F.col(label).alias("label"), F.col("s.n").alias("n"), F.col("s.total").alias("total")))
-    good = scored.where("label = 1 and n > 0").orderBy(F.xxhash64("id"), "id").limit(max_labels).toPandas()
-    if good.empty:
+    table, target = fit(lab, text_col, label)
+    score = _scorer(lab, table, target)(text_or_empty(F.col(text_col)), F.coalesce(F.col(label) == 1, F.lit(False)))
+    scored = cut_lineage(lab.withColumn("s", score).select(
+        F.col(id_col).alias("id"), F.col(label).alias("label"), F.col("s.n").alias("n"), F.col("s.total").alias("total"),
+        F.col("s.apart").alias("apart")))
+    sample = scored.where("label is not null and n > 0").orderBy(F.xxhash64("id"), "id").limit(max_labels).toPandas()
+    is_good = (sample["label"] == 1).to_numpy(bool)
+    if not is_good.any():
         return QualityModel(np.zeros(BUCKETS), 0.0, pseudo, 0.0, temperature, seed, -math.inf), scored
-    prior = float((good["total"] / good["n"]).mean())
-    cut = float(np.quantile((good["total"] + prior * pseudo) / (good["n"] + pseudo), lose, method="lower"))
+    prior = float((sample["apart"] / sample["n"])[is_good].mean())
+    weights = ((sample["apart"] + prior * pseudo) / (sample["n"] + pseudo)).to_numpy(float)
+    cut = float(np.quantile(weights, lose, method="lower")) if is_good.all() else _best_cut(weights, is_good)
     model = QualityModel(table, prior, pseudo, cut, temperature, seed, -math.inf)
     weight, gumbel = model.columns(F.col("n"), F.col("total"), F.col("id"))
     ranked = scored.select(weight.alias("w"), gumbel.alias("g"))

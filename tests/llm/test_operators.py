@@ -290,6 +290,18 @@ def test_quality(spark, sf, odd):
     assert quality.keep_good(odd.limit(0), labels).count() == 0
 
 
+def test_quality_wrong_labels(spark):
+    """The cut holds with 2% of the labels flipped."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = read_table(spark, big, "documents"), read_table(spark, big, "labels")
+    flipped = labels.withColumn("quality", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(50)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert flipped.join(labels.select("doc_id", F.col("quality").alias("q")), "doc_id").where("q <> quality and q = 0").count() >= 5
+    kept = quality.classify(docs, flipped).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r["quality"]: r["kept"] for r in kept.collect()}
+    print("kept", kept)
+    assert kept[1] >= 0.99 and kept[0] <= 0.05
+
+
 def test_kth_largest(spark):
     x = [random.Random(1).uniform(-5, 5) for _ in range(500)] + [1e12, -1e12, 0.0, 0.0]
     df = spark.createDataFrame([(v,) for v in x], "x double")
