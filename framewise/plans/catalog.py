@@ -855,6 +855,15 @@ register("kpi_trend", TREND_SQL)(
     lambda s, sf: rnd(charts.kpi_trend(T(s, sf, "orders"), "o_totalprice", ["o_orderkey"], 100), {"value": 4}))
 
 
+SESSIONS_SQL = """
+WITH m AS (SELECT user_id, ts, value, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+                  + INTERVAL 30 minutes THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM m)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 minutes AS window_end, user_id,
+       round(avg(value), 6) AS avg_value, max(value) AS max_value, min(value) AS min_value, count(*) AS events
+FROM g GROUP BY user_id, session"""
+
+
 def _live_sessions(s, sf):
     ev = T(s, sf, "events")
     stream = lk.file_stream(s, sf, ev.schema, glob="events.parquet")
@@ -863,7 +872,7 @@ def _live_sessions(s, sf):
     return rnd(lk.latest_windows(s, out, ["user_id"]), {"avg_value": 6})
 
 
-register("live_kpi_sessions")(_live_sessions)
+register("live_kpi_sessions", SESSIONS_SQL)(_live_sessions)
 
 SLIDING_SQL = """
 WITH w AS (SELECT unnest([time_bucket(INTERVAL 6 hour, ts), time_bucket(INTERVAL 6 hour, ts) - INTERVAL 3 hour,

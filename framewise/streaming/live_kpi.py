@@ -66,25 +66,49 @@ def run_live_kpi(agg: DataFrame, out_path: str | None = None, trigger_once: bool
     """Start the aggregate; every micro-batch's output windows are appended
     (with ``batch_id``) under ``out_path``. ``mode="update"`` emits changed
     windows each batch; session windows need ``mode="append"``, which emits a
-    window once the watermark has closed it (the newest ones stay open when a
-    finite stream ends). Returns the output path and the streaming query
-    (already finished when ``trigger_once``)."""
+    window once the watermark has closed it. When a finite append stream
+    (``trigger_once``) ends, the windows still open are read from its state
+    and appended as one closing batch, so no window is missing. Returns the
+    output path and the streaming query (already finished when
+    ``trigger_once``)."""
     spark = agg.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex
     out_path = out_path or f"{base}/live_kpi-{run}/out"
     ckpt = f"{base}/live_kpi-{run}/state"
+    batches: list[int] = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        batches.append(batch_id)
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
 
     w = agg.writeStream.outputMode(mode).option("checkpointLocation", ckpt).foreachBatch(sink)
     q = w.trigger(availableNow=True).start() if trigger_once else w.start()
     if trigger_once:
         q.awaitTermination()
+        if mode == "append" and batches:
+            sink(_open_windows(agg, ckpt), max(batches) + 1)
     return out_path, q
 
 
+def _open_windows(agg: DataFrame, ckpt: str) -> DataFrame:
+    """The windows of a finished :func:`live_kpi` stream that its watermark has
+    not closed, from its state: the window and the keys (in the state's key, or
+    for sessions in its value), then the five buffers of the aggregates."""
+    state = agg.sparkSession.read.format("statestore").load(ckpt)
+    parts = []
+    for part in ("key", "value"):
+        fields = state.schema[part].dataType.fields
+        named = T.StructType([T.StructField(f"{part}{i}", f.dataType) for i, f in enumerate(fields)])
+        state = state.withColumn(part, F.col(part).cast(named))  # by position: two buffers are named "count"
+        parts.append([F.col(f"{part}.{n}") for n in named.names])
+    cells = parts[1] if len(parts[1]) > 5 else parts[0] + parts[1]
+    w, keys, (total, n, high, low, events) = cells[0], cells[1:-5], cells[-5:]
+    out = [w["start"].cast("timestamp_ntz"), w["end"].cast("timestamp_ntz"), *keys,
+           F.try_divide(total, n), high, low, events]
+    return state.select(*[c.alias(f.name) for c, f in zip(out, agg.schema.fields, strict=True)])
+
+
 def latest_windows(spark: SparkSession, out_path: str, keys: Sequence[str] = ()) -> DataFrame:
     """The newest update of every window written by :func:`run_live_kpi`."""
     df = spark.read.parquet(out_path)

@@ -34,3 +34,25 @@ def test_stream_equals_batch(spark, sf):
     got = {r["window_start"]: r["events"] for r in lk.latest_windows(spark, out).collect()}
     exp = {r[0]: r[1] for r in ev.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz")).count().collect()}
     assert got == exp
+
+
+def test_open_windows_are_emitted(spark):
+    """An append stream that ends leaves out no window; rows exactly one gap apart are one session."""
+    base = tempfile.mkdtemp()
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    rows = [(1, "a", t0, 1.0), (1, "a", t0 + dt.timedelta(minutes=30), 3.0), (2, None, t0 + dt.timedelta(hours=5), 4.0),
+            (2, None, t0 + dt.timedelta(hours=5, minutes=10), None), (3, "c", t0 + dt.timedelta(hours=5), None)]
+    schema = "user long, `the key` string, t timestamp_ntz, v double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/src")
+    want = {"session": [(1, "a", t0, dt.timedelta(hours=1), 2.0, 3.0, 1.0, 2),
+                        (2, None, rows[2][2], dt.timedelta(minutes=40), 4.0, 4.0, 4.0, 2),
+                        (3, "c", rows[4][2], dt.timedelta(minutes=30), None, None, None, 1)],
+            "tumbling": [(1, "a", t0, dt.timedelta(hours=1), 2.0, 3.0, 1.0, 2),
+                         (2, None, rows[2][2], dt.timedelta(hours=1), 4.0, 4.0, 4.0, 2),
+                         (3, "c", rows[4][2], dt.timedelta(hours=1), None, None, None, 1)]}
+    for kind in want:
+        agg = lk.live_kpi(lk.file_stream(spark, f"{base}/src", schema), "t", "v", "1 hour", "1 hour",
+                          keys=["user", "the key"], kind=kind, gap="30 minutes")
+        out, _ = lk.run_live_kpi(agg, mode="append")
+        got = [(r[2], r[3], r[0], r[1] - r[0], *r[4:8]) for r in spark.read.parquet(out).collect()]
+        assert sorted(got, key=str) == sorted(want[kind], key=str)
