@@ -112,6 +112,12 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, see
         raise ValueError("k must be within 2..10")
     vec, _ = _scaled_vectors(df, cols, array_col, keep)
     vec = vec.persist()
+    _, model = _best_fit(vec, k, seed, n_init, max_iter)
+    vec.unpersist()
+    return model, vec
+
+
+def _best_fit(vec: DataFrame, k: int, seed: int, n_init: int, max_iter: int) -> tuple[float, KMeansModel]:
     best = None
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=_tol(k), featuresCol="features",
@@ -119,8 +125,7 @@ def kmeans_fit(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, see
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
-    vec.unpersist()
-    return best[1], vec
+    return best
 
 
 def kmeans(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3, seed: int = 42, n_init: int = 10,
@@ -144,8 +149,9 @@ def centroids(model: KMeansModel, names: Sequence[str]) -> DataFrame:
 
 
 def elbow(df: DataFrame, cols: Sequence[str] | None = None, max_k: int = 10, seed: int = 42,
-          array_col: str | None = None) -> DataFrame:
-    """F8: within-cluster sum of squares for k = 1..min(max_k, n // 2).
+          array_col: str | None = None, n_init: int = 10, max_iter: int = 300) -> DataFrame:
+    """F8: within-cluster sum of squares for k = 1..min(max_k, n // 2), each the
+    best of ``n_init`` fits.
 
     k = 1 is the total sum of squares of the centred data (one aggregate;
     Spark's KMeans refuses k = 1); larger k come from fits on one cached
@@ -158,8 +164,8 @@ def elbow(df: DataFrame, cols: Sequence[str] | None = None, max_k: int = 10, see
     tss = arr.select(F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + x * x).alias("_s")).agg(F.sum("_s")).first()[0]
     rows = [(1, float(tss or 0.0))] if top >= 1 else []
     for k in range(2, top + 1):
-        m = KMeans(k=k, seed=seed, tol=_tol(k), featuresCol="features").fit(vec)
-        rows.append((k, float(m.summary.trainingCost)))
+        cost, _ = _best_fit(vec, k, seed, n_init, max_iter)
+        rows.append((k, float(cost)))
     vec.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 

@@ -647,22 +647,20 @@ def _docs_labelled(s, sf):
 
 for _kind in ("linear", "rf_reg", "gbt_reg"):
     def _train_reg(s, sf, kind=_kind):
-        extra = {"maxIter": 20} if kind == "gbt_reg" else {}
-        b, _ = ml.train(T(s, sf, "lineitem"), _REG_FEATURES, "l_extendedprice", kind, **extra)
+        b, _ = ml.train(T(s, sf, "lineitem"), _REG_FEATURES, "l_extendedprice", kind)
         return ml.model_report(b)
     register(f"model_{_kind}")(_train_reg)
 
 for _kind in ("logistic", "rf_clf", "gbt_clf"):
     def _train_clf(s, sf, kind=_kind):
-        extra = {"maxIter": 20} if kind == "gbt_clf" else {}
-        b, _ = ml.train(_docs_labelled(s, sf), ["n_chars", "lang", "source"], "quality", kind, **extra)
+        b, _ = ml.train(_docs_labelled(s, sf), ["n_chars", "lang", "source"], "quality", kind)
         return ml.model_report(b)
     register(f"model_{_kind}")(_train_clf)
 
 
 def _multiclass(s, sf):
     b, pred = ml.train(T(s, sf, "orders"), ["o_totalprice", "o_orderpriority", "o_orderdate"], "o_orderstatus",
-                       "gbt_clf", maxIter=10)
+                       "gbt_clf")
     return ml.confusion_matrix(pred.withColumn("actual_class", F.element_at(
         F.array(*[F.lit(c) for c in b.classes]), F.col("label").cast("int") + 1)), "actual_class", "predicted_class")
 
@@ -671,8 +669,7 @@ register("model_gbt_multiclass")(_multiclass)
 
 
 def _tuned(s, sf):
-    b, _ = ml.train(_docs_labelled(s, sf), ["n_chars", "lang", "source"], "quality", "rf_clf", tune=True,
-                    grid={"numTrees": [10, 20], "maxDepth": [5, 10]})
+    b, _ = ml.train(_docs_labelled(s, sf), ["n_chars", "lang", "source"], "quality", "rf_clf", tune=True)
     return ml.model_report(b)
 
 
@@ -709,15 +706,15 @@ register("pca_variance")(lambda s, sf: un.pca_variance(T(s, sf, "embeddings"), k
 register("pca_lineitem")(
     lambda s, sf: un.pca(T(s, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k=2))
 register("kmeans_embeddings")(
-    lambda s, sf: un.kmeans(T(s, sf, "embeddings"), k=10, array_col="embedding", keep=["vec_id", "label"], n_init=3))
+    lambda s, sf: un.kmeans(T(s, sf, "embeddings"), k=10, array_col="embedding", keep=["vec_id", "label"]))
 register("cluster_counts")(
     lambda s, sf: un.cluster_counts(un.kmeans(T(s, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
-                                              k=3, n_init=2)))
+                                              k=3)))
 
 
 def _centroids(s, sf):
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
-    m, vec = un.kmeans_fit(T(s, sf, "lineitem"), cols, k=3, n_init=2)
+    m, vec = un.kmeans_fit(T(s, sf, "lineitem"), cols, k=3)
     vec.unpersist()
     return un.centroids(m, cols)
 

@@ -71,3 +71,38 @@ def test_linear_regression_exact(spark):
     df = spark.createDataFrame([(float(x), 3.0 * x + 2.0) for x in range(20)], "x double, y double")
     coef = {r["term"]: r["coefficient"] for r in ml.linear_coefficients(df, ["x"], "y").collect()}
     assert coef["x"] == pytest.approx(3.0) and coef["intercept"] == pytest.approx(2.0)
+
+
+def test_elbow_takes_ten_starts(spark, monkeypatch):
+    e = spark.createDataFrame([(float(i % 5), float(i % 3)) for i in range(12)], "x double, y double").coalesce(1)
+    made, real = [], un.KMeans
+    monkeypatch.setattr(un, "KMeans", lambda **kw: made.append(kw) or real(**kw))
+    inertia = [r["inertia"] for r in un.elbow(e, ["x", "y"], max_k=2).orderBy("k").collect()]
+    assert len(inertia) == 2 and len({m["seed"] for m in made}) == 10
+    assert all(m["maxIter"] == 300 for m in made)
+
+
+def test_registered_models_run_the_full_job(spark, sf, monkeypatch):
+    """Registered fits leave rounds, grid and starts at the operators' defaults."""
+    from framewise.plans import catalog
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def spy(*args, **kw):
+        seen.append(kw)
+        raise Stop
+
+    for module, names in ((catalog.ml, ["train"]), (catalog.un, ["kmeans", "kmeans_fit", "elbow"])):
+        for n in names:
+            monkeypatch.setattr(module, n, spy)
+    queries = ["model_gbt_reg", "model_gbt_clf", "model_gbt_multiclass", "model_tuned_rf", "kmeans_embeddings",
+               "cluster_counts", "centroids", "elbow"]
+    for name in queries:
+        try:
+            catalog.QUERIES[name](spark, sf)
+        except Stop:
+            pass
+    assert len(seen) == len(queries)
+    assert not any(k in kw for kw in seen for k in ("maxIter", "grid", "n_init", "max_iter", "numTrees", "maxDepth"))
