@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, decontaminate, langid, lattice, linededup, mixing, quality, runindex, simhash, topk, urlfilter
+from framewise.llm import audit, bpe, decontaminate, langid, lattice, linededup, mixing, quality, runindex, simhash, topk, urlfilter
 from framewise.session import cut_lineage, read_table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -65,6 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by source."""
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word passages of the benchmark."""
     found = decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
@@ -74,7 +79,7 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_bpe, op4_language_id, op5_line_dedup,
                                    op6_url_filter, op7_topk_search, op8_embedding_near_dedup,
-                                   op9_suffix_dedup, op10_quality, op13_decontaminate)}
+                                   op9_suffix_dedup, op10_quality, op11_filter_audit, op13_decontaminate)}
 
 WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
@@ -111,6 +116,34 @@ r AS (SELECT *, CASE
         WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule FROM u)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op11_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE length(replace(replace(replace(replace(replace('ABCDE', a.f, ''), b.f, ''), c.f, ''), d.f, ''), e.f, '')) = 0),
+s AS (SELECT filter_order, step, substring(filter_order, step, 1) AS f, '[' || substring(filter_order, 1, step - 1) || '_]' AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails),
+r AS (SELECT part, filter_order, step, f,
+        coalesce(sum(n) FILTER (NOT contains(fails, f) AND NOT regexp_matches(fails, before)), 0) AS kept,
+        coalesce(sum(n) FILTER (contains(fails, f) AND NOT regexp_matches(fails, before)), 0) AS removed,
+        coalesce(sum(n) FILTER (contains(fails, f) AND regexp_matches(fails, before)), 0) AS redundant,
+        coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (contains(fails, f) AND NOT regexp_matches(fails, before)), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (contains(fails, f) AND NOT regexp_matches(fails, before)), 0) AS toxic_lost
+      FROM g, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
     "op13_decontaminate": r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
