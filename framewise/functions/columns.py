@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewise.session import cut_lineage
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 FLOATING = (T.FloatType, T.DoubleType)
@@ -61,15 +66,31 @@ def missing_cells(df: DataFrame) -> Column:
     return sum((is_missing(df, c).cast("long") for c in df.columns), F.lit(0).cast("long"))
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-               max_rows: int = 20_000) -> DataFrame:
-    """Join a per-group statistics table onto the rows.
+class TableSize(NamedTuple):
+    rows: int
+    bytes: int
+
+
+def table_size(table: DataFrame) -> TableSize:
+    """Rows and bytes of a (checkpointed) table: texts and binaries by their length, other columns as 16 bytes."""
+    width = F.lit(16 * len(table.columns))
+    for f in table.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(q(f.name)), F.lit(0))
+    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return TableSize(rows, size)
+
+
+BROADCAST_BYTES = 8 << 20
+
+
+def join_sized(big: DataFrame, small: DataFrame, keys: Sequence[str], size: TableSize, how: str = "inner") -> DataFrame:
+    """``big.join(small)``: broadcast if the measured size is at most ``BROADCAST_BYTES``, else shuffled, where Spark splits
+    hot keys."""
+    return big.join(F.broadcast(small) if size.bytes <= BROADCAST_BYTES else small, list(keys), how)
+
 
-    The small side is materialised once, bounded to ``max_rows`` rows: under
-    the bound it is broadcast (a proven size), over it the join is left to
-    the planner (sort-merge with AQE skew handling)."""
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        side = big.sparkSession.createDataFrame(rows, small.schema)
-        return big.join(F.broadcast(side), keys, how)
-    return big.join(small, keys, how)
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-group statistics table onto the rows: checkpointed, its bytes measured, broadcast if they are few."""
+    small = cut_lineage(small)
+    return join_sized(big, small, keys, table_size(small), how)

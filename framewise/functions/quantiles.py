@@ -1,26 +1,20 @@
-"""Exact, interpolated quantiles without holding a group in one task.
-
-Spark's ``percentile``/``median`` aggregates are exact but keep a map of every
-distinct value of a group in one task, which does not survive a global median
-over a large table. This module finds the same answer (pandas' linear
-interpolation between the two order statistics around ``p * (n - 1)``) by
-distributed selection:
-
-1. one aggregate gives ``n``, ``min`` and ``max`` per (group, column);
-2. each wanted order statistic becomes a small *task* row holding a value band
-   ``[lo, hi]`` and the count of values below the band;
-3. every pass joins the data to the open tasks, bins the in-band values into
-   ``bins`` equal-width bins (a partial + final hash aggregate, so hot groups
-   are combined map-side), and narrows each band to the bin holding its rank;
-4. a band with one distinct value is solved; a band holding at most
-   ``collect_limit`` values is solved by sorting those few values.
-
-Each pass shrinks a band's width by ``bins``. When the number of
-(group, column) pairs is small (checked against ``max_driver_tasks``) the task
-state lives on the driver: every pass is one job whose result is at most
-``tasks x bins`` histogram rows. With more groups the state is a DataFrame,
-checkpointed between passes. ``approx=True`` uses ``percentile_approx``
-instead (one pass, not interpolated).
+"""Exact, interpolated quantiles by radix selection, without holding a group in one task.
+
+Spark's ``percentile`` and ``median`` keep a map of every distinct value of a group in one task, which does not survive a
+global median over a large table. Here each double is read as its order-preserving 64-bit image (:func:`image`: smaller
+values have smaller images, infinities included), and the wanted order statistics are found digit by digit:
+
+1. the first pass counts values by the top 16 bits of their image, per group and column: at most 2^16 counts, combined on
+   the map side, so a value that a third of the rows hold is one row of the shuffle. The counts' running sum tells the
+   number of values, which ranks are wanted, and which bin holds each of them;
+2. every further pass looks only at values inside those bins and counts them by 16 more bits. A bin of at most 2^16 values
+   is counted by all its remaining bits at once. A bin whose smallest and largest value are the same is decided.
+
+64 bits make four passes at most, whatever the values; two are usual below 10^9 rows. Columns of one call share the scans.
+A rank's bins are literals of the next pass when there are no groups (a handful, given by the call's arguments), and a
+checkpointed table joined by group otherwise - broadcast only if its measured size is small. Between the two order
+statistics around ``p * (n - 1)`` the value is interpolated linearly, as pandas does. ``approx=True`` uses
+``percentile_approx`` instead (one pass, not interpolated).
 """
 
 from __future__ import annotations
@@ -28,274 +22,164 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.functions.columns import as_double, join_sized, q, table_size
 from framewise.session import cut_lineage
 
-_C, _V, _R = "_q_col", "_q_val", "_q_rank"
+DIGIT = 16  # bits per pass
 
 
-def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Unpivot numeric columns to (by..., _q_col, _q_val) without nulls/NaN."""
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias(_C), F.col(f"`{c}`").cast("double").alias(_V)) for c in cols
-    ])
-    out = df.select(*[F.col(f"`{b}`") for b in by], F.inline(pairs))
-    return out.where(F.col(_V).isNotNull() & ~F.isnan(_V))
+def image(x: Column) -> Column:
+    """The IEEE bits of a double as a long that orders as the doubles do (-0.0 and 0.0 are equal; null stays null).
 
+    Exact: dividing by a power of two loses nothing, and the estimate of the exponent is corrected by comparison."""
+    a = F.abs(x)
+    e0 = F.floor(F.log2(a))
+    e = e0 + F.when(a >= F.pow(F.lit(2.0), e0 + 1), 1).when(a < F.pow(F.lit(2.0), e0), -1).otherwise(0)
+    normal = (e + 1023) * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0 ** 52)).cast("long")
+    bits = (F.when(a == F.lit(math.inf), F.lit(2047 << 52))
+            .when(a < F.lit(2.0 ** -1022), (a * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")).otherwise(normal))
+    return F.when(x < 0, -bits).otherwise(bits)
 
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   by: Sequence[str] = (), approx: bool = False, bins: int = 1024,
-                   collect_limit: int = 50_000, max_passes: int = 12,
-                   accuracy: int = 10_000, max_driver_tasks: int = 20_000) -> DataFrame:
-    """Quantiles per (by..., column, prob) as a long table.
 
-    Columns: ``by...``, ``column`` (string), ``prob`` (double), ``value``
-    (double, null when the column has no non-null values in that group).
-    """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    long = long_values(df, cols, by)
-    keys = by + [_C]
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), approx: bool = False,
+                   accuracy: int = 10_000) -> DataFrame:
+    """Quantiles as a long table ``(by..., column, prob, value)``.
+
+    Nulls and NaN are no values; rows with a null in ``by`` are left out. Without ``by`` a column without values gets null
+    for every prob; with ``by`` a group without values gets no row. Between a finite value and an infinity the result is
+    the infinity."""
+    by, cols, probs = list(by), list(cols), [float(p) for p in probs]
+    keys = [f"_k{i}" for i in range(len(by))]
+    values = df.select(*[q(b).alias(k) for b, k in zip(by, keys)], *[as_double(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    for k in keys:
+        values = values.where(F.col(k).isNotNull())
     if approx:
-        res = long.groupBy(*keys).agg(
-            F.percentile_approx(_V, probs, accuracy).alias("_qs"))
-        res = res.select(*keys, F.posexplode("_qs").alias("_i", "value"))
-        plist = F.array(*[F.lit(p) for p in probs])
-        return res.select(*by, F.col(_C).alias("column"),
-                          F.element_at(plist, F.col("_i") + 1).alias("prob"), "value")
-
-    # the first scan also sketches each column (Greenwald-Khanna, rank error
-    # at most n / accuracy) to seed narrow bands around the wanted ranks
-    eps = 1.0 / accuracy
-    seed_probs = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-3 * eps, 3 * eps)})
-    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_V).alias("_lo"),
-                                    F.max(_V).alias("_hi"))
-    seeded = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_V).alias("_lo"),
-                                     F.max(_V).alias("_hi"),
-                                     F.percentile_approx(_V, seed_probs, accuracy).alias("_seed"))
-    few = seeded.limit(max_driver_tasks + 1).collect()
-    if len(few) <= max_driver_tasks:
-        seeds = {p: i for i, p in enumerate(seed_probs)}
-        return _driver_refine(df, long, few, cols, probs, by, keys, bins, collect_limit, max_passes,
-                              seeds, eps)
-
-    stats = cut_lineage(stats)
-    # wanted positions per prob: p*(n-1) -> floor and ceil ranks (0-based)
-    plist = F.array(*[F.lit(p) for p in probs])
-    want = (stats.select(*keys, "_n", "_lo", "_hi", F.posexplode(plist).alias("_i", "prob"))
-            .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
-            .withColumn("_k0", F.floor("_pos"))
-            .withColumn("_k1", F.ceil("_pos"))
-            .withColumn("_frac", F.col("_pos") - F.col("_k0")))
-    ranks = (want.select(*keys, "_n", "_lo", "_hi",
-                         F.explode(F.array_distinct(F.array("_k0", "_k1"))).alias(_R))
-             .dropDuplicates(keys + [_R]))
-    tasks = ranks.select(*keys, _R, F.col("_lo"), F.col("_hi"), F.lit(0).cast("long").alias("_below"),
-                         F.col("_n").alias("_cnt"))
-    tkeys = keys + [_R]
-
-    solved = []
-    open_tasks = cut_lineage(tasks)
-    for _ in range(max_passes):
-        done_now = open_tasks.where(F.col("_lo") == F.col("_hi")).select(*tkeys, F.col("_lo").alias("_x"))
-        solved.append(done_now)
-        rest = open_tasks.where(F.col("_lo") < F.col("_hi"))
-        small = rest.where(F.col("_cnt") <= collect_limit)
-        big = rest.where(F.col("_cnt") > collect_limit)
-        solved.append(_solve_by_sort(long, small, keys, tkeys))
-        big = cut_lineage(big)
-        if big.isEmpty():
-            open_tasks = None
-            break
-        open_tasks = cut_lineage(_narrow(long, big, keys, tkeys, bins))
-    if open_tasks is not None:
-        # bands that never narrowed (e.g. infinities): sort what is left
-        solved.append(_solve_by_sort(long, open_tasks.where(F.col("_lo") < F.col("_hi")), keys, tkeys))
-        solved.append(open_tasks.where(F.col("_lo") == F.col("_hi")).select(*tkeys, F.col("_lo").alias("_x")))
-
-    found = solved[0]
-    for s in solved[1:]:
-        found = found.unionByName(s)
-    found = cut_lineage(found)
-    v0 = found.withColumnRenamed(_R, "_k0").withColumnRenamed("_x", "_x0")
-    v1 = found.withColumnRenamed(_R, "_k1").withColumnRenamed("_x", "_x1")
-    res = (want.join(v0, keys + ["_k0"], "left").join(v1, keys + ["_k1"], "left")
-           .select(*by, F.col(_C).alias("column"), "prob",
-                   (F.col("_x0") + F.col("_frac") * (F.col("_x1") - F.col("_x0"))).alias("value")))
-    # columns/groups with no values at all get a null row per prob, like pandas
-    return _with_empty(df, res, cols, probs, by)
-
-
-def _driver_refine(df, long, stat_rows, cols, probs, by, keys, bins, collect_limit, max_passes,
-                   seeds=None, eps=None):
-    """Refinement with the (bounded) task list on the driver."""
-    spark = df.sparkSession
-    wants, tasks, trial = [], {}, {}
-    for srow in stat_rows:
-        key = tuple(srow[k] for k in keys)
-        n = srow["_n"]
-        for p in probs:
-            pos = p * (n - 1)
-            k0, k1 = math.floor(pos), math.ceil(pos)
-            wants.append((key, p, k0, k1, pos - k0))
-            for r in {k0, k1}:
-                tasks.setdefault((key, r), {"lo": srow["_lo"], "hi": srow["_hi"], "below": 0, "cnt": n})
-                # mid-sized groups: the sketch band around the rank holds at most
-                # ~8 n / accuracy values, few enough to sort in one more pass
-                if seeds and collect_limit < n and 8 * eps * n <= collect_limit:
-                    sk = srow["_seed"]
-                    trial[(key, r)] = (sk[seeds[min(1.0, max(0.0, p - 3 * eps))]],
-                                       sk[seeds[min(1.0, max(0.0, p + 3 * eps))]])
-    found: dict = {}
-    key_types = [long.schema[k].dataType.simpleString() for k in keys]
-    # every pass re-reads the values; when they come out of a shuffle (a
-    # distinct, a join) keep them instead of recomputing the shuffle per pass
-    shuffled = "Exchange" in long._jdf.queryExecution().executedPlan().toString()
-    if shuffled:
-        long = long.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if trial:
-            _seeded_solve(spark, long, trial, found, keys, key_types)
-        _passes(spark, long, tasks, found, keys, key_types, bins, collect_limit, max_passes)
-    finally:
-        if shuffled:
-            long.unpersist()
-    out = []
-    for key, p, k0, k1, frac in wants:
-        x0, x1 = found.get((key, k0)), found.get((key, k1))
-        v = None if x0 is None or x1 is None else x0 + (x1 - x0) * frac
-        out.append((*key, p, v))
-    fields = ", ".join([f"`{k}` {t}" for k, t in zip(keys, key_types)] + ["prob double", "value double"])
-    res = spark.createDataFrame(out, fields).withColumnRenamed(_C, "column")
-    return _with_empty(df, res, cols, probs, by)
-
-
-def _seeded_solve(spark, long, trial, found, keys, key_types):
-    """One pass for sketch-seeded bands ``[lo, hi]``: count the values below
-    ``lo`` and equal to either end, sort the few strictly inside. A rank the
-    counts do not confirm is left to the regular passes (nothing is assumed
-    from the sketch without checking)."""
-    order = list(trial)
-    rows = [(*tk[0], i, float(lo), float(hi)) for i, (tk, (lo, hi)) in enumerate(trial.items())]
-    fields = ", ".join([f"`{k}` {ty}" for k, ty in zip(keys, key_types)] + ["_tid int", "_lo double", "_hi double"])
-    tdf = F.broadcast(spark.createDataFrame(rows, fields))
-    v, lo, hi = F.col(_V), F.col("_lo"), F.col("_hi")
-    res = (long.join(tdf, list(keys)).groupBy("_tid")
-           .agg(F.count(F.when(v < lo, 1)).alias("_below"), F.count(F.when(v == lo, 1)).alias("_eq_lo"),
-                F.count(F.when(v == hi, 1)).alias("_eq_hi"),
-                F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v))).alias("_in")).collect())
-    for r in res:
-        tk = order[r["_tid"]]
-        lo_v, hi_v = trial[tk]
-        rel = tk[1] - r["_below"]
-        inside = r["_in"]
-        if rel < 0:
-            continue
-        if rel < r["_eq_lo"]:
-            found[tk] = lo_v
-        elif lo_v != hi_v and rel < r["_eq_lo"] + len(inside):
-            found[tk] = inside[rel - r["_eq_lo"]]
-        elif lo_v != hi_v and rel < r["_eq_lo"] + len(inside) + r["_eq_hi"]:
-            found[tk] = hi_v
-
-
-def _passes(spark, long, tasks, found, keys, key_types, bins, collect_limit, max_passes):
-    for step in range(max_passes + 1):
-        open_ = {}
-        for tk, t in tasks.items():
-            if tk in found:
-                continue
-            if t["lo"] == t["hi"]:
-                found[tk] = t["lo"]
+        found = _approximate(values, len(cols), probs, keys, accuracy)
+    elif by:
+        found = _grouped(values, len(cols), probs, keys)
+    else:
+        found = _global(values, len(cols), probs)
+    name, prob = F.array(*map(F.lit, cols)), F.array(*map(F.lit, probs))
+    return found.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], name[F.col("_c")].alias("column"),
+                        prob[F.col("_i")].alias("prob"), "value")
+
+
+def _approximate(values: DataFrame, n_cols: int, probs: list[float], keys: list[str], accuracy: int) -> DataFrame:
+    row = values.groupBy(*keys).agg(*[F.percentile_approx(f"_x{i}", probs, accuracy).alias(f"_x{i}") for i in range(n_cols)])
+    nulls = F.array(*[F.lit(None).cast("double")] * len(probs))
+    per_col = row.select(*keys, F.posexplode(F.array(*[F.coalesce(f"_x{i}", nulls) for i in range(n_cols)])).alias("_c", "_q"))
+    out = per_col.select(*keys, "_c", F.posexplode("_q").alias("_i", "value"))
+    return out.where(F.col("value").isNotNull()) if keys else out
+
+
+def _counted(items: DataFrame, keys: list[str], band: list[str]) -> DataFrame:
+    """Values per bin with the number of values in the smaller bins of the same band (``_before``) and in all (``_n``)."""
+    bins = items.groupBy(*keys, *band, "_bin").agg(F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    w = Window.partitionBy(*keys, *band)
+    upto = F.sum("_m").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    return bins.withColumns({"_before": upto - F.col("_m"), "_n": F.sum("_m").over(w)})
+
+
+def _first_pass(values: DataFrame, n_cols: int, probs: list[float], keys: list[str]) -> DataFrame:
+    """The bins that hold a wanted rank: ``(keys, _c, _p, _n, _m, _below, _lo, _hi, _ranks)``. ``_p`` is the image's prefix,
+    ``_ranks`` lists (number of the wanted rank, rank): 2 * i and 2 * i + 1 are the ranks around the i-th prob."""
+    seen = F.array_compact(F.array(*[
+        F.when(F.col(f"_x{i}").isNotNull(), F.struct(F.lit(i).alias("_c"), F.shiftright(image(F.col(f"_x{i}")), 64 - DIGIT).alias("_bin"),
+                                                     F.col(f"_x{i}").alias("_x"))) for i in range(n_cols)]))
+    bins = _counted(values.select(*keys, F.inline(seen)), keys, ["_c"])
+    at = lambda p: F.lit(p) * (F.col("_n") - 1)
+    ranks = F.array(*[F.struct(F.lit(2 * i + side).alias("i"), f(at(p)).cast("long").alias("r"))
+                      for i, p in enumerate(probs) for side, f in ((0, F.floor), (1, F.ceil))])
+    return _with_ranks(bins.withColumns({"_ranks": ranks, "_below": F.lit(0).cast("long"), "_p": F.lit(0).cast("long")}), keys)
+
+
+def _with_ranks(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Bins that hold a rank of their band, as the next pass's bands."""
+    first = F.col("_below") + F.col("_before")
+    here = F.filter("_ranks", lambda r: (r["r"] >= first) & (r["r"] < first + F.col("_m")))
+    return (bins.withColumn("_ranks", here).where(F.size("_ranks") > 0)
+            .select(*keys, "_c", F.col("_bin").alias("_p"), "_n", "_m", first.alias("_below"), "_lo", "_hi", "_ranks"))
+
+
+def _next_shift(m: Column, shift: int) -> Column:
+    """Bits of the image that the next pass leaves out: none if the bin is small enough to be counted by all of them."""
+    return F.when(m <= 1 << DIGIT, 0).otherwise(shift - DIGIT)
+
+
+def _global(values: DataFrame, n_cols: int, probs: list[float]) -> DataFrame:
+    """Without groups: the state is a few rows, bounded by columns x probs."""
+    spark, found, n = values.sparkSession, {}, {}
+    first = _first_pass(values, n_cols, probs, [])
+    state, shift = first.collect(), 64 - DIGIT
+    while state:
+        bands = []
+        for r in state:
+            n[r["_c"]] = r["_n"]
+            if r["_lo"] == r["_hi"]:
+                found.update({(r["_c"], k["i"]): r["_lo"] for k in r["_ranks"]})
             else:
-                open_[tk] = t
-        if not open_:
+                bands.append((r["_c"], r["_p"], r["_n"], r["_m"], r["_below"], [tuple(k) for k in r["_ranks"]]))
+        if not bands:
+            break
+        inside = []
+        for i in sorted({b[0] for b in bands}):
+            u, x = image(F.col(f"_x{i}")), F.col(f"_x{i}")
+            p = F.shiftright(u, shift)
+            for c, prefix, _, m, _, _ in bands:
+                if c == i:
+                    to = 0 if m <= 1 << DIGIT else shift - DIGIT
+                    inside.append(F.when(p == F.lit(prefix), F.struct(F.lit(i).alias("_c"), p.alias("_p"),
+                                                                      F.shiftright(u, to).alias("_bin"), x.alias("_x"))))
+        bins = _counted(values.select(F.inline(F.array_compact(F.array(*inside)))), [], ["_c", "_p"]).drop("_n")
+        table = spark.createDataFrame(bands, "_c int, _p long, _n long, _size long, _below long, _ranks array<struct<i:int,r:long>>")
+        state = _with_ranks(bins.join(F.broadcast(table), ["_c", "_p"]), []).collect()  # as many rows as the arguments ask for
+        shift -= DIGIT
+    rows = []
+    for c in range(n_cols):
+        for i, p in enumerate(probs):
+            a, b = found.get((c, 2 * i)), found.get((c, 2 * i + 1))
+            rows.append((c, i, None if a is None else _between(a, b, p * (n[c] - 1))))
+    return spark.createDataFrame(rows, "_c int, _i int, value double")
+
+
+def _between(a: float, b: float, at: float) -> float:
+    part = at - math.floor(at)
+    return a if a == b or part == 0 else b if math.isinf(b) else a if math.isinf(a) else a + (b - a) * part
+
+
+def _grouped(values: DataFrame, n_cols: int, probs: list[float], keys: list[str]) -> DataFrame:
+    """With groups: the state is a table with a few rows per group and column."""
+    state, shift = cut_lineage(_first_pass(values, n_cols, probs, keys)), 64 - DIGIT
+    done = state.where(F.col("_lo") == F.col("_hi"))
+    while shift > 0:
+        bands = state.where(F.col("_lo") < F.col("_hi"))
+        size = table_size(bands.select(*keys, "_c", "_p", "_n"))
+        if not size.rows:
             break
-        last = step == max_passes
-        small = {tk: t for tk, t in open_.items() if t["cnt"] <= collect_limit or last}
-        big = {tk: t for tk, t in open_.items() if tk not in small}
-        if small:
-            order = list(small)
-            band = _band(spark, long, small, keys, key_types)
-            res = band.groupBy("_tid", "_below", "_rank").agg(F.sort_array(F.collect_list(_V)).alias("_vals"))
-            idx = (F.col("_rank") - F.col("_below") + 1).cast("int")
-            for r in res.select("_tid", F.element_at("_vals", idx).alias("_x")).collect():
-                found[order[r["_tid"]]] = r["_x"]
-        if big:
-            order = list(big)
-            band = _band(spark, long, big, keys, key_types)
-            width = F.col("_hi") - F.col("_lo")
-            # few open bands: afford finer bins (the collected histogram stays
-            # below ~4M rows), so a huge column needs fewer passes
-            nb = max(bins, min(65_536, 4_000_000 // len(big)))
-            b = F.least(F.floor((F.col(_V) - F.col("_lo")) / width * F.lit(float(nb))), F.lit(nb - 1))
-            hist = (band.withColumn("_bin", b).groupBy("_tid", "_bin")
-                    .agg(F.count(F.lit(1)).alias("_c"), F.min(_V).alias("_mn"), F.max(_V).alias("_mx")).collect())
-            per: dict = {}
-            for h in hist:
-                per.setdefault(h["_tid"], []).append(h)
-            for tid, rows in per.items():
-                tk = order[tid]
-                t = tasks[tk]
-                rel, before = tk[1] - t["below"], 0
-                for h in sorted(rows, key=lambda h: h["_bin"]):
-                    if before <= rel < before + h["_c"]:
-                        tasks[tk] = {"lo": h["_mn"], "hi": h["_mx"], "below": t["below"] + before, "cnt": h["_c"]}
-                        break
-                    before += h["_c"]
-
-
-def _band(spark, long, tasks: dict, keys, key_types) -> DataFrame:
-    """Rows of ``long`` inside each task's band, tagged with the task id.
-
-    The task table comes from at most ``max_driver_tasks`` driver-side entries:
-    a proven-size broadcast."""
-    rows = [(*tk[0], i, float(t["lo"]), float(t["hi"]), int(t["below"]), int(tk[1]))
-            for i, (tk, t) in enumerate(tasks.items())]
-    fields = ", ".join([f"`{k}` {ty}" for k, ty in zip(keys, key_types)] +
-                       ["_tid int", "_lo double", "_hi double", "_below long", "_rank long"])
-    tdf = F.broadcast(spark.createDataFrame(rows, fields))
-    return (long.join(tdf, list(keys))
-            .where((F.col(_V) >= F.col("_lo")) & (F.col(_V) <= F.col("_hi"))))
-
-
-def _narrow(long: DataFrame, tasks: DataFrame, keys, tkeys, bins: int) -> DataFrame:
-    band = (long.join(tasks, keys)
-            .where((F.col(_V) >= F.col("_lo")) & (F.col(_V) <= F.col("_hi"))))
-    width = F.col("_hi") - F.col("_lo")
-    b = F.least(F.floor((F.col(_V) - F.col("_lo")) / width * F.lit(float(bins))), F.lit(bins - 1))
-    hist = (band.withColumn("_bin", b)
-            .groupBy(*tkeys, "_below", "_bin")
-            .agg(F.count(F.lit(1)).alias("_bc"), F.min(_V).alias("_bmin"), F.max(_V).alias("_bmax")))
-    w = Window.partitionBy(*tkeys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_before", F.sum("_bc").over(w) - F.col("_bc"))
-    rel = F.col(_R) - F.col("_below")
-    pick = hist.where((F.col("_before") <= rel) & (rel < F.col("_before") + F.col("_bc")))
-    return pick.select(*tkeys, F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                       (F.col("_below") + F.col("_before")).alias("_below"),
-                       F.col("_bc").alias("_cnt"))
-
-
-def _solve_by_sort(long: DataFrame, tasks: DataFrame, keys, tkeys) -> DataFrame:
-    """Tasks whose band holds few values: sort them (bounded by collect_limit)."""
-    band = (long.join(tasks, keys)
-            .where((F.col(_V) >= F.col("_lo")) & (F.col(_V) <= F.col("_hi"))))
-    agg = band.groupBy(*tkeys, "_below").agg(F.sort_array(F.collect_list(_V)).alias("_vals"))
-    idx = (F.col(_R) - F.col("_below") + 1).cast("int")
-    return agg.select(*tkeys, F.element_at("_vals", idx).alias("_x"))
-
-
-def _with_empty(df, res, cols, probs, by):
-    if by:
-        # grouped callers left-join this to their own group table
-        return res
-    # a column with no values at all still gets a (null) row per prob, like pandas
-    grid = df.sparkSession.createDataFrame([(c, p) for c in cols for p in probs],
-                                           "column string, prob double")
-    return grid.join(res, ["column", "prob"], "left")
+        per_group = bands.groupBy(*keys).agg(F.collect_list(F.struct("_c", "_p", _next_shift(F.col("_m"), shift).alias("_to"))).alias("_b"))
+        joined = join_sized(values, per_group, keys, size)
+        u = F.array(*[image(F.col(f"_x{i}")) for i in range(n_cols)])
+        x = F.array(*[F.col(f"_x{i}") for i in range(n_cols)])
+        joined = joined.withColumns({"_u": u, "_v": x})
+        inside = F.filter("_b", lambda b: F.shiftright(F.col("_u")[b["_c"]], shift) == b["_p"])
+        item = F.transform(inside, lambda b: F.struct(b["_c"].alias("_c"), b["_p"].alias("_p"), F.call_function(
+            "shiftright", F.col("_u")[b["_c"]], b["_to"]).alias("_bin"), F.col("_v")[b["_c"]].alias("_x")))
+        bins = _counted(joined.select(*keys, F.inline(item)), keys, ["_c", "_p"]).drop("_n")
+        wanted = bands.select(*keys, "_c", "_p", "_n", "_below", "_ranks")
+        state = cut_lineage(_with_ranks(bins.join(wanted, [*keys, "_c", "_p"]), keys))
+        done = done.unionByName(state.where(F.col("_lo") == F.col("_hi")))
+        shift -= DIGIT
+    ranks = done.select(*keys, "_c", "_n", "_lo", F.explode("_ranks.i").alias("_r"))
+    prob = F.array(*map(F.lit, probs))
+    two = ranks.groupBy(*keys, "_c", "_n", F.shiftright("_r", 1).alias("_i")).agg(
+        F.max(F.when(F.col("_r") % 2 == 0, F.col("_lo"))).alias("_a"), F.max(F.when(F.col("_r") % 2 == 1, F.col("_lo"))).alias("_b"))
+    at = prob[F.col("_i")] * (F.col("_n") - 1)
+    part, a, b, inf = at - F.floor(at), F.col("_a"), F.col("_b"), F.lit(math.inf)
+    value = F.when((a == b) | (part == 0), a).when(F.abs(b) == inf, b).when(F.abs(a) == inf, a).otherwise(a + (b - a) * part)
+    return two.select(*keys, "_c", "_i", value.alias("value"))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -307,5 +191,4 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 def median_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
                  approx: bool = False) -> DataFrame:
-    t = quantile_table(df, cols, [0.5], by=by, approx=approx)
-    return t.drop("prob")
+    return quantile_table(df, cols, [0.5], by=by, approx=approx).drop("prob")
