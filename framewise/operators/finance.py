@@ -47,7 +47,7 @@ def asset_returns(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     pb, ob = list(partition_by or []), list(order_by)
     cols = list(cols)
     w = list(weights) if weights else [1.0 / len(cols)] * len(cols)
-    d = with_halo(df.select(*[q(c) for c in pb + ob + cols]), ob, pb, 1, n_buckets)
+    d = with_halo(df.select(*[q(c) for c in pb + ob + cols]), ob, pb, 1, n_buckets, cols)
     win = local_window(pb, ob)
     rets = {f"{c}_return": F.try_divide(q(c).cast("double"), F.lag(q(c), 1).over(win).cast("double")) - 1
             for c in cols}

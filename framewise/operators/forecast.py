@@ -62,7 +62,7 @@ def _design(s: DataFrame, keys: list[str], p: int, d: int, train_share: float |
     idx = row_index(s, ["t"], keys, "_i")
     counts = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     idx = idx.join(counts, keys) if keys else idx.withColumn("_n", F.lit(s.count()))
-    h = with_halo(idx, ["t"], keys, m)
+    h = with_halo(idx, ["t"], keys, m, values=["y"])
     w = local_window(keys, ["t"])
     lags = {f"_y{i}": F.lag("y", i).over(w) for i in range(1, m + 1)}
     h = h.withColumns(lags).where(~F.col("_halo")).drop("_halo", BUCKET)
@@ -147,7 +147,7 @@ def _hannan_rissanen(s: DataFrame, keys: list[str], p: int, d: int, q: int,
     coef1 = _coefficients(h, keys, m, d, "_train")
     f1 = _fitted(_attach(h, coef1, keys), m, d)
     f1 = f1.withColumn("_e", F.col("_z") - F.col("_zhat")).drop("_zhat", "fitted", *coef1.columns[len(keys):])
-    h2 = with_halo(f1, ["t"], keys, q)
+    h2 = with_halo(f1, ["t"], keys, q, values=["_e"])
     w = local_window(keys, ["t"])
     h2 = h2.withColumns({f"_e{j}": F.lag("_e", j).over(w) for j in range(1, q + 1)})
     h2 = cut_lineage(h2.where(~F.col("_halo")).drop("_halo", BUCKET))
@@ -297,7 +297,7 @@ def arima_forecast(df: DataFrame, time: str, value: str, keys: Sequence[str] = (
         F.transform(F.sort_array(F.collect_list(F.struct("t", "_res"))), lambda e: e["_res"]).alias("_last_e"),
         F.max("t").alias("_last_t"))
     # spacing: constant gap when min gap == max gap
-    gaps = with_halo(s, ["t"], keys, 1)
+    gaps = with_halo(s, ["t"], keys, 1, values=[])
     gaps = gaps.withColumn("_gap", F.unix_micros(F.col("t").cast("timestamp"))
                            - F.unix_micros(F.lag("t", 1).over(local_window(keys, ["t"])).cast("timestamp")))
     gaps = gaps.where(~F.col("_halo")).groupBy(*keys).agg(F.min("_gap").alias("_g0"), F.max("_gap").alias("_g1"))
