@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import text_or_empty
+from framewise.llm.common import join_checked, text_or_empty
 from framewise.llm.textbytes import packed, pieces, unpacked
 from framewise.session import cut_lineage
 
@@ -203,9 +203,10 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = row_statistics(term_matrix(docs, text_col, keep, **options).shards)
     flags = [F.col("n_words") < 200, 100 * F.col("n_distinct") < 50 * F.col("n_words"), F.col("c"), F.col("d")]
     own = cut_lineage(rows.select("id", "part", "h", _bits(flags).alias("mask")))
-    first = own.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a table of its own: Spark splits a hot text's rows only if no aggregate stands between the exchange and the join
+    first = cut_lineage(own.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     later = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    return own.join(first, "h", "left").select("id", "part", (F.col("mask") + F.when(later, 16).otherwise(0)).alias("mask"))
+    return join_checked(own, first, "h", "left").select("id", "part", (F.col("mask") + F.when(later, 16).otherwise(0)).alias("mask"))
 
 
 def _bits(flags: list[Column]) -> Column:
