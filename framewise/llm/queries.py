@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import audit, bpe, decontaminate, langid, lattice, linededup, mixing, quality, runindex, simhash, topk, urlfilter
+from framewise.llm import audit, bpe, convtrie, decontaminate, langid, lattice, linededup, mixing, quality, runindex, simhash, topk, urlfilter
 from framewise.session import cut_lineage, read_table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -70,6 +70,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with its members and what sharing it saves."""
+    return convtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word passages of the benchmark."""
     found = decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
@@ -79,7 +84,8 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_bpe, op4_language_id, op5_line_dedup,
                                    op6_url_filter, op7_topk_search, op8_embedding_near_dedup,
-                                   op9_suffix_dedup, op10_quality, op11_filter_audit, op13_decontaminate)}
+                                   op9_suffix_dedup, op10_quality, op11_filter_audit, op12_conversation_trie,
+                                   op13_decontaminate)}
 
 WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
@@ -144,6 +150,32 @@ r AS (SELECT part, filter_order, step, f,
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
+    "op12_conversation_trie": r"""
+WITH RECURSIVE t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), sha256(coalesce(text, ''))) - 1 AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+bit AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS crc FROM t
+      UNION ALL
+      SELECT c, s, k + 1, CASE WHEN b & 1 = 1 THEN xor(b >> 1, CAST(3988292384 AS BIGINT)) ELSE b >> 1 END
+      FROM (SELECT c, s, k, CASE WHEN k % 8 = 0 THEN xor(crc, CAST(ascii(substring(s, CAST(k // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE crc END AS b
+            FROM bit WHERE k < 8 * length(s))),
+h AS (SELECT c, c - c % 20 AS base, xor(crc, CAST(4294967295 AS BIGINT)) % 4 AS h FROM bit WHERE k = 8 * length(s)),
+r AS (SELECT h.c, 0 AS part, pos, role, text FROM h JOIN t ON t.c = h.base WHERE pos < h
+      UNION ALL SELECT h.c, 1, pos, role, text FROM h JOIN t ON t.c = h.c WHERE pos >= h),
+p AS (SELECT h.c, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS path,
+        coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS words
+      FROM h LEFT JOIN r ON r.c = h.c GROUP BY h.c),
+m AS (SELECT c, d, len(path) AS n, array_to_string(path[1:d], '') AS prefix, array_to_string(path[1:d - 1], '') AS parent,
+        CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM p)),
+n AS (SELECT d, prefix, CASE WHEN d > 0 THEN any_value(parent) END AS parent, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(w) AS own,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM m GROUP BY d, prefix),
+k AS (SELECT parent, count(*) AS kids FROM n WHERE d > 0 GROUP BY parent),
+v AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k ON k.parent = n.prefix),
+s AS (SELECT a.prefix, count(*) FILTER (b.kids = 0) AS leaves, sum(b.own) AS saved
+      FROM v a JOIN v b ON b.d >= a.d AND starts_with(b.prefix, a.prefix) GROUP BY a.prefix)
+SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, q.c AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(v.kids AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN s ON s.prefix = v.prefix LEFT JOIN n q ON v.d > 0 AND q.d = v.d - 1 AND q.prefix = v.parent""",
     "op13_decontaminate": r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
