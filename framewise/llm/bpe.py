@@ -54,7 +54,7 @@ class ByteBpe:
     depend on it).
     """
 
-    def __init__(self, definition: str, keep: int = 800_000):
+    def __init__(self, definition: str, keep: int = 250_000):
         spec = json.loads(definition)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or not pre or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"]:
@@ -87,6 +87,10 @@ class ByteBpe:
         self._beyond_latin = re.compile("[^\x00-\xff]").search
         self._pieces: dict[str, tuple[str, bytes]] = {}
 
+    def forget(self) -> None:
+        """Empty the piece and pair tables."""
+        self._pieces, self._fits = {}, {}
+
     def _compatible(self, a: int, b: int) -> bool:
         """Whether the encodings ``[.., a]`` and ``[b, ..]`` stay apart. Going back in time from the finished
         tokens, undo the later merge of the two that touch the boundary; a pair of parts that once met there
@@ -248,6 +252,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             out = pd.DataFrame(rows, columns=["n", "ids", "decoded"])
             out.insert(0, "id", b["id"])
             yield out
+        tok.forget()  # the worker lives on for other stages
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInPandas(run, f"id {kind}, n long, ids string, decoded string").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.session import cut_lineage
@@ -91,3 +91,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return r[0], r[1]
+
+
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, so that long texts make short batches; a smaller setting of the session's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    size = int(now.rstrip("kmg")) * unit
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -182,8 +182,9 @@ class QualityModel:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           max_labels: int = 20_000, lose: float = 0.0005, pseudo: float = 300.0, temperature: float = 0.05,
-          seed: int = 42) -> tuple[QualityModel, DataFrame]:
-    """The model and the checkpointed scores ``(id, label, n, total, apart)`` of all rows.
+          seed: int = 42, carry: bool = False) -> tuple[QualityModel, DataFrame]:
+    """The model and the checkpointed scores ``(id, label, n, total, apart)`` of all rows; with ``carry`` also ``row``, the
+    whole row, so that it need not be scored again.
 
     ``cut``: the weight at which the kept share of the labelled good documents exceeds that of the labelled bad ones
     most, good ones weighed without their own counts. Only if no document is labelled bad, it is the weight below which
@@ -192,13 +193,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     every document has weight 0 and stays. Rows with the same id share their noise; rows that tie at the k-th place
     stay together. Same input, same result.
     """
-    lab = _labelled(docs.select(id_col, text_col), labels, id_col, label_col, max_labels)
+    lab = _labelled(docs if carry else docs.select(id_col, text_col), labels, id_col, label_col, max_labels)
     label = lab.columns[-1]
+    whole = [F.struct(*[lab[c] for c in docs.columns]).alias("row")] if carry else []
     table, target = fit(lab, text_col, label)
     score = _scorer(lab, table, target)(text_or_empty(F.col(text_col)), F.coalesce(F.col(label) == 1, F.lit(False)))
-    scored = cut_lineage(lab.withColumn("s", score).select(
-        F.col(id_col).alias("id"), F.col(label).alias("label"), F.col("s.n").alias("n"), F.col("s.total").alias("total"),
-        F.col("s.apart").alias("apart")))
+    s = own_name(lab, "s")
+    scored = cut_lineage(lab.withColumn(s, score).select(
+        F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.total").alias("total"),
+        F.col(f"{s}.apart").alias("apart"), *whole))
     sample = scored.where("label is not null and n > 0").orderBy(F.xxhash64("id"), "id").limit(max_labels).toPandas()
     is_good = (sample["label"] == 1).to_numpy(bool)
     if not is_good.any():
@@ -245,6 +248,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, columns as they are."""
-    model, _ = train(docs, labels, id_col, text_col, **options)
-    out = model.score(docs, id_col, text_col)
-    return out.where(F.col(out.columns[-1])).select(*docs.columns)
+    model, scored = train(docs, labels, id_col, text_col, carry=True, **options)
+    _, gumbel = model.columns(F.col("n"), F.col("total"), F.col("id"))
+    return scored.where(gumbel >= model.threshold).select("row.*")

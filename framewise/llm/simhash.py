@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewise.llm.common import connected_components, text_or_empty
+from framewise.llm.common import connected_components, fits_broadcast, own_name, text_or_empty
 from framewise.session import cut_lineage
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -158,7 +158,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group's smallest fingerprint. Rows with the same fingerprint, whatever their ids, are one group; null and
     wordless texts have fingerprint 0 and are linked like any other. An empty table gives no rows.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+    return _grouped(cut_lineage(fingerprints(docs, id_col, text_col, shingle)), distance)
+
+
+def _grouped(rows: DataFrame, distance: int) -> DataFrame:
+    """:func:`near_duplicates` of checkpointed ``(id, fp)``."""
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("low")))
     comp = connected_components(links(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = classes.join(comp, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
@@ -175,18 +179,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          distance: int = 3) -> DataFrame:
     """``docs`` with one row per group: that with the group's smallest id (of its rows, the smallest
     fingerprint; of equal rows, one). The columns stay as they are."""
-    marked = _with_fingerprint(docs, text_col, shingle)
-    rows = near_duplicates(docs, id_col, text_col, shingle, distance)
+    marked = cut_lineage(_with_fingerprint(docs, text_col, shingle))
+    fp = marked.columns[-1]
+    rows = _grouped(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")), distance)
     first = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min("id").alias("keep_id"), F.min("fp").alias("keep_fp")).select("keep_id", "keep_fp")
-    fp = marked.columns[-1]
-    kept = marked.join(first, marked[id_col].eqNullSafe(first["keep_id"]) & (marked[fp] == first["keep_fp"]),
-                       "left_semi")
-    return kept.dropDuplicates([id_col, fp]).drop(fp)
+    # rows that share id and fingerprint are few: only they are shuffled whole
+    again = marked.groupBy(F.col(id_col).alias("keep_id"), F.col(fp).alias("keep_fp")).count().where("count > 1").drop("count")
+
+    def among(table: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(table) if fits_broadcast(table) else table,
+                         rows[id_col].eqNullSafe(table["keep_id"]) & (rows[fp] == table["keep_fp"]), how)
+    again = cut_lineage(again)
+    kept = among(cut_lineage(first), marked, "left_semi")
+    return among(again, kept, "left_anti").unionByName(among(again, kept, "left_semi").dropDuplicates([id_col, fp])).drop(fp)
 
 
 def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    from framewise.llm.common import own_name
     name = own_name(docs, "fp")
 
     @F.pandas_udf("long")
