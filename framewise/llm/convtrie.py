@@ -226,7 +226,7 @@ DONE = ["conv_id", "depth", "parent", "n", "children", "leaves", "saved", "ends"
 def _layer_nodes(paths: DataFrame, shard_turns: int) -> tuple[DataFrame, DataFrame]:
     """A layer's nodes (``DONE``; depth counted from the roots, roots included), and its roots by ``key``."""
     total = paths.agg(F.sum(F.size("ids"))).first()[0] or 0
-    spread = min(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 5000)
+    spread = min(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 500)
     shards = max(1, spread, -(-total // shard_turns))
     shard = F.pmod(F.xxhash64("root", F.slice(F.col("ids"), F.lit(1), F.col("cut"))), F.lit(shards)).cast("int")
     found = cut_lineage(_cuts(paths, shard_turns).withColumn("shard", shard).groupBy("shard").applyInPandas(_shard_nodes, NODE))
