@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = cut_lineage(lab.withColumn(s, score).select(
         F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.total").alias("total"),
         F.col(f"{s}.apart").alias("apart"), *whole))
-    sample = scored.where("label is not null and n > 0").orderBy(F.xxhash64("id"), "id").limit(max_labels).toPandas()
+    sample = scored.select("id", "label", "n", "apart").where("label is not null and n > 0").orderBy(
+        F.xxhash64("id"), "id").limit(max_labels).toPandas()
     is_good = (sample["label"] == 1).to_numpy(bool)
     if not is_good.any():
         return QualityModel(np.zeros(BUCKETS), 0.0, pseudo, 0.0, temperature, seed, -math.inf), scored
