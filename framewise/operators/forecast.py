@@ -1,37 +1,33 @@
-"""ARIMA(p, d, q) for many series at once, fitted by least squares.
-
-The reference fits one series with a state-space maximum-likelihood ARIMA.
-Here every series key is fitted at once and nothing holds a whole series in
-one task:
-
-* lags of the (optionally period-bucketed) series come from the bucketed
-  halo windows of :mod:`framewise.plans.ordered` (per key, hot keys split);
-* the differenced series ``z`` and its ``p`` lags are column arithmetic;
-* the normal equations ``X'X b = X'y`` are one grouped aggregate (one small
-  row of sums per key); only those rows go through a pandas function that
-  solves them;
-* fitted values, residuals, RMSE and MAE are columns and aggregates again;
-* forecasts start from the last ``p + d`` values of each key (a top-k) and
-  use the psi-weights of the fitted model for the 95% interval.
-
-With MA terms (q > 0) the Hannan-Rissanen two-stage regression is used: a
-long autoregression estimates the innovations as a column, their lags come
-from the same halo windows, and a second least-squares fit gives both AR and
-MA terms.
-Training rows are the first ``train_share`` of each series in time order
-(the reference's split); the forecast refits on every row.
+"""ARIMA(p, d, q) for many series at once, by exact maximum likelihood.
+
+Every series key is fitted at once and no series has to fit in one task:
+
+* the (optionally period-averaged) rows of a key are numbered in time order by ranges (:mod:`framewise.plans.ordered`) and
+  cut into blocks of ``BLOCK_ROWS``, each with the few values before it;
+* a key of one block is fitted in one task. The blocks of longer series are summed up in parallel for all points that the
+  search asks about (:mod:`framewise.functions.arma`: the likelihood needs only cross products, and a block's are found
+  without knowing what comes before), then put together per key; the driver holds one search per such key, a few numbers;
+* every training row has a one-step prediction, the first ones from the stationary distribution (with d differences, the
+  first row's is 0 and the next d - 1 continue the lower differences), so RMSE and MAE are over all of them;
+* a fitted model is a table with one row per key - terms, last values and innovations, calendar step - that can be stored,
+  loaded and forecast from without the series (:func:`save_models`, :func:`load_models`, :func:`forecast`).
+
+``method="least_squares"`` (q = 0) fits the AR terms by normal equations, one grouped aggregate per key; its first p + d rows
+have no prediction. Training rows are the first ``train_share`` of each series in time order; forecasts refit on every row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from framewise.functions import arma, calendar
 from framewise.functions.columns import join_small, q
 from framewise.functions.distributions import normal_ppf
 from framewise.plans.ordered import BUCKET, local_window, row_index, with_halo
@@ -116,60 +112,6 @@ def _coefficients(h: DataFrame, keys: list[str], p: int, d: int, use: str) -> Da
     return sums.groupBy(*keys).applyInPandas(lambda pdf: _solve_group(pdf, keys, names), schema)
 
 
-def _ols(h: DataFrame, keys: list[str], xs: dict, y, ok) -> DataFrame:
-    """Per-key least squares of ``y`` on the ``xs`` columns over rows where
-    ``ok``: one grouped aggregate of the normal-equation sums, solved per key."""
-    names = list(xs)
-    rows = h.where(ok)
-    aggs = [F.count(F.lit(1)).alias("_m")]
-    for i, a in enumerate(names):
-        aggs.append(F.sum(xs[a] * y).alias(f"s_{i}_y"))
-        for j, b in enumerate(names):
-            aggs.append(F.sum(xs[a] * xs[b]).alias(f"s_{i}_{j}"))
-    key_fields = ", ".join(f"`{k}` {h.schema[k].dataType.simpleString()}" for k in keys)
-    schema = ((key_fields + ", ") if keys else "") + ", ".join(f"b_{n} double" for n in names) + ", n_fit_rows long"
-    if not keys:
-        sums = rows.agg(*aggs).withColumn("_g", F.lit(0))
-        return sums.groupBy("_g").applyInPandas(lambda pdf: _solve_group(pdf, [], names), schema)
-    sums = rows.groupBy(*keys).agg(*aggs)
-    return sums.groupBy(*keys).applyInPandas(lambda pdf: _solve_group(pdf, keys, names), schema)
-
-
-def _hannan_rissanen(s: DataFrame, keys: list[str], p: int, d: int, q: int,
-                     train_share: float | None) -> DataFrame:
-    """ARIMA(p, d, q) by Hannan-Rissanen, every step distributed: a long AR(m)
-    gives innovation estimates (a column), their lags come from the bucketed
-    halo windows, and a second least-squares fit on z lags and innovation lags
-    gives the AR and MA terms. Returns rows with ``_z``, ``_zhat``, ``fitted``,
-    ``_train`` and the ``b_*`` coefficients."""
-    m = max(2 * (p + q), 8)
-    h = cut_lineage(_design(s, keys, m, d, train_share))
-    coef1 = _coefficients(h, keys, m, d, "_train")
-    f1 = _fitted(_attach(h, coef1, keys), m, d)
-    f1 = f1.withColumn("_e", F.col("_z") - F.col("_zhat")).drop("_zhat", "fitted", *coef1.columns[len(keys):])
-    h2 = with_halo(f1, ["t"], keys, q, values=["_e"])
-    w = local_window(keys, ["t"])
-    h2 = h2.withColumns({f"_e{j}": F.lag("_e", j).over(w) for j in range(1, q + 1)})
-    h2 = cut_lineage(h2.where(~F.col("_halo")).drop("_halo", BUCKET))
-    xs = ({"const": F.lit(1.0)} if d == 0 else {})
-    xs.update({f"ar{j}": F.col(f"_z{j}") for j in range(1, p + 1)})
-    xs.update({f"ma{j}": F.col(f"_e{j}") for j in range(1, q + 1)})
-    ok = F.col("_train") & F.col("_z").isNotNull()
-    for c in xs.values():
-        ok = ok & c.isNotNull()
-    coef2 = _ols(h2, keys, xs, F.col("_z"), ok)
-    j2 = _attach(h2, coef2, keys)
-    zhat = F.col("b_const") if d == 0 else F.lit(0.0)
-    for j in range(1, p + 1):
-        zhat = zhat + F.col(f"b_ar{j}") * F.col(f"_z{j}")
-    for j in range(1, q + 1):
-        zhat = zhat + F.col(f"b_ma{j}") * F.col(f"_e{j}")
-    undo = F.lit(0.0)
-    for k in range(1, d + 1):
-        undo = undo - F.lit(float((-1) ** k * _binom(d, k))) * F.col(f"_y{k}")
-    return j2.withColumn("_zhat", zhat).withColumn("fitted", F.col("_zhat") + undo)
-
-
 def _attach(h: DataFrame, coef: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
         return join_small(h, coef, keys)
@@ -188,35 +130,236 @@ def _fitted(h: DataFrame, p: int, d: int) -> DataFrame:
     return h.withColumn("_zhat", zhat).withColumn("fitted", F.col("_zhat") + undo)
 
 
-def arima_fit(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), order=(5, 1, 0),
-              every: str | None = None, train_share: float = 0.8) -> DataFrame:
-    """M18 + M19: per key the coefficients (``const`` only when d = 0, AR
-    terms as an array), residual variance, and in-sample RMSE / MAE over the
-    training rows that have a fit (the first p + d rows have none; counted)."""
-    p, d, qq = order
+def _least_squares(s: DataFrame, keys: list[str], p: int, d: int, train_share: float) -> DataFrame:
+    # the design table feeds the coefficient, fit and metric jobs: build it once
+    h = cut_lineage(_design(s, keys, p, d, train_share))
+    fit = _fitted(_attach(h, _coefficients(h, keys, p, d, "_train"), keys), p, d)
+    err, res = F.col("y") - F.col("fitted"), F.col("_z") - F.col("_zhat")
+    ar = F.array(*[F.first(f"b_ar{j}") for j in range(1, p + 1)]) if p else F.array().cast("array<double>")
+    return fit.where(F.col("_train")).groupBy(*keys).agg(
+        F.max("_n").alias("n"), F.count(F.lit(1)).alias("n_train"), F.count("fitted").alias("n_fitted"),
+        (F.first("b_const") if d == 0 else F.lit(None).cast("double")).alias("const"), ar.alias("ar"),
+        F.array().cast("array<double>").alias("ma"), F.avg(res * res).alias("sigma2"), F.sqrt(F.avg(err * err)).alias("rmse"),
+        F.avg(F.abs(err)).alias("mae"))
+
+
+# ------------------------------------------------------------------ exact likelihood
+BLOCK_ROWS = 1_000_000
+MODEL = ("n long, n_train long, n_fitted long, const double, ar array<double>, ma array<double>, sigma2 double, loglik double, "
+         "rmse double, mae double, last_values array<double>, last_innovations array<double>, last_time long, step string")
+MODEL_NAMES = [c.split()[0] for c in MODEL.split(", ")]
+
+
+def _blocks(s: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """``(keys..., _b, total, y, t, before, t_before)``: a row per ``BLOCK_ROWS`` rows of a series, times in microseconds, with
+    the ``m`` values and the time before it."""
+    idx = row_index(s, ["t", "y"], keys, "_i")
+    rows = idx.groupBy(*[q(k) for k in keys], F.floor(F.col("_i") / BLOCK_ROWS).cast("int").alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct("_i", "y", F.unix_micros(F.col("t").cast("timestamp")).alias("t")))).alias("_r"))
+    w = Window.partitionBy(*[q(k) for k in keys], F.lit(0))
+    along = w.orderBy("_b")
+    return cut_lineage(rows.select(
+        *[q(k) for k in keys], "_b", F.sum(F.size("_r").cast("long")).over(w).alias("total"), F.col("_r.y").alias("y"), F.col("_r.t").alias("t"),
+        F.lag(F.slice(F.col("_r.y"), F.lit(-max(m, 1)), F.lit(max(m, 1)))).over(along).alias("before"),
+        F.lag(F.element_at("_r.t", -1)).over(along).alias("t_before")))
+
+
+def _differenced(y: np.ndarray, before: np.ndarray | None, p: int, d: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The d-th differences of a block and the p before it."""
+    if before is None:
+        return np.diff(y, d), None
+    z = np.diff(np.concatenate([before[len(before) - p - d:], y]), d)
+    return z[p:], z[:p]
+
+
+def _head_errors(y: np.ndarray, d: int) -> np.ndarray:
+    """Prediction errors of the first d rows: the i-th is predicted by a zero i-th difference."""
+    return np.array([np.diff(y[:i + 1], i)[-1] for i in range(min(d, len(y)))])
+
+
+def _train_rows(total: int, share: float | None) -> int:
+    return total if share is None else math.floor(total * share)
+
+
+def _search(x: np.ndarray, p: int, q: int, mean: bool) -> tuple[np.ndarray, np.ndarray]:
+    search = arma.minimise(arma.start(x, p, q))
+    points = next(search)
+    try:
+        while True:
+            values = []
+            for u in points:
+                phi, theta = arma.split(u, p)
+                values.append(arma.profile(arma.combined([arma.summary(x, None, phi, theta, mean)])[0], len(x), phi, theta, mean)[0])
+            points = search.send(values)
+    except StopIteration as end:
+        return arma.split(end.value, p)
+
+
+def _model_row(phi, theta, value, mu, sigma2, d, total, n_train, n, sse, sae, last_y, last_e, last_t, step) -> list:
+    ok = n > 0 and n_train > 0
+    loglik = -0.5 * n * (value + 1 + math.log(2 * math.pi)) if ok else None
+    const = float(mu * (1 - phi.sum())) if ok and d == 0 else None
+    return [total, n_train, n_train, const, phi.tolist() if ok else None, theta.tolist() if ok else None, float(sigma2) if ok else None, loglik,
+            math.sqrt(sse / n_train) if ok else None, sae / n_train if ok else None, last_y, last_e, last_t, step]
+
+
+def _fit_whole(pdf: pd.DataFrame, keys: list[str], order, share: float | None) -> pd.DataFrame:
+    """The model of a series of one block."""
+    (p, d, q_), r = order, pdf.iloc[0]
+    y, t = np.asarray(r["y"], float), np.asarray(r["t"], np.int64)
+    n_train = _train_rows(len(y), share)
+    used, x, mean = y[:n_train], np.diff(y[:n_train], d), d == 0
+    phi, theta = _search(x, p, q_, mean) if len(x) > p + q_ + 1 else (np.zeros(p), np.zeros(q_))
+    m, (carry,) = arma.combined([arma.summary(x, None, phi, theta, mean)])
+    value, mu, sigma2 = arma.profile(m, len(x), phi, theta, mean)
+    v, last_e = arma.innovations(x, None, carry, phi, theta, mu, mean)
+    errors = np.concatenate([_head_errors(used, d), v])
+    row = _model_row(phi, theta, value, mu, sigma2, d, len(y), n_train, len(x), float(errors @ errors), float(np.abs(errors).sum()),
+                     used[max(0, n_train - max(p + d, 1)):].tolist(), last_e[::-1].tolist(), int(t[-1]), calendar.rule(calendar.facts(t)))
+    return pd.DataFrame([[*(r[k] for k in keys), *row]], columns=keys + MODEL_NAMES)
+
+
+def _fit_long(hot: DataFrame, keys: list[str], order, share: float | None) -> DataFrame:
+    """The models of series of several blocks. There are at most as many as ``BLOCK_ROWS`` goes into the number of rows; the
+    driver has each one's search, terms and error sums."""
+    (p, d, q_), mean = order, order[1] == 0
+    spark = hot.sparkSession
+    series = hot.where("_b = 0").select(*[q(k) for k in keys], "total").collect()
+    names = spark.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(series)],
+                                  T.StructType([hot.schema[k] for k in keys] + [T.StructField("_h", T.IntegerType())]))
+    on = [hot[k].eqNullSafe(names[k]) for k in keys]
+    rows = cut_lineage(hot.join(F.broadcast(names), on).select("_h", *[hot[c] for c in hot.columns if c not in keys]))
+    n_train = [_train_rows(r["total"], share) for r in series]
+
+    def part(r) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """A block's training values, their differences, and the differences before them."""
+        y = np.asarray(r["y"], float)[:max(0, n_train[r["_h"]] - r["_b"] * BLOCK_ROWS)]
+        return y, *_differenced(y, None if r["_b"] == 0 else np.asarray(r["before"], float), p, d)
+
+    def summed(points: dict[int, list[np.ndarray]]) -> dict[int, list]:
+        """Per series and point: the likelihood's value, mean and variance, and what each block is carried."""
+        terms = {h: [arma.split(u, p) for u in us] for h, us in points.items()}
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for _, r in b.iterrows():
+                    _, x, before = part(r)
+                    for k, (phi, theta) in enumerate(terms.get(r["_h"], [])):
+                        flat = [a.ravel() for a in arma.summary(x, before, phi, theta, mean)] if len(x) else []
+                        out.append((r["_h"], k, r["_b"], len(x), np.concatenate(flat).tolist() if flat else []))
+                yield pd.DataFrame(out, columns=["_h", "k", "_b", "n", "m"])
+
+        def together(g: pd.DataFrame) -> pd.DataFrame:
+            g = g[g["n"] > 0].sort_values("_b")
+            phi, theta = terms[int(g["_h"].iloc[0])][int(g["k"].iloc[0])]
+            c = (2 if mean else 1) + p + q_
+            shapes = [(c, c), (c, q_), (q_, q_), (q_, c), (q_, q_)]
+            cuts = np.cumsum([a * b for a, b in shapes])[:-1]
+            blocks = [tuple(a.reshape(s) for a, s in zip(np.split(np.asarray(m, float), cuts), shapes)) for m in g["m"]]
+            m, carries = arma.combined(blocks)
+            value, mu, sigma2 = arma.profile(m, int(g["n"].sum()), phi, theta, mean)
+            return pd.DataFrame([(g["_h"].iloc[0], g["k"].iloc[0], value, mu, sigma2, int(g["n"].sum()), np.concatenate(carries).ravel().tolist())],
+                                columns=["_h", "k", "value", "mu", "sigma2", "n", "carries"])
+
+        sums = rows.mapInPandas(run, "_h int, k int, _b int, n long, m array<double>").groupBy("_h", "k").applyInPandas(
+            together, "_h int, k int, value double, mu double, sigma2 double, n long, carries array<double>")
+        found = {h: [None] * len(us) for h, us in points.items()}
+        for r in sums.collect():
+            found[r["_h"]][r["k"]] = r
+        return found
+
+    # start values from each series' first block
+    begun = {r["_h"]: arma.start(np.asarray(r["u"], float), p, q_) for r in rows.where("_b = 0").select(
+        "_h", F.slice("y", 1, 50_000 + d).alias("u")).toPandas().assign(u=lambda f: [np.diff(np.asarray(y, float), d) for y in f["u"]]).to_dict("records")}
+    searches = {h: arma.minimise(u) for h, u in begun.items()}
+    best, points = {}, {h: next(g) for h, g in searches.items()}
+    while points:
+        values, points = summed(points), {}
+        for h, rs in values.items():
+            try:
+                points[h] = searches[h].send([r["value"] for r in rs])
+            except StopIteration as end:
+                best[h] = end.value
+    last = {h: rs[0] for h, rs in summed({h: [u] for h, u in best.items()}).items()}
+    terms = {h: arma.split(u, p) for h, u in best.items()}
+    known = {h: (r["mu"], np.asarray(r["carries"], float).reshape(-1, q_, (2 if mean else 1) + p + q_) if q_ else None) for h, r in last.items()}
+
+    def errors(batches):
+        for b in batches:
+            out = []
+            for _, r in b.iterrows():
+                h, t = int(r["_h"]), np.asarray(r["t"], np.int64)
+                y, x, before = part(r)
+                head, v, tail = np.zeros(0), np.zeros(0), np.zeros(0)
+                if len(x):
+                    mu, carries = known[h]
+                    carry = carries[int(r["_b"])] if q_ else np.zeros((0, 0))
+                    v, tail = arma.innovations(x, before, carry, *terms[h], mu, mean)
+                    head = _head_errors(y, d) if r["_b"] == 0 else head
+                e = np.concatenate([head, v])
+                have = np.concatenate([[] if r["_b"] == 0 else np.asarray(r["before"], float), y])[-max(p + d, 1):]
+                prev = r["t_before"]
+                out.append((h, int(r["_b"]), float(e @ e), float(np.abs(e).sum()), len(y), have.tolist(), tail[::-1].tolist(), int(t[-1]),
+                            calendar.facts(t, None if pd.isna(prev) else int(prev))))
+            yield pd.DataFrame(out, columns=["_h", "_b", "sse", "sae", "n", "last", "tail", "t", "facts"])
+
+    parts = rows.mapInPandas(errors, "_h int, _b int, sse double, sae double, n long, last array<double>, tail array<double>, t long, facts array<long>")
+    used = F.struct(F.col("n") > 0, "_b")
+    ends = parts.groupBy("_h").agg(F.sum("sse").alias("sse"), F.sum("sae").alias("sae"), F.max("t").alias("t"), F.max_by("last", used).alias("last"),
+                                   F.max_by("tail", used).alias("tail"), *[
+        {"sum": F.sum, "low": F.min, "high": F.max}["sum" if f == "pairs" else "high" if f.endswith("_high") else "low"](F.col("facts")[i]).alias(f)
+        for i, f in enumerate(calendar.FACTS)])
+    out = []
+    for r in ends.collect():
+        h, l = r["_h"], last[r["_h"]]
+        out.append((*[series[h][k] for k in keys], *_model_row(*terms[h], l["value"], l["mu"], l["sigma2"], d, series[h]["total"], n_train[h], l["n"], r["sse"],
+                                                              r["sae"], r["last"], r["tail"], r["t"], calendar.rule([r[f] for f in calendar.FACTS]))))
+    return spark.createDataFrame(out, T.StructType([hot.schema[k] for k in keys] + T._parse_datatype_string(MODEL).fields))
+
+
+def _models(s: DataFrame, keys: list[str], order, share: float | None) -> DataFrame:
+    blocks = _blocks(s, keys, order[0] + order[1])
+    few = blocks.where(F.col("total") <= BLOCK_ROWS).withColumn("_g", F.lit(0))
+    fields = "".join(f"`{k}` {s.schema[k].dataType.simpleString()}, " for k in keys)
+    models = few.groupBy(*[q(k) for k in keys], "_g").applyInPandas(lambda pdf: _fit_whole(pdf, keys, order, share), fields + MODEL)
+    hot = blocks.where(F.col("total") > BLOCK_ROWS)
+    return models if hot.isEmpty() else models.unionByName(_fit_long(hot, keys, order, share))
+
+
+def arima_fit(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), order=(5, 1, 0), every: str | None = None,
+              train_share: float = 0.8, method: str = "exact") -> DataFrame:
+    """M18 + M19: per key the terms (``const`` only when d = 0, the intercept), innovation variance, and in-sample RMSE / MAE over
+    the training rows that have a prediction (``n_fitted``: all of them; by least squares all but the first p + d)."""
+    p, d, q_ = order
     keys = list(keys)
     s = series(df, time, value, keys, every)
-    if qq:
-        fit = _hannan_rissanen(cut_lineage(s), keys, p, d, qq, train_share)
+    if method == "least_squares":
+        if q_:
+            raise ValueError("least squares fits AR terms only")
+        found = _least_squares(s, keys, p, d, train_share)
+    elif method == "exact":
+        found = _models(s, keys, (p, d, q_), train_share)
     else:
-        # the design table feeds the coefficient, fit and metric jobs: build it once
-        h = cut_lineage(_design(s, keys, p, d, train_share))
-        coef = _coefficients(h, keys, p, d, "_train")
-        fit = _fitted(_attach(h, coef, keys), p, d)
-    tr = fit.where(F.col("_train"))
-    err = F.col("y") - F.col("fitted")
-    agg = tr.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_train"), F.count("fitted").alias("n_fitted"),
-        F.max("_n").alias("n"),
-        F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
-        F.avg((F.col("_z") - F.col("_zhat")) * (F.col("_z") - F.col("_zhat"))).alias("sigma2"),
-        *[F.first(f"b_{n}").alias(f"b_{n}") for n in (["const"] if d == 0 else []) +
-          [f"ar{j}" for j in range(1, p + 1)] + [f"ma{j}" for j in range(1, qq + 1)]])
-    ar = F.array(*[F.col(f"b_ar{j}") for j in range(1, p + 1)]) if p else F.array().cast("array<double>")
-    ma = F.array(*[F.col(f"b_ma{j}") for j in range(1, qq + 1)]) if qq else F.array().cast("array<double>")
-    const = F.col("b_const") if d == 0 else F.lit(None).cast("double")
-    return agg.select(*keys, "n", "n_train", "n_fitted", F.lit(f"({p},{d},{qq})").alias("order"),
-                      const.alias("const"), ar.alias("ar"), ma.alias("ma"), "sigma2", "rmse", "mae")
+        raise ValueError(f"unknown method {method!r}")
+    return found.select(*[q(k) for k in keys], "n", "n_train", "n_fitted", F.lit(f"({p},{d},{q_})").alias("order"), "const", "ar", "ma",
+                        "sigma2", "rmse", "mae")
+
+
+def arima_models(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), order=(5, 1, 0), every: str | None = None) -> DataFrame:
+    """Fitted models, a row per key with all that :func:`forecast` needs; every row is used."""
+    keys, order = list(keys), tuple(order)
+    found = _models(series(df, time, value, keys, every), keys, order, None)
+    return found.withColumn("order", F.array(*map(F.lit, order)))
+
+
+def save_models(models: DataFrame, path: str) -> None:
+    """A12 for forecasts: the models as a table at ``path``, replacing what is there."""
+    models.write.mode("overwrite").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def _psi(phi: np.ndarray, d: int, h: int, theta: np.ndarray | None = None) -> np.ndarray:
@@ -234,85 +377,46 @@ def _psi(phi: np.ndarray, d: int, h: int, theta: np.ndarray | None = None) -> np
     return psi
 
 
-def _forecast_group(pdf: pd.DataFrame, keys: list[str], p: int, d: int, horizon: int, zq: float,
-                    q: int = 0) -> pd.DataFrame:
-    r = pdf.iloc[0]
-    hist = np.array(r["_last"], dtype=float)          # most recent last
-    phi = np.array([r[f"b_ar{j}"] for j in range(1, p + 1)], dtype=float)
-    theta = np.array([r[f"b_ma{j}"] for j in range(1, q + 1)], dtype=float)
-    eps = [0.0 if v is None or pd.isna(v) else float(v) for v in (r["_last_e"] if q else [])]
-    c = float(r["b_const"]) if d == 0 else 0.0
-    sigma2 = float(r["sigma2"]) if r["sigma2"] is not None and not pd.isna(r["sigma2"]) else np.nan
-    y = list(hist)
-    out_vals = []
+def _forecast_rows(r, keys: list[str], horizon: int, zq: float) -> list[tuple]:
+    p, d, q_ = (int(x) for x in r["order"])
+    if r["ar"] is None or r["sigma2"] is None or len(r["last_values"]) < p + d:
+        return []
+    phi, theta = np.array(r["ar"], float), np.array(r["ma"], float)
+    y, eps = [float(v) for v in r["last_values"]], [float(v) for v in r["last_innovations"]]
+    c = float(r["const"]) if d == 0 else 0.0
+    values = []
     for _ in range(horizon):
         arr = np.array(y)
         z = np.diff(arr, n=d) if d else arr
-        zf = c + sum(phi[j - 1] * z[-j] for j in range(1, p + 1)) if len(z) >= p else np.nan
-        zf += sum(theta[j - 1] * eps[-j] for j in range(1, q + 1) if len(eps) >= j)
+        zf = c + sum(phi[j - 1] * z[-j] for j in range(1, p + 1)) + sum(theta[j - 1] * eps[-j] for j in range(1, q_ + 1) if len(eps) >= j)
         eps.append(0.0)  # future innovations have mean zero
         # undo the differencing: y_t = z_t - sum_{k>=1} (-1)^k C(d,k) y_{t-k}
-        yf = zf - sum(((-1) ** k) * math.comb(d, k) * arr[-k] for k in range(1, d + 1))
-        y.append(yf)
-        out_vals.append(yf)
-    psi = _psi(phi, d, horizon, theta)
-    se = np.sqrt(sigma2 * np.cumsum(psi ** 2))
-    last_t = pd.Timestamp(r["_last_t"])
-    step = pd.Timedelta(microseconds=int(r["_step_us"])) if r["_step_us"] and r["_step_us"] > 0 \
-        else pd.Timedelta(days=1)
-    rows = []
-    for i, v in enumerate(out_vals):
-        rows.append({**{k: r[k] for k in keys}, "step": i + 1, "Date": last_t + step * (i + 1),
-                     "Forecast": float(v), "Lower CI": float(v - zq * se[i]), "Upper CI": float(v + zq * se[i])})
-    return pd.DataFrame(rows, columns=keys + ["step", "Date", "Forecast", "Lower CI", "Upper CI"])
+        y.append(zf - sum(((-1) ** k) * math.comb(d, k) * arr[-k] for k in range(1, d + 1)))
+        values.append(y[-1])
+    se = np.sqrt(float(r["sigma2"]) * np.cumsum(_psi(phi, d, horizon, theta) ** 2))
+    times = calendar.following(r["step"], int(r["last_time"]), horizon)
+    return [(*[r[k] for k in keys], i + 1, pd.Timestamp(int(t) * 1000), float(v), float(v - zq * e), float(v + zq * e))
+            for i, (t, v, e) in enumerate(zip(times, values, se))]
+
+
+def forecast(models: DataFrame, horizon: int = 10, level: float = 0.95) -> DataFrame:
+    """M20 from fitted or loaded models: ``horizon`` future steps per key with a ``level`` interval. Times continue by the
+    series' calendar step (months, quarters, years and their ends, business days, any constant gap); one day if it has none.
+    A series of at most p + q + 1 differences is fitted without terms; one without any difference has no rows."""
+    keys = [c for c in models.columns if c not in [*MODEL_NAMES, "order"]]
+    zq = normal_ppf(0.5 + level / 2)
+    names = keys + ["step", "Date", "Forecast", "Lower CI", "Upper CI"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [row for r in b.to_dict("records") for row in _forecast_rows(r, keys, horizon, zq)]
+            yield pd.DataFrame(rows, columns=names)
+
+    fields = "".join(f"`{k}` {models.schema[k].dataType.simpleString()}, " for k in keys)
+    return models.mapInPandas(run, fields + "step int, Date timestamp_ntz, Forecast double, `Lower CI` double, `Upper CI` double")
 
 
 def arima_forecast(df: DataFrame, time: str, value: str, keys: Sequence[str] = (), order=(5, 1, 0),
                    horizon: int = 10, every: str | None = None, level: float = 0.95) -> DataFrame:
-    """``horizon`` future steps per key with a ``level`` interval.
-
-    Refits on all rows; future times continue from the last time with the
-    series' constant spacing, or one day when spacing varies."""
-    p, d, qq = order
-    keys = list(keys)
-    s = cut_lineage(series(df, time, value, keys, every))
-    if qq:
-        fit = cut_lineage(_hannan_rissanen(s, keys, p, d, qq, None))
-        names = (["const"] if d == 0 else []) + [f"ar{j}" for j in range(1, p + 1)] + \
-            [f"ma{j}" for j in range(1, qq + 1)]
-        coef = fit.groupBy(*keys).agg(*[F.first(f"b_{n}").alias(f"b_{n}") for n in names])
-    else:
-        h = cut_lineage(_design(s, keys, p, d, None))
-        coef = _coefficients(h, keys, p, d, "_train")
-        fit = _fitted(_attach(h, coef, keys), p, d)
-    fit = fit.withColumn("_res", F.col("_z") - F.col("_zhat"))
-    resid = fit.groupBy(*keys).agg(F.avg(F.col("_res") * F.col("_res")).alias("sigma2"))
-    # last p + d values (and q innovations) per key: a top-k, planned as a
-    # partial group limit
-    m = max(p + d, qq, 1)
-    wd = Window.partitionBy(*keys).orderBy(F.col("t").desc())
-    tail = fit.select(*keys, "t", "y", "_res").withColumn("_r", F.row_number().over(wd)).where(F.col("_r") <= m)
-    last = tail.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("t", "y"))), lambda e: e["y"]).alias("_last"),
-        F.transform(F.sort_array(F.collect_list(F.struct("t", "_res"))), lambda e: e["_res"]).alias("_last_e"),
-        F.max("t").alias("_last_t"))
-    # spacing: constant gap when min gap == max gap
-    gaps = with_halo(s, ["t"], keys, 1, values=[])
-    gaps = gaps.withColumn("_gap", F.unix_micros(F.col("t").cast("timestamp"))
-                           - F.unix_micros(F.lag("t", 1).over(local_window(keys, ["t"])).cast("timestamp")))
-    gaps = gaps.where(~F.col("_halo")).groupBy(*keys).agg(F.min("_gap").alias("_g0"), F.max("_gap").alias("_g1"))
-    gaps = gaps.select(*keys, F.when(F.col("_g0") == F.col("_g1"), F.col("_g0")).alias("_step_us"))
-    parts = coef
-    for t in (resid, last, gaps):
-        parts = parts.join(t, keys) if keys else _attach(parts, t, [])
-    zq = normal_ppf(0.5 + level / 2)
-    key_fields = ", ".join(f"`{k}` {s.schema[k].dataType.simpleString()}" for k in keys)
-    schema = ((key_fields + ", ") if keys else "") + \
-        "step int, Date timestamp_ntz, Forecast double, `Lower CI` double, `Upper CI` double"
-    if d != 0:
-        parts = parts.withColumn("b_const", F.lit(0.0))
-    grp = keys or ["_g"]
-    if not keys:
-        parts = parts.withColumn("_g", F.lit(0))
-    return parts.groupBy(*grp).applyInPandas(
-        lambda pdf: _forecast_group(pdf, keys, p, d, horizon, zq, qq), schema)
+    """:func:`arima_models` on all rows, then :func:`forecast`."""
+    return forecast(arima_models(df, time, value, keys, order, every), horizon, level)

@@ -736,7 +736,7 @@ FROM tr JOIN c USING (event_type) GROUP BY tr.event_type, c, phi"""
 
 
 def _ar1(s, sf):
-    f = fc.arima_fit(T(s, sf, "events"), "ts", "value", ["event_type"], (1, 0, 0), every="day")
+    f = fc.arima_fit(T(s, sf, "events"), "ts", "value", ["event_type"], (1, 0, 0), every="day", method="least_squares")
     return rnd(f.select("event_type", "const", F.col("ar")[0].alias("phi"), "n_fitted", "rmse", "mae"),
                {"const": 6, "phi": 6, "rmse": 6, "mae": 6})
 
@@ -746,6 +746,24 @@ register("arima_fit")(
     lambda s, sf: fc.arima_fit(T(s, sf, "events"), "ts", "value", ["event_type"], (5, 1, 0), every="day"))
 register("arima_forecast")(
     lambda s, sf: fc.arima_forecast(T(s, sf, "events"), "ts", "value", ["event_type"], (5, 1, 0), 10, every="day"))
+
+
+def _forecast_saved(s, sf):
+    path = _scratch(s, "forecaster")
+    fc.save_models(fc.arima_models(T(s, sf, "events"), "ts", "value", ["event_type"], (2, 1, 0), every="day"), path)
+    return fc.forecast(fc.load_models(s, path), 10)
+
+
+register("forecast_saved_models")(_forecast_saved)
+
+# the dates that follow a monthly series are month starts, whatever the months' lengths
+MONTHLY_SQL = """
+WITH m AS (SELECT o_orderpriority, max(date_trunc('month', o_orderdate)) AS last FROM orders GROUP BY 1)
+SELECT o_orderpriority, CAST(k AS INTEGER) AS step, CAST(last + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS "Date"
+FROM m, (SELECT unnest(range(1, 19)) AS k)"""
+register("forecast_months", MONTHLY_SQL)(
+    lambda s, sf: fc.arima_forecast(T(s, sf, "orders"), "o_orderdate", "o_totalprice", ["o_orderpriority"], (1, 0, 0), 18, every="month")
+    .select("o_orderpriority", "step", "Date"))
 register("arima_daily_orders")(
     lambda s, sf: fc.arima_forecast(dv.orders_daily(s, sf), "day", "total", [], (5, 1, 0), 10))
 

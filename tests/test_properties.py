@@ -42,7 +42,7 @@ def test_ar1_recovered_and_forecast(spark):
     for k in ("a", "b"):
         assert fit[k]["ar"][0] == pytest.approx(phi, abs=0.05)
         assert fit[k]["const"] == pytest.approx(c, abs=0.6)
-        assert fit[k]["n_train"] == 3200 and fit[k]["n_fitted"] == 3199
+        assert fit[k]["n_train"] == fit[k]["n_fitted"] == 3200
         assert fit[k]["rmse"] == pytest.approx(0.5, abs=0.05)
     fc = forecast.arima_forecast(df, "t", "y", ["k"], (1, 0, 0), horizon=3).where(F.col("k") == "a") \
         .orderBy("step").toPandas()
