@@ -56,6 +56,9 @@ def cut_lineage_partitioned(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+EDGES_PER_FILE = 100_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an undirected graph given as ``(src, dst)`` longs: component is the smallest
     node reachable. Nodes without edges to other nodes do not appear.
@@ -63,13 +66,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: every round joins each node's edges with its smallest
     neighbour (a partial aggregate, so a hub is combined before the shuffle, and an ordinary join, which
     Spark splits when one node has many edges) until the edge set stays the same, which is when every node
-    points straight at the smallest one. Each round's edges are checkpointed; the driver sees a count and a
-    hash per round.
+    points straight at the smallest one. Each round's edges are checkpointed, in as many files as their number asks for; the
+    driver sees a count and a hash per round.
     """
     e = cut_lineage(edges.where(F.col("src") != F.col("dst"))
                     .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     state = _state(e)
-    while True:
+    while state[0]:
+        e = e.coalesce(1 + state[0] // EDGES_PER_FILE)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(
@@ -79,7 +83,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"),
             F.col("u"), F.col("m"))
         e = cut_lineage(small.select(F.explode(F.array("a", "u")).alias("u"), F.col("m").alias("v"))
-                        .where(F.col("u") != F.col("v")).distinct())
+                        .where(F.col("u") != F.col("v")).distinct().coalesce(1 + state[0] // EDGES_PER_FILE))
         now = _state(e)
         if now == state:
             break
@@ -88,6 +92,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def more_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comp``, the components of some edges, with further ``edges`` taken in: only the components that these touch are
+    worked on."""
+    known = cut_lineage(comp)
+    ends = edges
+    for end in ("src", "dst"):
+        at = known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+        ends = join_checked(ends, at, end, "left").withColumn(end, F.coalesce(f"{end}_c", end)).drop(f"{end}_c")
+    over = cut_lineage(connected_components(ends))
+    up = over.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    grown = join_checked(known, up, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return grown.unionByName(over.join(known.select("node"), "node", "left_anti").select("node", "component"))
+
+
 def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return r[0], r[1]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewise.llm.common import connected_components, join_checked, own_name, text_or_empty
+from framewise.llm.common import connected_components, join_checked, more_components, own_name, text_or_empty
 from framewise.session import cut_lineage
 
 GRID = 4
@@ -198,9 +198,7 @@ def line_components(lines: DataFrame, shingle: int = 8, similarity: float = 0.8)
         if mixed.isEmpty():
             break
         pairs = _near_pairs(_again(mixed, turn), odd, similarity) if turn < TURNS else _across(mixed, odd, similarity)
-        added = cut_lineage(_verified(pairs, text, shingle, similarity))
-        found = found.unionByName(added)
-        comp = connected_components(found)
+        comp = more_components(comp, cut_lineage(_verified(pairs, text, shingle, similarity)))
     return comp.withColumnRenamed("node", "id")
 
 
@@ -240,11 +238,9 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays as it is (null stays null), and a text that loses all becomes empty. A column ``n_chars`` follows the text."""
     out, keep = _join_kept(docs, id_col, text_col, **options)
     lines = F.split(F.col(text_col), "\n")
-    blanks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _blank(F.get(lines, i)))
-    stay = F.array_sort(F.concat(blanks, F.col(keep)))
-    full = F.size(F.col(keep)) + F.size(blanks) == F.size(lines)
-    text = F.when(full | F.col(text_col).isNull(), F.col(text_col)).when(F.size(F.col(keep)) == 0, F.lit("")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stay = F.filter(lines, lambda line, i: _blank(line) | F.array_contains(F.col(keep), i))  # the text is split once
+    text = F.when(F.size(F.col(keep)) > 0, F.array_join(stay, "\n")).when(
+        F.col(text_col).isNotNull() & ~F.col(text_col).rlike(r"[^ \t\r\x0b\x0c\n]"), F.col(text_col)).when(F.col(text_col).isNotNull(), F.lit(""))
     out = out.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(
