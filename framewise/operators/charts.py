@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from framewise.functions.columns import as_double, join_small, numeric_columns, q
 from framewise.functions.quantiles import quantile_table
+from framewise.functions.sampling import sample
 from framewise.functions.scalar import format_kpi
+from framewise.session import cut_lineage
 
 AGG_LABEL = {"Sum": "Total", "Average": "Avg", "Maximum": "Max"}
 
@@ -273,24 +275,16 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
 
 def pie_shares(df: DataFrame, col: str) -> DataFrame:
     """Count and share of each category (null category dropped)."""
-    counts = df.where(q(col).isNotNull()).groupBy(q(col).alias(col)).agg(F.count(F.lit(1)).alias("count"))
-    total = df.where(q(col).isNotNull()).count()
-    return counts.select(col, "count", F.try_divide(F.col("count").cast("double"),
-                                                    F.lit(float(total))).alias("share")).orderBy(col)
-
-
-def sample_rows(df: DataFrame, max_points: int | None, seed: int = 42) -> DataFrame:
-    """Deterministic hash sample down to about ``max_points`` rows (a sampling
-    operator for charts; independent of partitioning). The hash is compared in
-    its whole 64-bit range, so the share may be as small as it needs to be."""
-    if not max_points:
-        return df
-    n = df.count()
-    if n <= max_points:
-        return df
-    below = -(1 << 63) + max_points * (1 << 64) // n
-    h = F.xxhash64(*[q(c) for c in df.columns], F.lit(seed))
-    return df.where(h < F.lit(below).cast("long"))
+    # one row per category: checkpointed, so that total and shares come from the counts and not from the table again
+    counts = cut_lineage(df.where(q(col).isNotNull()).groupBy(q(col).alias(col)).agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.select(col, "count", F.try_divide(F.col("count").cast("double"), F.lit(float(total))).alias("share")).orderBy(col)
+
+
+def sample_rows(df: DataFrame, max_points: int | None, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
+    """At most ``max_points`` rows: exactly that many if there are more, drawn by a hash of ``key`` or, without one, of the row
+    and its number among equal rows - so points that many rows share are drawn in proportion."""
+    return sample(df, max_points, key, seed) if max_points else df
 
 
 def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None,

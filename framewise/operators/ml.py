@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewise.functions.columns import DATETIME, NUMERIC, q
+from framewise.functions.sampling import draw, numbered_copies
+from framewise.session import cut_lineage
 
 FEATURES = "features"
 LABEL = "label"
@@ -194,16 +196,17 @@ def encode_target(df: DataFrame, target: str, max_classes: int | None = None) ->
 # ----------------------------------------------------------------------- M5
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
           key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """M5: deterministic hash split on ``key`` columns (default: all columns).
+    """M5: deterministic split by a hash of ``key``, columns that tell rows apart. Without a key the hash is of the whole row
+    and its number among equal rows, so equal rows are dealt to both sides as others are.
 
     Unlike ``randomSplit`` the assignment does not depend on partitioning, so
     a recomputed partition lands every row on the same side."""
     if not 0.1 <= test_size <= 0.5:
         raise ValueError("test_size must be within 0.1 .. 0.5")
-    key = list(key) if key else list(df.columns)
-    h = F.pmod(F.xxhash64(*[q(c) for c in key], F.lit(seed)), F.lit(10_000))
+    d, h, extra = draw(df, key, seed)
+    h = F.pmod(h, F.lit(10_000))
     cut = int(round(test_size * 10_000))
-    return df.where(h >= cut), df.where(h < cut)
+    return d.where(h >= cut).drop(*extra), d.where(h < cut).drop(*extra)
 
 
 # ------------------------------------------------------------------ M6-M12
@@ -284,13 +287,19 @@ def train(df: DataFrame, features: Sequence[str], target: str, kind: str, test_s
     ``predicted_class``)."""
     features = list(features)
     problem = "classification" if kind in CLASSIFIERS else "regression"
-    data = df.select(*[q(c) for c in dict.fromkeys(features + [target] + list(split_key or []))])
+    key, copy = list(split_key or []), []
+    data = df.select(*[q(c) for c in dict.fromkeys(features + [target] + key)])
+    if not key:  # equal rows are told apart by number; several jobs read them, so they are numbered once
+        copy = ["_copy" + "_" * sum(c.startswith("_copy") for c in data.columns)]
+        data = cut_lineage(numbered_copies(data, copy[0]))
+        key = data.columns
     classes = None
     if problem == "classification":
         data, classes = encode_target(data, target)
     else:
         data = data.withColumn(LABEL, q(target).cast("double")).where(F.col(LABEL).isNotNull())
-    train_df, test_df = split(data, test_size, seed, split_key or features + [target])
+    train_df, test_df = [part.drop(*copy) for part in split(data, test_size, seed, key)]
+    data = data.drop(*copy)
     stages, info = feature_stages(data if fit_scope == "all" else train_df, features)
     n_train = train_df.count() if kind == "logistic" else None
     est = make_estimator(kind, len(classes or []), n_train, seed, **params)
