@@ -788,6 +788,24 @@ register("convert_datetimes", W("events_text_time") + """
 SELECT event_id, TRY_STRPTIME(ts_mostly, '%Y-%m-%d %H:%M:%S') AS ts_mostly, ts_rarely, value
 FROM events_text_time""")(lambda s, sf: sh.convert_datetimes(dv.events_text_time(s, sf)))
 
+MIXED_DATES_SQL = """
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 1 THEN strftime(o_orderdate, '%b %-d, %Y')
+             WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') WHEN 3 THEN strftime(o_orderdate, '%-d %B %Y') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d')
+             WHEN 5 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE 'n/a' END AS day FROM orders)
+SELECT o_orderkey, coalesce(CASE WHEN contains(day, '.') THEN try_strptime(day, '%d.%m.%Y') END, try_strptime(day, '%m/%d/%Y'),
+         try_strptime(day, '%b %d, %Y'), CASE WHEN length(day) = 8 THEN try_strptime(day, '%Y%m%d') END, try_strptime(day, '%d %B %Y'),
+         try_strptime(day, '%Y-%m-%d')) AS day FROM t"""
+
+
+def _mixed_dates(s, sf):
+    d, shapes = F.col("o_orderdate"), ("M/d/yyyy", "MMM d, yyyy", "yyyyMMdd", "d MMMM yyyy", "yyyy-MM-dd", "dd.MM.yyyy")
+    day = F.lit("n/a")
+    for k, shape in enumerate(shapes):
+        day = F.when(F.col("o_orderkey") % 7 == k, F.date_format(d, shape)).otherwise(day)
+    return sh.convert_datetimes(T(s, sf, "orders").select("o_orderkey", day.alias("day")))
+
+
+register("convert_mixed_dates", MIXED_DATES_SQL)(_mixed_dates)
 register("column_types", """
 SELECT * FROM (VALUES (0, 'event_id', 'bigint', 'numeric'), (1, 'ts_mostly', 'string', 'datetime'),
                       (2, 'ts_rarely', 'string', 'categorical'), (3, 'value', 'double', 'numeric'))

@@ -31,11 +31,24 @@ def flatten_json(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*cols)
 
 
-def infer_json_schema(df: DataFrame, col: str) -> T.StructType:
-    """Schema of a JSON text column, inferred by a distributed pass over it."""
-    spark = df.sparkSession
-    texts = df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull())
-    return spark.read.json(texts.rdd.map(lambda r: r[0])).schema
+def infer_json_schema(df: DataFrame, col: str) -> T.DataType:
+    """Schema of a JSON text column over all rows: each text becomes a variant, whose schemas are merged by a partial and a
+    final aggregate. Texts that are not JSON count for nothing; fields of different types in different rows become what can
+    hold both (numbers of either kind: double; else text)."""
+    variant = F.try_parse_json(F.col(col).cast("string"))
+    found = df.agg(F.schema_of_variant_agg(variant)).first()[0]
+    return _storable(T._parse_datatype_string(found.replace("OBJECT<", "STRUCT<"))) if found else T.StringType()
+
+
+def _storable(dt: T.DataType) -> T.DataType:
+    """A variant's schema in types that JSON is read into: whole numbers as long, other numbers as double."""
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, _storable(f.dataType)) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(_storable(dt.elementType))
+    if isinstance(dt, T.DecimalType):
+        return T.DoubleType() if dt.scale else T.LongType()
+    return T.StringType() if isinstance(dt, (T.NullType, T.VariantType)) else dt
 
 
 def flatten_json_col(df: DataFrame, col: str, schema: T.StructType | str | None = None,
@@ -43,5 +56,7 @@ def flatten_json_col(df: DataFrame, col: str, schema: T.StructType | str | None
     """Parse a JSON text column and flatten it into ``col.key`` columns next to
     the other columns (the text column itself is replaced)."""
     schema = schema or infer_json_schema(df, col)
+    if isinstance(schema, (T.AtomicType, T.ArrayType)):
+        return df if not isinstance(schema, T.ArrayType) else df.withColumn(col, F.from_json(F.col(col), schema))
     parsed = df.withColumn(col, F.from_json(F.col(col), schema))
     return flatten_json(parsed, sep)
