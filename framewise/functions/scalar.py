@@ -80,20 +80,35 @@ def datetime_features_checked(df: DataFrame, name: str,
     return datetime_features(df, name, parts)
 
 
-def format_kpi(value: Column) -> Column:
-    """1.23M / 4.5K / 1,234.56 style text. Negative values are never abbreviated.
-
-    Rounding is half-up on the decimal value (via DECIMAL), so the text does
-    not depend on how a double happens to sit around a tie."""
-    v = value.cast("double")
+def _fixed(x: Column, places: int, grouped: bool) -> Column:
+    """A non-negative double with ``places`` (at most 2) decimals, rounded from its exact binary value, ties to even - the text
+    that C's and Python's ``%.2f`` give. The fraction is taken as a whole number of 2^-52 and a rest below it, which matters
+    for numbers below 1 only and is exact where it can decide."""
+    whole, scale, unit = F.floor(x), 10 ** places, 1 << 52
+    bits = (x - whole) * F.lit(float(unit))
+    low = F.floor(bits)
+    n = low * scale
+    digits, rest = F.shiftright(n, 52), n.bitwiseAND(F.lit(unit - 1))
+    below, need = (bits - low) * F.lit(float(scale)), (F.lit(unit // 2) - rest).cast("double")
+    up = (below > need) | ((below == need) & (digits % 2 == 1))
+    digits = digits + F.when(up, 1).otherwise(0)
+    whole = whole + F.when(digits == scale, 1).otherwise(0)
+    left = F.format_number(whole, 0) if grouped else whole.cast("string")
+    # from 2^53 on a double is a whole number
+    text = F.concat(left, F.lit("."), F.lpad((digits % scale).cast("string"), places, "0"))
+    return F.when(x < F.lit(2.0 ** 53), text).otherwise(F.format_string(f"%{',' if grouped else ''}.{places}f", x))
 
-    def dec(x: Column, places: int) -> Column:
-        return F.round(x.cast("decimal(38,6)"), places).cast("double")
 
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(v >= 1_000_000, F.format_string("%.2fM", dec(v / 1_000_000, 2)))
-            .when(v >= 1_000, F.format_string("%.1fK", dec(v / 1_000, 1)))
-            .otherwise(F.format_number(dec(v, 2), 2)))
+def format_kpi(value: Column) -> Column:
+    """1.23M / 4.5K / 1,234.56 style text. Negative values are never abbreviated. Ties go to the even digit (1250 is
+    1.2K) and NaN and infinities are named, as Python's formatting does."""
+    v = value.cast("double")
+    a, sign = F.abs(v), F.when(v < 0, "-").otherwise("")
+    plain = F.concat(sign, _fixed(a, 2, True))
+    return (F.when(v.isNull(), F.lit(None).cast("string")).when(F.isnan(v), "nan").when(v == F.lit(float("inf")), "infM")
+            .when(v == F.lit(float("-inf")), "-inf")
+            .when(v >= 1_000_000, F.concat(_fixed(a / 1_000_000, 2, False), F.lit("M")))
+            .when(v >= 1_000, F.concat(_fixed(a / 1_000, 1, False), F.lit("K"))).otherwise(plain))
 
 
 def email_valid(col: Column) -> Column:

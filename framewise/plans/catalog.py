@@ -104,23 +104,21 @@ FROM customer"""
 
 register("one_hot_segment", _one_hot_segment_sql())(lambda s, sf: co.one_hot(T(s, sf, "customer"), ["c_mktsegment"]))
 
-KPI_FMT_SQL = """CASE WHEN v IS NULL THEN NULL
-  WHEN v >= 1000000 THEN printf('%.2fM', round(CAST(v / 1000000 AS DECIMAL(38, 6)), 2))
-  WHEN v >= 1000 THEN printf('%.1fK', round(CAST(v / 1000 AS DECIMAL(38, 6)), 1))
-  ELSE format('{:,.2f}', CAST(round(CAST(v AS DECIMAL(38, 6)), 2) AS DOUBLE)) END"""
+# printf and format round the double's binary value, ties to even
+KPI_FMT_SQL = """CASE WHEN v IS NULL THEN NULL WHEN v >= 1000000 THEN printf('%.2fM', v / 1000000)
+  WHEN v >= 1000 THEN printf('%.1fK', v / 1000) ELSE format('{:,.2f}', v) END"""
 
 register("format_kpi", f"SELECT o_orderkey, {KPI_FMT_SQL.replace('v', 'o_totalprice')} AS display FROM orders")(
     lambda s, sf: T(s, sf, "orders").select("o_orderkey", sc.format_kpi(F.col("o_totalprice")).alias("display")))
 
 EMAIL_SQL = r"""
 SELECT doc_id, token, regexp_full_match(token, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AS valid
-FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents)
-WHERE contains(token, '@')"""
+FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS token FROM documents)"""
 
 
 def _email_tokens(s, sf):
     d = T(s, sf, "documents")
-    tok = d.select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where(F.col("token").contains("@"))
+    tok = d.select("doc_id", F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("token"))
     return sc.valid_format(tok, "token", "email").withColumnRenamed("token_valid", "valid")
 
 
@@ -677,12 +675,9 @@ register("model_tuned_rf")(_tuned)
 
 
 def _score_roundtrip(s, sf):
-    import tempfile
-    from framewise.session import ensure_checkpoint_dir
     orders = T(s, sf, "orders")
     b, _ = ml.train(orders, ["o_totalprice", "o_orderpriority"], "o_orderstatus", "logistic")
-    base = ensure_checkpoint_dir(s)
-    path = tempfile.mkdtemp(prefix="model-", dir=base) if base.startswith("/") else base.rstrip("/") + "/model"
+    path = _scratch(s, "model")
     ml.save_model(b, path)
     loaded = ml.load_model(s, path)
     return ml.score(loaded, orders).select("o_orderkey", "predicted_class")
@@ -875,17 +870,31 @@ def _live_by_type(s, sf):
 register("live_kpi_by_type", LIVE_TYPE_SQL)(_live_by_type)
 
 # ------------------------------------------------------------------ risk, trend
-register("risk_bands")(
-    lambda s, sf: rk.risk_bands(dv.orders_daily(s, sf), "total", ["day"], days=30, paths=200))
+RISK_SQL = """
+WITH d AS (SELECT o_orderpriority, date_trunc('day', o_orderdate) AS day, sum(o_totalprice) AS total FROM orders GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY day) AS i FROM d),
+g AS (SELECT o_orderpriority, h AS day, total / lag(total, h) OVER (PARTITION BY o_orderpriority, h ORDER BY i) AS growth
+      FROM r, (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS h)),
+l AS (SELECT o_orderpriority, max_by(total, i) AS last FROM r GROUP BY 1)
+SELECT o_orderpriority, day, count(growth) AS n, round(last * quantile_cont(growth, 0.05), 2) AS p05, round(last * quantile_cont(growth, 0.5), 2) AS p50,
+       round(last * quantile_cont(growth, 0.95), 2) AS p95 FROM g JOIN l USING (o_orderpriority) GROUP BY o_orderpriority, day, last
+UNION ALL SELECT o_orderpriority, 0, 0, round(last, 2), round(last, 2), round(last, 2) FROM l"""
+
+
+def _risk(s, sf):
+    day = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("day")
+    d = T(s, sf, "orders").groupBy("o_orderpriority", day).agg(F.sum("o_totalprice").alias("total"))
+    return rnd(rk.risk_bands(d, "total", ["day"], ["o_orderpriority"], days=30), {p: 2 for p in ("p05", "p50", "p95")})
+
+
+register("risk_bands", RISK_SQL)(_risk)
 
 TREND_SQL = """
-WITH r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
-SELECT CAST(floor(i * least(100, n) / n) AS BIGINT) AS point, min(i) AS first_row, count(*) AS rows,
-       round(avg(o_totalprice), 4) AS value
-FROM r GROUP BY 1 ORDER BY 1"""
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS point, row_number() OVER (ORDER BY o_orderkey) - 1 AS first_row, 1 AS rows,
+       round(o_totalprice, 4) AS value FROM orders"""
 
 register("kpi_trend", TREND_SQL)(
-    lambda s, sf: rnd(charts.kpi_trend(T(s, sf, "orders"), "o_totalprice", ["o_orderkey"], 100), {"value": 4}))
+    lambda s, sf: rnd(charts.kpi_trend(T(s, sf, "orders"), "o_totalprice", ["o_orderkey"]), {"value": 4}))
 
 
 SESSIONS_SQL = """

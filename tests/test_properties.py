@@ -18,16 +18,21 @@ def test_violin_density_integrates_to_one(spark, sf):
         assert area == pytest.approx(1.0, abs=0.02)
 
 
-def test_risk_bands_ordered_and_anchored(spark):
-    prices = [100 * (1.001 ** i) * (1 + 0.01 * ((i * 7919) % 13 - 6) / 6) for i in range(300)]
-    df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(prices)], "t int, p double")
-    b = risk.risk_bands(df, "p", ["t"], days=20, paths=300).orderBy("day").toPandas()
-    assert b.day.tolist() == list(range(21))
-    assert b.p05.iloc[0] == pytest.approx(prices[-1]) and b.p95.iloc[0] == pytest.approx(prices[-1])
-    assert (b.p05 <= b.p50).all() and (b.p50 <= b.p95).all()
-    assert b.p95.iloc[-1] - b.p05.iloc[-1] > b.p95.iloc[1] - b.p05.iloc[1]
-    again = risk.risk_bands(df, "p", ["t"], days=20, paths=300).orderBy("day").toPandas()
-    assert np.allclose(again.p50, b.p50)  # hash-seeded draws are reproducible
+def test_risk_bands_are_quantiles_of_the_own_history(spark):
+    prices = [100 * (1.001 ** i) * (1 + 0.01 * ((i * 7919) % 13 - 6) / 6) for i in range(120)]
+    rows = [("a", i, float(p)) for i, p in enumerate(prices)] + [("b", i, float(i)) for i in range(4)] + [("c", 1, None)]
+    df = spark.createDataFrame(rows, "k string, t int, p double")
+    for n_buckets in (None, 7):
+        got = {(r["k"], r["day"]): r for r in risk.risk_bands(df, "p", ["t"], ["k"], days=9, n_buckets=n_buckets).collect()}
+        for h in range(1, 10):
+            growth = [prices[i] / prices[i - h] for i in range(h, 120)]
+            assert got["a", h]["n"] == 120 - h
+            for p, name in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95")):
+                assert got["a", h][name] == pytest.approx(prices[-1] * np.quantile(growth, p))
+        assert got["a", 0]["p05"] == got["a", 0]["p95"] == prices[-1]
+        assert sorted(d for k, d in got if k == "b") == [0, 1, 2]  # growth from zero is none
+    alone = risk.risk_bands(df.where("k = 'a'"), "p", ["t"], days=3).collect()
+    assert [r["day"] for r in alone] == [0, 1, 2, 3] and alone[2]["p50"] == pytest.approx(got["a", 2]["p50"])
 
 
 def test_ar1_recovered_and_forecast(spark):
