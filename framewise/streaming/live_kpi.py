@@ -2,10 +2,9 @@
 
 Rows arrive as files (or any streaming source); ``live_kpi`` declares a
 watermarked, windowed aggregate (tumbling, sliding or session windows);
-``run_live_kpi`` drives it with ``foreachBatch`` in *update* mode, appending
-every batch's changed windows with their batch id to a table under the
-shared checkpoint folder, so the latest value of each window is the newest
-row for it. ``availableNow`` processes what is there and stops; any other
+``run_live_kpi`` drives it with ``foreachBatch`` in *update* mode and puts
+every batch's changed windows in place of their earlier values in a table
+under the shared checkpoint folder, which so holds each window once. ``availableNow`` processes what is there and stops; any other
 trigger keeps the query running.
 
 Semantics kept from Spark: a watermark needs a TIMESTAMP (local time) column,
@@ -19,11 +18,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.session import ensure_checkpoint_dir
+from framewise.session import cut_lineage, ensure_checkpoint_dir
 
 
 def live_kpi(stream: DataFrame, time: str, value: str, window: str = "1 hour",
@@ -61,26 +60,30 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
     return r.load(path)
 
 
-def run_live_kpi(agg: DataFrame, out_path: str | None = None, trigger_once: bool = True,
-                 keys: Sequence[str] = (), mode: str = "update") -> tuple[str, object]:
-    """Start the aggregate; every micro-batch's output windows are appended
-    (with ``batch_id``) under ``out_path``. ``mode="update"`` emits changed
-    windows each batch; session windows need ``mode="append"``, which emits a
-    window once the watermark has closed it. When a finite append stream
-    (``trigger_once``) ends, the windows still open are read from its state
-    and appended as one closing batch, so no window is missing. Returns the
-    output path and the streaming query (already finished when
-    ``trigger_once``)."""
+MEASURES = ("avg_value", "max_value", "min_value", "events")
+
+
+def run_live_kpi(agg: DataFrame, out_path: str | None = None, trigger_once: bool = True, mode: str = "update",
+                 state_path: str | None = None) -> tuple[str, object]:
+    """Start the aggregate; every micro-batch's windows replace their earlier values in a table under ``out_path`` that holds
+    each window once. ``mode="update"`` emits changed windows each batch; session windows need ``mode="append"``, which emits
+    a window once the watermark has closed it. When a finite append stream (``trigger_once``) ends, the windows still open are
+    read from its state and written as one closing batch, so no window is missing. With the same ``out_path`` and
+    ``state_path`` a later run goes on where an earlier one stopped. Returns the output path and the streaming query (already
+    finished when ``trigger_once``)."""
     spark = agg.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex
     out_path = out_path or f"{base}/live_kpi-{run}/out"
-    ckpt = f"{base}/live_kpi-{run}/state"
+    ckpt = state_path or f"{base}/live_kpi-{run}/state"
     batches: list[int] = []
+    # an empty file says what the columns are, also when there is no batch at all
+    spark.createDataFrame([], agg.schema).withColumn("batch_id", F.lit(0).cast("long")).write.mode("append").parquet(
+        f"{out_path}/{DAY}=1970-01-01")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batches.append(batch_id)
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
+        upsert_windows(batch, out_path, batch_id)
 
     w = agg.writeStream.outputMode(mode).option("checkpointLocation", ckpt).foreachBatch(sink)
     q = w.trigger(availableNow=True).start() if trigger_once else w.start()
@@ -91,6 +94,31 @@ def run_live_kpi(agg: DataFrame, out_path: str | None = None, trigger_once: bool
     return out_path, q
 
 
+DAY = "window_day"
+
+
+def upsert_windows(batch: DataFrame, out_path: str, batch_id: int) -> None:
+    """Put a batch's windows into the table at ``out_path``, in place of their earlier values.
+
+    The table is partitioned by the day a window starts on. Only days that the batch touches are read and written again
+    (dynamic partition overwrite), so the table's size is the number of windows, whatever the number of batches. A batch that is
+    run again after a failure replaces windows by the same values."""
+    new = cut_lineage(batch.withColumns({"batch_id": F.lit(batch_id).cast("long"), DAY: F.to_date("window_start")}))
+    days = [r[0] for r in new.select(DAY).distinct().collect()]
+    if not days:
+        return
+    old = _table(new.sparkSession, out_path).where(F.col(DAY).isin(days))
+    key = [c for c in batch.columns if c not in MEASURES]
+    again = [old[c].eqNullSafe(new[c]) for c in key]
+    merged = cut_lineage(old.join(new, again, "left_anti").unionByName(new))
+    merged.repartition(DAY).write.partitionBy(DAY).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out_path)
+
+
+def _table(spark: SparkSession, out_path: str) -> DataFrame:
+    schema = spark.read.parquet(f"{out_path}/{DAY}=1970-01-01").schema
+    return spark.read.schema(T.StructType(schema.fields + [T.StructField(DAY, T.DateType())])).parquet(out_path)
+
+
 def _open_windows(agg: DataFrame, ckpt: str) -> DataFrame:
     """The windows of a finished :func:`live_kpi` stream that its watermark has
     not closed, from its state: the window and the keys (in the state's key, or
@@ -110,7 +138,5 @@ def _open_windows(agg: DataFrame, ckpt: str) -> DataFrame:
 
 
 def latest_windows(spark: SparkSession, out_path: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The newest update of every window written by :func:`run_live_kpi`."""
-    df = spark.read.parquet(out_path)
-    w = Window.partitionBy("window_start", "window_end", *keys).orderBy(F.col("batch_id").desc())
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "batch_id")
+    """The windows written by :func:`run_live_kpi`, each with its newest values; none if the stream had no rows."""
+    return _table(spark, out_path).drop("batch_id", DAY)
