@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,43 +229,69 @@ def violin_density(df: DataFrame, y: str, x: str | None = None, points: int = 64
     return out.select(*by, F.col("_g").alias("point"), F.col("_gy").alias("y"), "density").orderBy(*by, "point")
 
 
+WIDE = 12  # columns from which on the pairs' sums are taken as matrix products
+
+
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete, as a long table (x, y, corr).
 
-    Means first (one aggregate), then every pair's centred sums in a single
-    aggregate; a constant column gives null instead of a division error."""
+    Means first (one aggregate), then every pair's sums of centred values, squares and products in one pass; a constant
+    column gives null instead of a division error. Few columns are summed by an aggregate expression per pair, many as
+    products of blocks of rows (:func:`_gram`), whose number of partial results does not grow with the rows."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     xs = {c: as_double(df, c) for c in cols}
     means = df.agg(*[F.avg(xs[c]).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    cen = {c: xs[c] - F.lit(means[f"m{i}"] if means[f"m{i}"] is not None else 0.0)
-           for i, c in enumerate(cols)}
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            both = xs[a].isNotNull() & xs[b].isNotNull()
-            xa, xb = F.when(both, cen[a]), F.when(both, cen[b])
-            key = f"{i}_{j}"
-            aggs += [F.count(xa).alias(f"n{key}"), F.sum(xa).alias(f"sa{key}"), F.sum(xb).alias(f"sb{key}"),
-                     F.sum(xa * xb).alias(f"sab{key}"), F.sum(xa * xa).alias(f"saa{key}"),
-                     F.sum(xb * xb).alias(f"sbb{key}")]
-            pairs.append((i, j, a, b, key))
-    row = df.agg(*aggs)
-    structs = []
-    for i, j, a, b, key in pairs:
-        n = F.col(f"n{key}").cast("double")
-        sa, sb = F.col(f"sa{key}"), F.col(f"sb{key}")
-        cov = F.col(f"sab{key}") - F.try_divide(sa * sb, n)
-        va = F.col(f"saa{key}") - F.try_divide(sa * sa, n)
-        vb = F.col(f"sbb{key}") - F.try_divide(sb * sb, n)
-        r = F.when((va > 0) & (vb > 0) & (n > 1), F.try_divide(cov, F.sqrt(va * vb)))
-        # clamp rounding overshoot; least/greatest would turn null into a bound
-        r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
-        structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("corr")))
-        if i != j:
-            structs.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("corr")))
-    return row.select(F.inline(F.array(*structs)))
+    mean = [means[f"m{i}"] if means[f"m{i}"] is not None and math.isfinite(means[f"m{i}"]) else 0.0 for i in range(len(cols))]
+    cen = df.select(*[(xs[c] - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(cols, mean))])
+    sums = _gram(cen, len(cols)) if len(cols) > WIDE else _pair_sums(cen, len(cols))
+    n = F.col("n").cast("double")
+    cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
+    va = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), n)
+    vb = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), n)
+    # a product of two tiny variances would vanish: roots first
+    r = F.when((va > 0) & (vb > 0) & (n > 1), F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
+    # clamp rounding overshoot; least/greatest would turn null into a bound
+    r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    name = F.array(*map(F.lit, cols))
+    both = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    pairs = sums.select(r.alias("corr"), F.explode(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)).alias("p"))
+    return pairs.select(name[F.col("p.a")].alias("x"), name[F.col("p.b")].alias("y"), "corr")
+
+
+def _pair_sums(cen: DataFrame, k: int) -> DataFrame:
+    """``(i, j, n, sa, sb, sab, saa, sbb)`` of every pair i <= j of columns, over the rows that have both."""
+    aggs, structs = [], []
+    for i in range(k):
+        for j in range(i, k):
+            both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
+            a, b = F.when(both, F.col(f"x{i}")), F.when(both, F.col(f"x{j}"))
+            sums = {"n": F.count(a), "sa": F.sum(a), "sb": F.sum(b), "sab": F.sum(a * b), "saa": F.sum(a * a), "sbb": F.sum(b * b)}
+            aggs += [s.alias(f"{n}_{i}_{j}") for n, s in sums.items()]
+            structs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.col(f"{n}_{i}_{j}").alias(n) for n in sums]))
+    return cen.agg(*aggs).select(F.inline(F.array(*structs)))
+
+
+def _gram(cen: DataFrame, k: int) -> DataFrame:
+    """The same sums by matrix products: with X the values (0 where missing) and M their mask, X'X, X'M, (X*X)'M and M'M hold
+    every pair's. A task adds its blocks up and gives one row per pair."""
+    i, j = np.triu_indices(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(k)]).astype(float)
+            m = ~np.isnan(x)  # missing values are null, which numpy reads as NaN
+            x, m = np.where(m, x, 0.0), m.astype(float)
+            part = np.stack([m.T @ m, x.T @ m, m.T @ x, x.T @ x, (x * x).T @ m, m.T @ (x * x)])
+            total = part if total is None else total + part
+        if total is not None:
+            cells = [t[i, j] for t in total]
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, cells)],
+                                             names=["i", "j", "n", "sa", "sb", "sab", "saa", "sbb"])
+
+    names = ("n", "sa", "sb", "sab", "saa", "sbb")
+    parts = cen.mapInArrow(run, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

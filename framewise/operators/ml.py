@@ -21,15 +21,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.functions.columns import DATETIME, NUMERIC, q
+from framewise.functions.columns import DATETIME, NUMERIC, join_small, q
 from framewise.functions.sampling import draw, numbered_copies
+from framewise.plans.ordered import row_index
 from framewise.session import cut_lineage
 
 FEATURES = "features"
@@ -55,14 +56,23 @@ def label_encoders(df: DataFrame, cols: Sequence[str]) -> list:
                           handleInvalid="keep") for c in cols]
 
 
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """``(label, code)``: the distinct texts of a column, numbered from 0 in sorted order. The sort is by ranges and the numbers
+    come from the ranges' sizes, so any number of labels is encoded without a list of them on the driver."""
+    labels = df.select(q(col).cast("string").alias("label")).where(F.col("label").isNotNull()).distinct()
+    return row_index(cut_lineage(labels), ["label"], out="code")
+
+
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M1 as a transform: replace text columns by their integer codes (null stays null)."""
-    model = Pipeline(stages=label_encoders(df, cols)).fit(df)
-    out = model.transform(df)
-    for c, m in zip(cols, model.stages):
-        n = len(m.labels)
-        out = out.withColumn(c, F.when(F.col(f"{c}__code") < n, F.col(f"{c}__code").cast("long"))).drop(f"{c}__code")
-    return out
+    names = list(df.columns)
+    width = max(map(len, names))
+    label, code = "_label".ljust(width + 1, "_"), "_code".ljust(width + 2, "_")  # names that no column has
+    for c in cols:
+        codes = label_codes(df, c).toDF(label, code)
+        out = join_small(df.withColumn(label, q(c).cast("string")).drop(c), codes, [label], "left")
+        df = out.withColumnRenamed(code, c).select(*[q(n) for n in names])
+    return df
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str], out_suffix: str = "") -> DataFrame:
@@ -423,11 +433,14 @@ def score(bundle: ModelBundle, df: DataFrame) -> DataFrame:
     info = bundle.info
     fixes = {}
     for c in info.get("text", []):
-        labels = info["labels"][c]
         mode = info.get("modes", {}).get(c)
-        if mode is None:
+        if mode is None or c not in df.columns:
             continue
-        fixes[c] = F.when(q(c).isin(labels), q(c)).otherwise(F.lit(mode))
+        # the fitted encoder looks the text up; what it doesn't know has the code after its last label
+        encoder = next(m for m in bundle.model.stages if isinstance(m, StringIndexerModel) and m.getInputCol() == c)
+        known = f"{c}__known"
+        df = encoder.copy({encoder.outputCol: known}).transform(df)
+        df = df.withColumn(c, F.when(q(known) < len(encoder.labels), q(c)).otherwise(F.lit(mode))).drop(known)
     for c in bundle.features:
         if c not in df.columns:
             fixes[c] = F.lit(None).cast("string" if c in info.get("text", []) else "double")
