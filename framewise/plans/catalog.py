@@ -329,7 +329,17 @@ register("summary_report", "SELECT position, \"column\", count, mean, std, min,
          _moments_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], True) + ")")(
     lambda s, sf: rnd(pr.summary_report(T(s, sf, "orders")), DESCRIBE_ROUND))
 
-register("dataset_summary")(lambda s, sf: pr.dataset_summary(T(s, sf, "orders"), ["o_orderkey"]))
+SUMMARY_SQL = """
+WITH f AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 3)
+SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' AS column_names,
+       CAST(sum(CAST(o_orderkey IS NULL AS INT) + CAST(o_custkey IS NULL AS INT) + CAST(o_orderstatus IS NULL AS INT) + CAST(o_totalprice IS NULL AS INT)
+                + CAST(o_orderdate IS NULL AS INT) + CAST(o_orderpriority IS NULL AS INT)) AS BIGINT) AS missing_cells,
+       'o_orderkey: bigint, o_custkey: bigint, o_orderstatus: string, o_totalprice: double, o_orderdate: timestamp_ntz, o_orderpriority: string' AS dtypes,
+       (SELECT '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus
+               || '","o_totalprice":' || o_totalprice || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g')
+               || '","o_orderpriority":"' || o_orderpriority || '"}', ',' ORDER BY o_orderkey) || ']' FROM f) AS first_rows
+FROM orders"""
+register("dataset_summary", SUMMARY_SQL)(lambda s, sf: pr.dataset_summary(T(s, sf, "orders"), ["o_orderkey"]))
 
 # -------------------------------------------------------------------- charts
 for _agg, _fn in (("Sum", "sum"), ("Average", "avg"), ("Maximum", "max")):
@@ -405,8 +415,17 @@ register("box_stats", BOX_SQL)(
     lambda s, sf: rnd(charts.box_stats(T(s, sf, "lineitem"), "l_extendedprice", "l_returnflag"),
                       {k: 6 for k in ("q1", "median", "q3", "lower_fence", "upper_fence")}))
 
-register("violin_density")(
-    lambda s, sf: charts.violin_density(T(s, sf, "lineitem"), "l_extendedprice", "l_returnflag"))
+VIOLIN_SQL = """
+WITH p AS (SELECT l_returnflag AS x, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem),
+m AS (SELECT x, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM p GROUP BY x),
+h AS (SELECT *, 0.9 * CASE WHEN iqr > 0 AND iqr / 1.34 < sd THEN iqr / 1.34 ELSE sd END * pow(n, -0.2) AS h FROM m),
+f AS (SELECT x, n, lo, hi, h, least(floor((v - lo) / (hi - lo) * 512), 511) AS bin, count(*) AS c, avg(v) AS mean
+      FROM p JOIN h USING (x) GROUP BY ALL),
+g AS (SELECT *, lo - 3 * h + point * ((hi - lo + 6 * h) / 63) AS gy FROM (SELECT *, unnest(range(64)) AS point FROM f))
+SELECT x AS l_returnflag, CAST(point AS INTEGER) AS point, round(gy, 4) AS y,
+       round(sum(c * exp(-0.5 * pow((gy - mean) / h, 2)) / (n * h * sqrt(2 * pi()))), 10) AS density FROM g GROUP BY x, point, gy"""
+register("violin_density", VIOLIN_SQL)(
+    lambda s, sf: rnd(charts.violin_density(T(s, sf, "lineitem"), "l_extendedprice", "l_returnflag"), {"y": 4, "density": 10}))
 
 _CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 register("correlation", "\nUNION ALL ".join(
