@@ -7,9 +7,6 @@ never leave the executors, and the returned DataFrame is a lazy plan.
 
 from __future__ import annotations
 
-import datetime
-import decimal
-import zoneinfo
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +17,7 @@ from pyspark.sql import types as T
 from framewise.functions.columns import (as_double, clean_value, missing_cells, numeric_columns,
                                          q)
 from framewise.functions.quantiles import quantile_table
+from framewise.session import cut_lineage
 
 
 # --------------------------------------------------------------------- missing
@@ -104,48 +102,34 @@ def mode_table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     return best.select(*by, F.col("_b.v").alias("mode"), (-F.col("_b.neg")).alias("count"))
 
 
-def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    """Mode of each column, all columns in one action: every column's mode is
-    chosen in its own type, then the one-row results are unioned as text and
-    turned back into the column's type on the driver (one value per column)."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    parts = [mode_table(df, c).select(F.lit(i).alias("_i"), F.col("mode").cast("string").alias("_m"))
+def mode_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with the mode of each column as ``m0``, ``m1``, .., in the column's own type, all in one action: every column
+    gives a row that is null but for its own mode, and the first value of each column is kept."""
+    kinds = [df.schema[c].dataType for c in cols]
+    parts = [mode_table(df, c).select(*[(F.col("mode") if j == i else F.lit(None)).cast(t).alias(f"m{j}") for j, t in enumerate(kinds)])
              for i, c in enumerate(cols)]
-    allm = parts[0]
+    rows = parts[0]
     for part in parts[1:]:
-        allm = allm.unionByName(part)
-    got = {r["_i"]: r["_m"] for r in allm.collect()}
-    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-    return {c: _from_text(got.get(i), df.schema[c].dataType, zone) for i, c in enumerate(cols)}
-
-
-def _from_text(v: str | None, dt: T.DataType, zone: str):
-    """A value Spark rendered as text (instants in the session's time zone), back in its Python type."""
-    if v is None:
-        return None
-    if isinstance(dt, T.IntegralType):
-        return int(v)
-    if isinstance(dt, T.DecimalType):
-        return decimal.Decimal(v)
-    if isinstance(dt, T.FractionalType):
-        return float(v)
-    if isinstance(dt, T.BooleanType):
-        return v == "true"
-    if isinstance(dt, T.TimestampType):
-        return datetime.datetime.fromisoformat(v).replace(tzinfo=zoneinfo.ZoneInfo(zone))
-    if isinstance(dt, T.TimestampNTZType):
-        return datetime.datetime.fromisoformat(v)
-    if isinstance(dt, T.DateType):
-        return datetime.date.fromisoformat(v)
-    return v
+        rows = rows.unionByName(part)
+    return rows.agg(*[F.any_value(f"m{j}", ignoreNulls=True).alias(f"m{j}") for j in range(len(cols))])
+
+
+def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
+    """Mode of each column (one value per column on the driver); null for a column without values."""
+    cols = list(cols)
+    return dict(zip(cols, mode_row(df, cols).first())) if cols else {}
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """C4: fill every column with its mode (ties -> smallest value)."""
-    cols = list(cols) if cols is not None else list(df.columns)
-    return _fill(df, column_modes(df, cols))
+    """C4: fill every column with its mode (ties -> smallest value). Only columns that miss something are counted; the fill
+    values stay on the executors, in the columns' own types. Map columns have no mode and stay as they are."""
+    cols = [c for c in (cols if cols is not None else df.columns) if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    nulls = _null_counts(df, cols) if cols else {}
+    todo = [c for c in cols if nulls[c]]
+    if not todo:
+        return df
+    modes = cut_lineage(mode_row(df, todo))
+    return df.withColumns({c: F.coalesce(clean_value(df, c), modes.select(f"m{i}").scalar()) for i, c in enumerate(todo)})
 
 
 # ------------------------------------------------------------------ duplicates
@@ -294,6 +278,8 @@ def clean(df: DataFrame, spec: CleanSpec) -> DataFrame:
         raise ValueError(f"unknown missing action {spec.missing!r}")
     if spec.drop_duplicates:
         df = drop_duplicates(df)
+        if spec.outliers:
+            df = cut_lineage(df)  # each column's fences read the rows: the shuffle of the duplicates is done once
     if spec.outliers:
         cols = spec.outlier_cols
         if spec.outliers == "iqr":

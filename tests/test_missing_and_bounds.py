@@ -52,3 +52,20 @@ def test_mode_of_instants_ignores_the_drivers_zone(spark):
         os.environ.pop("TZ") if before is None else os.environ.update(TZ=before)
         time.tzset()
     assert {r["s"] for r in out} == {"2024-01-05 10:00"}
+
+
+def test_modes_of_any_type_fill_in_their_own_type(spark):
+    import datetime as dt
+    import decimal
+    schema = "i int, b binary, a array<int>, s struct<x:int,y:string>, t timestamp, n timestamp_ntz, d date, dec decimal(10,2), f float, o boolean, m map<string,int>"
+    t = dt.datetime(2024, 3, 31, 2, 30, 0, 5)
+    row = (1, b"\x00\xff", [1, 2], (1, "z"), t, t, dt.date(2024, 2, 29), decimal.Decimal("1.10"), 0.1, False, {"k": 1})
+    other = (2, b"a", [3], (0, "a"), t, dt.datetime(2020, 1, 1), dt.date(2020, 1, 1), decimal.Decimal("9.99"), float("nan"), True, {"k": 2})
+    df = spark.createDataFrame([row, row, other, (None,) * 11], schema)
+    got = clean.fill_mode(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    filled = [r for r in got.collect() if r["m"] is None]
+    want = df.where("i = 1").first()
+    assert len(filled) == 1 and all(filled[0][c] == want[c] for c in df.columns if c != "m")
+    whole = df.where("i = 1")
+    assert "Aggregate" not in clean.fill_mode(whole)._jdf.queryExecution().executedPlan().toString()  # nothing is missing
