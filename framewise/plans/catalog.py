@@ -794,12 +794,10 @@ register("forecast_saved_models")(_forecast_saved)
 
 # the dates that follow a monthly series are month starts, whatever the months' lengths
 MONTHLY_SQL = """
-WITH m AS (SELECT o_orderpriority, max(date_trunc('month', o_orderdate)) AS last FROM orders GROUP BY 1)
-SELECT o_orderpriority, CAST(k AS INTEGER) AS step, CAST(last + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS "Date"
-FROM m, (SELECT unnest(range(1, 19)) AS k)"""
+SELECT CAST(k AS INTEGER) AS step, CAST(last + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS "Date"
+FROM (SELECT max(date_trunc('month', o_orderdate)) AS last FROM orders), (SELECT unnest(range(1, 19)) AS k)"""
 register("forecast_months", MONTHLY_SQL)(
-    lambda s, sf: fc.arima_forecast(T(s, sf, "orders"), "o_orderdate", "o_totalprice", ["o_orderpriority"], (1, 0, 0), 18, every="month")
-    .select("o_orderpriority", "step", "Date"))
+    lambda s, sf: fc.arima_forecast(T(s, sf, "orders"), "o_orderdate", "o_totalprice", [], (1, 0, 0), 18, every="month").select("step", "Date"))
 register("arima_daily_orders")(
     lambda s, sf: fc.arima_forecast(dv.orders_daily(s, sf), "day", "total", [], (5, 1, 0), 10))
 
