@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewise.functions.columns import q
 from framewise.plans.ordered import (BUCKET, lag_value, local_window, rolling_mean, running_sum,
                                      with_halo)
+from framewise.session import cut_lineage
 
 
 def pct_change(df: DataFrame, col: str, order_by: Sequence[str], partition_by: Sequence[str] | None = None,
@@ -21,7 +22,7 @@ def pct_change(df: DataFrame, col: str, order_by: Sequence[str], partition_by: S
     out = out or f"{col}_return"
     if pad_nulls:
         from framewise.plans.ordered import ffill
-        df = ffill(df, order_by, partition_by, [col], n_buckets)
+        df = cut_lineage(ffill(df, order_by, partition_by, [col], n_buckets))  # the next cut into ranges reads it several times
     lagged = lag_value(df, col, order_by, partition_by, 1, "_prev", n_buckets)
     r = lagged.withColumn(out, F.try_divide(q(col).cast("double"), F.col("_prev").cast("double")) - 1).drop("_prev")
     return r.where(F.col(out).isNotNull()) if dropna else r
@@ -89,7 +90,8 @@ def cumulative_returns(df: DataFrame, cols: Sequence[str], order_by: Sequence[st
     """W4 on the portfolio of W3: one row per period with the growth curve."""
     pb, ob = list(partition_by or []), list(order_by)
     r = asset_returns(df, cols, ob, pb, weights, n_buckets)
-    r = r.select(*[q(c) for c in pb + ob], "portfolio_return")
+    # written once, narrow: the running sum cuts it into ranges again, which reads it several times
+    r = cut_lineage(r.select(*[q(c) for c in pb + ob], "portfolio_return"))
     return cumulative_growth(r, "portfolio_return", ob, pb, "cumulative_growth", n_buckets)
 
 
