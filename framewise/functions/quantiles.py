@@ -36,10 +36,19 @@ def image(x: Column) -> Column:
 
     Exact: dividing by a power of two loses nothing, and the estimate of the exponent is corrected by comparison."""
     a = F.abs(x)
-    e0 = F.floor(F.log2(a))
-    e = e0 + F.when(a >= F.pow(F.lit(2.0), e0 + 1), 1).when(a < F.pow(F.lit(2.0), e0), -1).otherwise(0)
-    normal = (e + 1023) * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0 ** 52)).cast("long")
-    bits = (F.when(a == F.lit(math.inf), F.lit(2047 << 52))
+    e = F.floor(F.log2(a))
+    return _image(x, a, e, F.pow(F.lit(2.0), e))
+
+
+def _image(x: Column, a: Column, e: Column, w: Column) -> Column:
+    """:func:`image` from the magnitude, its estimated exponent and two to that power. The estimate is at most one off."""
+    m = a / w
+    up, down = m >= 2, m < 1
+    part = F.when(up, m / 2).when(down, m * 2).otherwise(m)
+    normal = (e + F.when(up, 1).when(down, -1).otherwise(0) + 1023) * F.lit(1 << 52) + ((part - 1) * F.lit(2.0 ** 52)).cast("long")
+    # 2^1024 is no double: the estimate for the largest values is corrected from half of it
+    large = F.lit(2046 * (1 << 52)) + ((a / F.lit(2.0 ** 1023) - 1) * F.lit(2.0 ** 52)).cast("long")
+    bits = (F.when(a == F.lit(math.inf), F.lit(2047 << 52)).when(a >= F.lit(2.0 ** 1023), large)
             .when(a < F.lit(2.0 ** -1022), (a * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")).otherwise(normal))
     return F.when(x < 0, -bits).otherwise(bits)
 
@@ -56,6 +65,8 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], b
     values = df.select(*[q(b).alias(k) for b, k in zip(by, keys)], *[as_double(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
     for k in keys:
         values = values.where(F.col(k).isNotNull())
+    if not approx:
+        values = _with_images(values, len(cols))
     if approx:
         found = _approximate(values, len(cols), probs, keys, accuracy)
     elif by:
@@ -67,6 +78,15 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], b
                         prob[F.col("_i")].alias("prob"), "value")
 
 
+def _with_images(values: DataFrame, n_cols: int) -> DataFrame:
+    """``_u0``, ``_u1``, .. beside the values: :func:`image` in steps, so that each logarithm and power is taken once."""
+    a = [F.abs(f"_x{i}") for i in range(n_cols)]
+    v = values.withColumns({f"_e{i}": F.floor(F.log2(a[i])) for i in range(n_cols)})
+    v = v.withColumns({f"_w{i}": F.pow(F.lit(2.0), F.col(f"_e{i}")) for i in range(n_cols)})
+    return v.withColumns({f"_u{i}": _image(F.col(f"_x{i}"), a[i], F.col(f"_e{i}"), F.col(f"_w{i}")) for i in range(n_cols)}).drop(
+        *[f"_{c}{i}" for c in "ew" for i in range(n_cols)])
+
+
 def _approximate(values: DataFrame, n_cols: int, probs: list[float], keys: list[str], accuracy: int) -> DataFrame:
     row = values.groupBy(*keys).agg(*[F.percentile_approx(f"_x{i}", probs, accuracy).alias(f"_x{i}") for i in range(n_cols)])
     nulls = F.array(*[F.lit(None).cast("double")] * len(probs))
@@ -87,7 +107,7 @@ def _first_pass(values: DataFrame, n_cols: int, probs: list[float], keys: list[s
     """The bins that hold a wanted rank: ``(keys, _c, _p, _n, _m, _below, _lo, _hi, _ranks)``. ``_p`` is the image's prefix,
     ``_ranks`` lists (number of the wanted rank, rank): 2 * i and 2 * i + 1 are the ranks around the i-th prob."""
     seen = F.array_compact(F.array(*[
-        F.when(F.col(f"_x{i}").isNotNull(), F.struct(F.lit(i).alias("_c"), F.shiftright(image(F.col(f"_x{i}")), 64 - DIGIT).alias("_bin"),
+        F.when(F.col(f"_x{i}").isNotNull(), F.struct(F.lit(i).alias("_c"), F.shiftright(f"_u{i}", 64 - DIGIT).alias("_bin"),
                                                      F.col(f"_x{i}").alias("_x"))) for i in range(n_cols)]))
     bins = _counted(values.select(*keys, F.inline(seen)), keys, ["_c"])
     at = lambda p: F.lit(p) * (F.col("_n") - 1)
@@ -126,7 +146,7 @@ def _global(values: DataFrame, n_cols: int, probs: list[float]) -> DataFrame:
             break
         inside = []
         for i in sorted({b[0] for b in bands}):
-            u, x = image(F.col(f"_x{i}")), F.col(f"_x{i}")
+            u, x = F.col(f"_u{i}"), F.col(f"_x{i}")
             p = F.shiftright(u, shift)
             for c, prefix, _, m, _, _ in bands:
                 if c == i:
@@ -161,12 +181,12 @@ def _grouped(values: DataFrame, n_cols: int, probs: list[float], keys: list[str]
             break
         per_group = bands.groupBy(*keys).agg(F.collect_list(F.struct("_c", "_p", _next_shift(F.col("_m"), shift).alias("_to"))).alias("_b"))
         joined = join_sized(values, per_group, keys, size)
-        u = F.array(*[image(F.col(f"_x{i}")) for i in range(n_cols)])
+        u = F.array(*[F.col(f"_u{i}") for i in range(n_cols)])
         x = F.array(*[F.col(f"_x{i}") for i in range(n_cols)])
-        joined = joined.withColumns({"_u": u, "_v": x})
-        inside = F.filter("_b", lambda b: F.shiftright(F.col("_u")[b["_c"]], shift) == b["_p"])
+        joined = joined.withColumns({"_us": u, "_xs": x})
+        inside = F.filter("_b", lambda b: F.shiftright(F.col("_us")[b["_c"]], shift) == b["_p"])
         item = F.transform(inside, lambda b: F.struct(b["_c"].alias("_c"), b["_p"].alias("_p"), F.call_function(
-            "shiftright", F.col("_u")[b["_c"]], b["_to"]).alias("_bin"), F.col("_v")[b["_c"]].alias("_x")))
+            "shiftright", F.col("_us")[b["_c"]], b["_to"]).alias("_bin"), F.col("_xs")[b["_c"]].alias("_x")))
         bins = _counted(joined.select(*keys, F.inline(item)), keys, ["_c", "_p"]).drop("_n")
         wanted = bands.select(*keys, "_c", "_p", "_n", "_below", "_ranks")
         state = cut_lineage(_with_ranks(bins.join(wanted, [*keys, "_c", "_p"]), keys))

@@ -92,7 +92,7 @@ def test_all_null_and_empty(spark):
 def test_a_pass_shuffles_counts_only(spark):
     # one value in every row: the map side combines, so the shuffle holds a row per task
     df = spark.range(0, 200_000, 1, 8).select(F.lit(3.5).alias("x"))
-    plan = qt._first_pass(df.select(F.col("x").alias("_x0")), 1, [0.5], [])
+    plan = qt._first_pass(qt._with_images(df.select(F.col("x").alias("_x0")), 1), 1, [0.5], [])
     assert plan.collect()[0]["_m"] == 200_000
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in text and "Join" not in text
