@@ -106,3 +106,38 @@ def test_registered_models_run_the_full_job(spark, sf, monkeypatch):
             pass
     assert len(seen) == len(queries)
     assert not any(k in kw for kw in seen for k in ("maxIter", "grid", "n_init", "max_iter", "numTrees", "maxDepth"))
+
+
+@pytest.fixture()
+def points(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 1.0, (40, 3)) for c in (0.0, 4.0, 9.0)]).tolist()
+    return un._scaled_vectors(spark.createDataFrame([(*p,) for p in x + x[:7]], "x double, y double, z double").coalesce(2),
+                              ["x", "y", "z"], None)
+
+
+def test_shared_passes_end_where_sparks_kmeans_ends(spark, points):
+    vec, dim = points
+    starts = [e for k in (2, 3, 5) for e in un._starts(k, 42, 3, 300)]
+    own = [e.fit(vec.persist()) for e in starts]
+    for mine, model in zip(un._fit_all(vec, dim, starts), own):
+        assert np.allclose(mine.clusterCenters(), model.clusterCenters(), atol=1e-9)
+        assert mine.cost == pytest.approx(model.summary.trainingCost, rel=1e-9)
+        assert mine.transform(vec).select("Cluster").collect() == model.transform(vec).select("Cluster").collect()
+
+
+def test_all_fits_share_a_pass(spark, points, monkeypatch):
+    vec, dim = points
+    sizes, real = [], un._step
+    monkeypatch.setattr(un, "_step", lambda blocks, d, fits: sizes.append(len(fits)) or real(blocks, d, fits))
+    starts = [e for k in (2, 3) for e in un._starts(k, 42, 4, 5)]
+    assert len(un._fit_all(vec.persist(), dim, starts)) == 8
+    assert sizes[0] == 8 and len(sizes) <= 5 and sizes == sorted(sizes, reverse=True)
+
+
+def test_step_takes_the_first_of_equal_centres_and_keeps_empty_ones(spark):
+    x = np.array([[0.0, 0.0], [2.0, 0.0], [1.0, 0.0]])
+    blocks = spark.sparkContext.parallelize([x[:2].tobytes(), x[2:].tobytes()], 2)
+    sums, counts, costs = un._step(blocks, 2, [np.array([[0.0, 0.0], [2.0, 0.0], [2.0, 0.0]]), np.array([[1.0, 0.0]])])
+    assert counts.tolist() == [2.0, 1.0, 0.0, 3.0] and costs.tolist() == [1.0, 2.0]
+    assert sums.tolist() == [[1.0, 0.0], [2.0, 0.0], [0.0, 0.0], [3.0, 0.0]]
