@@ -2,14 +2,15 @@
 
 Lines are compared by their sets of ``shingle``-character strings (a shorter line is one string). Steps:
 
-1. Signatures. Every shingle is hashed once to 32 bits; position p of the signature is the smallest ``hash XOR c[p]``.
+1. Signatures. Every shingle is hashed once to 32 bits; position p of the signature is the smallest ``hash XOR c[p]``,
+   taken over STEP shingles in a row before the rows of a line are combined.
    A random hash XOR a constant is as random, so two lines agree at a position with probability equal to their Jaccard
    similarity. The constants start with different bits, so each position looks at another part of the hash range. The
    minima are plain aggregates, combined before the shuffle: no text moves.
 2. Banding. The 16 positions form a 4 x 4 grid; its rows, columns and the four diagonals ``column = row XOR s`` are
    12 bands of 4. The bands share the 16 positions, so they are not independent: simulated, a pair at similarity 0.8
    misses all bands with probability 0.014 at 40 shingles and 0.020 from 100 on.
-3. Verification. Lines that share a band are verified on their exact shingle sets. First every line of a band group is
+3. Verification. Lines that share a band are verified on their whole shingle sets (as 64-bit hashes). First every line of a band group is
    compared with the smallest, then, in groups of more than one component, the lines of other components with a line
    drawn by hash; what still is in more than one component is compared across components (:func:`_across`). Lines of
    one component need no more pairs. Two cheap tests come before: pairs whose
@@ -34,6 +35,7 @@ from framewise.session import cut_lineage
 GRID = 4
 LEAST = 8  # signature positions that must agree for a pair to be verified
 TURNS = 1  # further times that band groups of several components are compared with one of their lines
+STEP = 4  # shingles of a line that are hashed in one row
 WORDS = 16  # 64-bit words of a line's parity bits
 BLOCK = 1024  # lines of a band group that meet the whole group in one task
 
@@ -51,7 +53,7 @@ def _bands() -> list[list[int]]:
 
 
 def _blank(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r\x0b\x0c")) == ""
+    return F.ltrim(line, F.lit(" \t\r\x0b\x0c")) == ""  # from the left only: it stops at the first other character
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,9 +64,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        ).where(~_blank(F.col("line"))).withColumn("id", F.xxhash64("line"))
 
 
-def _starts(code: Column, shingle: int) -> Column:
-    """Where the shingles of a UTF-16 coded line start, in characters from 0."""
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(code), 1) - shingle, F.lit(0)).cast("int"))
+def _last(code: Column, shingle: int) -> Column:
+    """Where the last shingle of a UTF-16 coded line starts, in characters from 0."""
+    return F.greatest(F.shiftright(F.octet_length(code), 1) - shingle, F.lit(0)).cast("int")
 
 
 def _cut(code: Column, at: Column, shingle: int) -> Column:
@@ -73,10 +75,13 @@ def _cut(code: Column, at: Column, shingle: int) -> Column:
 
 def signatures(lines: DataFrame, shingle: int) -> DataFrame:
     """``(id, m0 .. m15)`` per distinct line."""
-    coded = lines.select("id", F.encode("line", "UTF-16BE").alias("code"))
-    hashed = coded.select("id", "code", F.explode(_starts(F.col("code"), shingle)).alias("at")).select(
-        "id", F.hash(_cut(F.col("code"), F.col("at"), shingle)).alias("x"))
-    return hashed.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{p}") for p, c in enumerate(_constants())])
+    coded = lines.select("id", F.encode("line", "UTF-16BE").alias("code")).withColumn("last", _last(F.col("code"), shingle))
+    at = F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at")
+    starts = [F.least(F.col("at") + i, F.col("last")) for i in range(STEP)]  # the last shingle again changes no minimum
+    hashed = coded.select("id", "code", "last", at).select(
+        "id", *[F.hash(_cut(F.col("code"), start, shingle)).alias(f"x{i}") for i, start in enumerate(starts)])
+    least = [F.least(*[F.col(f"x{i}").bitwiseXOR(F.lit(c)) for i in range(STEP)]) for c in _constants()]
+    return hashed.groupBy("id").agg(*[F.min(x).alias(f"m{p}") for p, x in enumerate(least)])
 
 
 def _meetings(sig: DataFrame) -> DataFrame:
@@ -121,9 +126,11 @@ def _again(mixed: DataFrame, turn: int) -> DataFrame:
 
 
 def _shingles(line: str, shingle: int) -> Column:
-    """The ``shingle``-character strings of a line, repeats included; a shorter line is one."""
-    return F.when(F.char_length(line) < shingle, F.array(line)).otherwise(
+    """The 64-bit hashes of the ``shingle``-character strings of a line, repeats included; a shorter line is one. Sets of
+    numbers are built and met several times as fast as sets of strings."""
+    cut = F.when(F.char_length(line) < shingle, F.array(line)).otherwise(
         F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))."), F.lit(1)))
+    return F.transform(cut, lambda x: F.xxhash64(x))
 
 
 def _parities(text: DataFrame, shingle: int) -> DataFrame:
@@ -133,8 +140,7 @@ def _parities(text: DataFrame, shingle: int) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)).cast("int"))
     words = [F.bit_xor(F.when(x.bitwiseAND(F.lit(WORDS - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}")
              for i in range(WORDS)]
-    rows = text.select("id", F.explode(F.array_distinct(_shingles("line", shingle))).alias("s")).select(
-        "id", F.xxhash64("s").alias("x"))
+    rows = text.select("id", F.explode(F.array_distinct(_shingles("line", shingle))).alias("x"))
     return rows.groupBy("id").agg(F.count("*").alias("size"), *words).select(
         "id", "size", F.struct(*[f"w{i}" for i in range(WORDS)]).alias("odd"))
 
@@ -214,12 +220,16 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.groupBy("at.doc", "at.h").agg(F.sort_array(F.collect_list("at.line_no")).alias("keep"))
 
 
-def _join_kept(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
-    keep, h = own_name(docs, "keep"), own_name(docs, "text_hash")
+def _join_kept(docs: DataFrame, id_col: str, text_col: str, carried: DataFrame | None = None, **options) -> tuple[DataFrame, str]:
+    """``carried`` (by default ``docs``, with the texts) and the numbers of the lines that stay. Its column ``text_hash``
+    is the text's hash."""
+    h = own_name(docs, "text_hash")
+    d = docs if carried is None else carried
+    d = d if h in d.columns else d.withColumn(h, F.xxhash64(text_or_empty(F.col(text_col))))
+    keep = own_name(d, "keep")
     kept = kept_lines(docs, id_col, text_col, **options).withColumnsRenamed({"doc": "_doc", "h": "_h", "keep": keep})
-    d = docs.withColumn(h, F.xxhash64(text_or_empty(F.col(text_col))))
     out = d.join(kept, d[id_col].eqNullSafe(kept["_doc"]) & (d[h] == kept["_h"]), "left")
-    return out.select(*[d[c] for c in docs.columns], F.coalesce(F.col(keep), F.array().cast("array<int>")).alias(keep)), keep
+    return out.select(*[d[c] for c in d.columns if c != h], F.coalesce(F.col(keep), F.array().cast("array<int>")).alias(keep)), keep
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -227,9 +237,11 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbers (from 0, blank ones counted) of those that stay. Null and empty texts have no lines."""
     n, = (own_name(docs, "n_lines"),)
     slim = docs.select(id_col, text_col)
-    lines = F.split(text_or_empty(F.col(text_col)), "\n")
-    out, keep = _join_kept(slim, id_col, text_col, **options)
-    return out.select(id_col, F.size(F.filter(lines, lambda x: ~_blank(x))).cast("long").alias(n), F.col(keep)).select(
+    t = text_or_empty(F.col(text_col))
+    counted = F.size(F.filter(F.split(t, "\n"), lambda x: ~_blank(x))).cast("long").alias(n)
+    carried = slim.select(id_col, counted, F.xxhash64(t).alias(own_name(slim, "text_hash")))  # no text moves
+    out, keep = _join_kept(slim, id_col, text_col, carried, **options)
+    return out.select(
         id_col, n, (F.col(n) - F.size(keep)).alias("n_removed"), F.col(keep).alias("kept_lines"))
 
 
