@@ -35,7 +35,7 @@ from framewise.session import cut_lineage
 GRID = 4
 LEAST = 8  # signature positions that must agree for a pair to be verified
 TURNS = 1  # further times that band groups of several components are compared with one of their lines
-STEP = 4  # shingles of a line that are hashed in one row
+STEP = 4  # shingles of a line that are hashed, or dealt to parity bits, in one row
 WORDS = 16  # 64-bit words of a line's parity bits
 BLOCK = 1024  # lines of a band group that meet the whole group in one task
 
@@ -64,6 +64,14 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        ).where(~_blank(F.col("line"))).withColumn("id", F.xxhash64("line"))
 
 
+def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, h, ids)`` per row of ``docs``, checkpointed: the ids of :func:`line_rows` of all its lines in order, null for
+    a blank one. Line numbers and counts come from it, so that texts are not split again for them."""
+    t = text_or_empty(F.col(text_col))
+    ids = F.transform(F.split(t, "\n"), lambda line: F.when(~_blank(line), F.xxhash64(line)))
+    return cut_lineage(docs.select(F.col(id_col).alias("doc"), F.xxhash64(t).alias("h"), ids.alias("ids")))
+
+
 def _last(code: Column, shingle: int) -> Column:
     """Where the last shingle of a UTF-16 coded line starts, in characters from 0."""
     return F.greatest(F.shiftright(F.octet_length(code), 1) - shingle, F.lit(0)).cast("int")
@@ -127,21 +135,35 @@ def _again(mixed: DataFrame, turn: int) -> DataFrame:
 
 def _shingles(line: str, shingle: int) -> Column:
     """The 64-bit hashes of the ``shingle``-character strings of a line, repeats included; a shorter line is one. Sets of
-    numbers are built and met several times as fast as sets of strings."""
-    cut = F.when(F.char_length(line) < shingle, F.array(line)).otherwise(
-        F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))."), F.lit(1)))
-    return F.transform(cut, lambda x: F.xxhash64(x))
+    numbers are built and met several times as fast as sets of strings. The line is coded in 4 bytes a character, so that
+    each string is a slice; the coded line is a lambda's variable, as a column would be copied for every slice."""
+    width = 4 * shingle
+
+    def hashes(code: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(code) - (width - 1), F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda at: F.xxhash64(F.substring(code, at, F.lit(width))))
+
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), hashes), F.lit(0))
 
 
 def _parities(text: DataFrame, shingle: int) -> DataFrame:
     """``(id, size, odd)``: a line's number of different shingles, and these dealt to 64 * WORDS bits, each the parity
-    of its members. Where two sets differ in k members, their parities differ in at most k bits."""
-    x = F.col("x")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)).cast("int"))
-    words = [F.bit_xor(F.when(x.bitwiseAND(F.lit(WORDS - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}")
-             for i in range(WORDS)]
-    rows = text.select("id", F.explode(F.array_distinct(_shingles("line", shingle))).alias("x"))
-    return rows.groupBy("id").agg(F.count("*").alias("size"), *words).select(
+    of its members. Where two sets differ in k members, their parities differ in at most k bits. A row holds STEP
+    shingles before the rows of a line are combined."""
+    xs = [F.col(f"x{i}") for i in range(STEP)]
+
+    def word(i: int) -> Column:
+        out = F.lit(0).cast("long")
+        for x in xs:  # null behind the last shingle: no bit
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)).cast("int"))
+            out = out.bitwiseXOR(F.when(x.bitwiseAND(F.lit(WORDS - 1)) == i, bit).otherwise(F.lit(0).cast("long")))
+        return F.bit_xor(out).alias(f"w{i}")
+
+    sets = text.select("id", F.array_distinct(_shingles("line", shingle)).alias("s"))
+    rows = sets.select("id", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(STEP))).alias("at")).select(
+        "id", F.least(F.size("s") - F.col("at"), F.lit(STEP)).alias("n"),
+        *[F.get("s", F.col("at") + i).alias(f"x{i}") for i in range(STEP)])
+    return rows.groupBy("id").agg(F.sum("n").alias("size"), *[word(i) for i in range(WORDS)]).select(
         "id", "size", F.struct(*[f"w{i}" for i in range(WORDS)]).alias("odd"))
 
 
@@ -209,13 +231,14 @@ def line_components(lines: DataFrame, shingle: int = 8, similarity: float = 0.8)
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8,
-               similarity: float = 0.8) -> DataFrame:
+               similarity: float = 0.8, ids: DataFrame | None = None) -> DataFrame:
     """``(doc, h, keep)``: per document (id and hash of its text) the numbers of the lines that stay, in order.
-    Documents none of whose lines stay do not appear."""
-    lines = line_rows(docs, id_col, text_col)
-    comp = cut_lineage(line_components(lines, shingle, similarity))
+    Documents none of whose lines stay do not appear. ``ids`` are the :func:`line_ids` of ``docs``, if there already."""
+    comp = cut_lineage(line_components(line_rows(docs, id_col, text_col), shingle, similarity))
+    ids = line_ids(docs, id_col, text_col) if ids is None else ids
+    lines = ids.select("doc", "h", F.posexplode("ids").alias("line_no", "id")).where(F.col("id").isNotNull())
     where = F.struct(F.col("doc").isNull().alias("none"), "doc", "h", "line_no")
-    first = join_checked(lines.select("doc", "h", "line_no", "id"), comp, "id", "left").groupBy(
+    first = join_checked(lines, comp, "id", "left").groupBy(
         F.coalesce("component", "id").alias("root")).agg(F.min(where).alias("at"))
     return first.groupBy("at.doc", "at.h").agg(F.sort_array(F.collect_list("at.line_no")).alias("keep"))
 
@@ -237,10 +260,10 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbers (from 0, blank ones counted) of those that stay. Null and empty texts have no lines."""
     n, = (own_name(docs, "n_lines"),)
     slim = docs.select(id_col, text_col)
-    t = text_or_empty(F.col(text_col))
-    counted = F.size(F.filter(F.split(t, "\n"), lambda x: ~_blank(x))).cast("long").alias(n)
-    carried = slim.select(id_col, counted, F.xxhash64(t).alias(own_name(slim, "text_hash")))  # no text moves
-    out, keep = _join_kept(slim, id_col, text_col, carried, **options)
+    ids = line_ids(slim, id_col, text_col)
+    counted = F.size(F.filter("ids", lambda x: x.isNotNull())).cast("long").alias(n)
+    carried = ids.select(F.col("doc").alias(id_col), counted, F.col("h").alias(own_name(slim, "text_hash")))  # no text moves
+    out, keep = _join_kept(slim, id_col, text_col, carried, ids=ids, **options)
     return out.select(
         id_col, n, (F.col(n) - F.size(keep)).alias("n_removed"), F.col(keep).alias("kept_lines"))
 

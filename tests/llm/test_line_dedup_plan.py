@@ -51,3 +51,39 @@ def test_report_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a\nb\na")], "n_lines long, text_hash string")
     row = linededup.dedup_report(docs, "n_lines", "text_hash").first()
     assert list(row) == [1, 3, 1, [0, 1]]
+
+
+def _shingle_sets(texts, shingle):
+    return [{t[i:i + shingle] for i in range(max(len(t) - shingle, 0) + 1)} for t in texts]
+
+
+def test_shingle_sets_and_parities(spark):
+    alphabet = "abc déf中\U0001f600gh\n"
+    texts = ["".join(alphabet[(i * j + j * j) % len(alphabet)] for j in range(n)) for i, n in enumerate(range(1, 60))]
+    sets = _shingle_sets(texts, 8)
+    text = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    got = {r["id"]: set(r["s"]) for r in text.select("id", linededup._shingles("line", 8).alias("s")).collect()}
+    assert [len(got[i]) for i in range(len(texts))] == [len(s) for s in sets]
+    for i in range(len(texts) - 1):
+        assert len(got[i] & got[i + 1]) == len(sets[i] & sets[i + 1])
+    for r in linededup._parities(text, 8).collect():
+        words = [0] * linededup.WORDS
+        for x in got[r["id"]]:
+            words[x & (linededup.WORDS - 1)] ^= 1 << (x >> 8 & 63)
+        assert r["size"] == len(sets[r["id"]]) and [w % (1 << 64) for w in r["odd"]] == words
+
+
+def test_shingles_are_slices_and_parity_rows_hold_several(spark):
+    text = spark.createDataFrame([(1, "x" * 100)], "id long, line string")
+    plan = linededup._parities(text, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
+    assert re.search(rf"explode\(sequence\(0, .*, Some\({linededup.STEP}\)", plan)
+
+
+def test_report_splits_no_text_after_the_components(spark, tmp_path):
+    docs = [(1, "one line here\n \ntwo"), (2, "one line here"), (None, None), (3, ""), (None, "two\n\nthree")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    report = linededup.dedup_report(spark.read.parquet(str(tmp_path / "d")))
+    assert "parquet" not in report._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"], r["kept_lines"]) for r in report.collect())
+    assert rows == [(0, 0, 0, []), (0, 2, 1, [2]), (1, 2, 0, [0, 2]), (2, 1, 1, []), (3, 0, 0, [])]
