@@ -7,15 +7,13 @@ Lines are compared by their sets of ``shingle``-character strings (a shorter lin
    A random hash XOR a constant is as random, so two lines agree at a position with probability equal to their Jaccard
    similarity. The constants start with different bits, so each position looks at another part of the hash range. The
    minima are plain aggregates, combined before the shuffle: no text moves.
-2. Banding. The 16 positions form a 4 x 4 grid; its rows, columns and the four diagonals ``column = row XOR s`` are
-   12 bands of 4. The bands share the 16 positions, so they are not independent: simulated, a pair at similarity 0.8
-   misses all bands with probability 0.014 at 40 shingles and 0.020 from 100 on.
+2. Banding. The 9 positions form a 3 x 3 grid; its rows, columns and both kinds of (wrapped) diagonals are 12 bands of 3,
+   the 12 lines of the affine plane of order 3. For a pair to miss all bands, no line may be among the positions that agree: at
+   similarity 0.8 and independent positions 0.0098 of the pairs (12 bands of 4 on a 4 x 4 grid, as it was, miss 0.020).
 3. Verification. Lines that share a band are verified on their whole shingle sets (as 64-bit hashes). First every line of a band group is
    compared with the smallest, then, in groups of more than one component, the lines of other components with a line
    drawn by hash; what still is in more than one component is compared across components (:func:`_across`). Lines of
-   one component need no more pairs. Two cheap tests come before: pairs whose
-   signatures agree at fewer than half of the positions (judged by 4 bits of each, a long in all) are not verified; at
-   similarity 0.8 that happens to 1 pair in 1,000. And a line's set is dealt once to 1,024 parity bits, whose difference
+   one component need no more pairs. A cheap test comes before: a line's set is dealt once to 1,024 parity bits, whose difference
    bounds that of the sets from below; pairs beyond what similarity 0.8 allows are out, without loss.
 4. Union-find over the links (:func:`framewise.llm.common.connected_components`) and one line kept per component: that of
    the smallest (id, hash of the text, line number), null ids last. Rows with the same id and text are one document
@@ -32,8 +30,7 @@ from pyspark.sql.window import Window
 from framewise.llm.common import connected_components, join_checked, more_components, own_name, text_or_empty
 from framewise.session import cut_lineage
 
-GRID = 4
-LEAST = 8  # signature positions that must agree for a pair to be verified
+GRID = 3
 TURNS = 1  # further times that band groups of several components are compared with one of their lines
 STEP = 4  # shingles of a line that are hashed, or dealt to parity bits, in one row
 WORDS = 16  # 64-bit words of a line's parity bits
@@ -49,7 +46,7 @@ def _constants() -> list[int]:
 def _bands() -> list[list[int]]:
     n = range(GRID)
     return ([[GRID * r + c for c in n] for r in n] + [[GRID * r + c for r in n] for c in n]
-            + [[GRID * r + (r ^ s) for r in n] for s in n])
+            + [[GRID * r + (r * k + s) % GRID for r in n] for k in (1, 2) for s in n])
 
 
 def _blank(line: Column) -> Column:
@@ -82,7 +79,7 @@ def _cut(code: Column, at: Column, shingle: int) -> Column:
 
 
 def signatures(lines: DataFrame, shingle: int) -> DataFrame:
-    """``(id, m0 .. m15)`` per distinct line."""
+    """``(id, m0 .. m8)`` per distinct line."""
     coded = lines.select("id", F.encode("line", "UTF-16BE").alias("code")).withColumn("last", _last(F.col("code"), shingle))
     at = F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at")
     starts = [F.least(F.col("at") + i, F.col("last")) for i in range(STEP)]  # the last shingle again changes no minimum
@@ -93,43 +90,30 @@ def signatures(lines: DataFrame, shingle: int) -> DataFrame:
 
 
 def _meetings(sig: DataFrame) -> DataFrame:
-    """``(band, id, sketch, n)``: the lines that share a band with another one, n in all; the sketch holds 4 bits of
-    each signature position."""
+    """``(band, id, n)``: the lines that share a band with another one, n in all."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{p}") for p in ps]) for b, ps in enumerate(_bands())])
-    sketch = F.lit(0).cast("long")
-    for p in range(GRID * GRID):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{p}").bitwiseAND(F.lit(15)).cast("long"), 4 * p))
-    rows = sig.select("id", sketch.alias("sketch"), F.explode(keys).alias("band"))
+    rows = sig.select("id", F.explode(keys).alias("band"))
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where(F.col("n") > 1)
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether enough of the sixteen 4-bit digits agree."""
-    x = a.bitwiseXOR(b)
-    for shift in (2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) <= GRID * GRID - LEAST
-
-
 def _first_pairs(met: DataFrame) -> DataFrame:
-    first = F.first(F.struct("id", "sketch")).over(Window.partitionBy("band").orderBy("id"))
-    return met.withColumn("o", first).where((F.col("o.id") != F.col("id")) & _alike(F.col("o.sketch"), F.col("sketch"))).select(
-        F.col("o.id").alias("a"), F.col("id").alias("b")).distinct()
+    return met.withColumn("a", F.min("id").over(Window.partitionBy("band"))).where(F.col("a") != F.col("id")).select(
+        "a", F.col("id").alias("b")).distinct()
 
 
 def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """``(band, id, sketch, n, c)``: the band groups that :func:`_first_pairs` did not cover wholly and whose lines are in
+    """``(band, id, n, c)``: the band groups that :func:`_first_pairs` did not cover wholly and whose lines are in
     more than one component."""
     at = join_checked(met.where(F.col("n") > 2), comp, "id", "left").select(
-        "band", "id", "sketch", "n", F.coalesce("component", "id").alias("c"))
+        "band", "id", "n", F.coalesce("component", "id").alias("c"))
     w = Window.partitionBy("band")
     return at.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi")
 
 
 def _again(mixed: DataFrame, turn: int) -> DataFrame:
     """``(a, b)``: in every mixed band group, one line drawn by hash and the lines of other components."""
-    hub = F.first(F.struct("id", "sketch", "c")).over(Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
-    return mixed.withColumn("o", hub).where((F.col("o.c") != F.col("c")) & _alike(F.col("o.sketch"), F.col("sketch"))).select(
+    hub = F.first(F.struct("id", "c")).over(Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
+    return mixed.withColumn("o", hub).where(F.col("o.c") != F.col("c")).select(
         F.least("o.id", "id").alias("a"), F.greatest("o.id", "id").alias("b")).distinct()
 
 
@@ -150,19 +134,23 @@ def _parities(text: DataFrame, shingle: int) -> DataFrame:
     """``(id, size, odd)``: a line's number of different shingles, and these dealt to 64 * WORDS bits, each the parity
     of its members. Where two sets differ in k members, their parities differ in at most k bits. A row holds STEP
     shingles before the rows of a line are combined."""
-    xs = [F.col(f"x{i}") for i in range(STEP)]
-
     def word(i: int) -> Column:
         out = F.lit(0).cast("long")
-        for x in xs:  # null behind the last shingle: no bit
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)).cast("int"))
-            out = out.bitwiseXOR(F.when(x.bitwiseAND(F.lit(WORDS - 1)) == i, bit).otherwise(F.lit(0).cast("long")))
+        for k in range(STEP):
+            out = out.bitwiseXOR(F.when(F.col(f"at{k}") == i, F.col(f"bit{k}")).otherwise(F.lit(0).cast("long")))
         return F.bit_xor(out).alias(f"w{i}")
 
+    def dealt(k: int) -> list[Column]:
+        x = F.col(f"x{k}")  # null behind the last shingle: no bit, in no word
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)).cast("int"))
+        return [F.coalesce(x.bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.lit(-1)).alias(f"at{k}"),
+                F.coalesce(bit, F.lit(0).cast("long")).alias(f"bit{k}")]
+
     sets = text.select("id", F.array_distinct(_shingles("line", shingle)).alias("s"))
     rows = sets.select("id", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(STEP))).alias("at")).select(
         "id", F.least(F.size("s") - F.col("at"), F.lit(STEP)).alias("n"),
-        *[F.get("s", F.col("at") + i).alias(f"x{i}") for i in range(STEP)])
+        *[F.get("s", F.col("at") + i).alias(f"x{i}") for i in range(STEP)]).select(
+        "id", "n", *[c for k in range(STEP) for c in dealt(k)])
     return rows.groupBy("id").agg(F.sum("n").alias("size"), *[word(i) for i in range(WORDS)]).select(
         "id", "size", F.struct(*[f"w{i}" for i in range(WORDS)]).alias("odd"))
 
@@ -187,18 +175,17 @@ def _near_pairs(pairs: DataFrame, odd: DataFrame, similarity: float) -> DataFram
 
 
 def _across(mixed: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, total)``: the pairs of lines of different components in the mixed band groups that signature digits and
-    parity bound allow, each in the first of the groups that it shares. Only rows of about 200 bytes meet, not texts or
-    sets; a group of n lines is dealt to ``n / BLOCK`` parts, each of which meets all of the group, so a hot group is
+    """``(a, b, total)``: the pairs of lines of different components in the mixed band groups that the parity bound
+    allows, each in the first of the groups that it shares. Only rows of about 200 bytes meet, not texts or sets; a group of n lines is dealt to ``n / BLOCK`` parts, each of which meets all of the group, so a hot group is
     many tasks."""
     keys = mixed.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("keys"))
     rows = mixed.join(odd.join(keys, "id"), "id")
     parts = F.ceil(F.col("n") / BLOCK).cast("long")
-    kept = F.struct("id", "c", "sketch", "size", "odd", "keys")
+    kept = F.struct("id", "c", "size", "odd", "keys")
     l = rows.select("band", F.pmod(F.xxhash64("id"), parts).alias("part"), kept.alias("x"))
     r = rows.select("band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), kept.alias("y"))
     met = l.join(r, ["band", "part"]).where(
-        (F.col("x.c") < F.col("y.c")) & _alike(F.col("x.sketch"), F.col("y.sketch")) & _near("x", "y", similarity)
+        (F.col("x.c") < F.col("y.c")) & _near("x", "y", similarity)
         & (F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("band")))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.size") + F.col("y.size")).alias("total"))
 
