@@ -150,3 +150,47 @@ def test_trees_keep_no_node_ids(spark, kind):
 
 def test_fits_run_at_the_same_time(spark):
     assert ml.make_estimator("gbt_clf", n_classes=3).getParallelism() == ml.FITS_AT_ONCE > 1
+
+
+def test_first_centres_are_sparks_without_its_fits(spark, monkeypatch):
+    """k-means|| of all starts in shared passes: the same centres as a fit of no steps, over several partitions of unlike size."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (3000, 2)) * [1.0, 3.0]
+    df = spark.createDataFrame([(*map(float, p),) for p in x], "x double, y double").repartition(5).where("x > -2 or y > 0")
+    vec, dim = un._scaled_vectors(df.persist(), ["x", "y"], None)
+    starts = [e for k in (2, 3, 7) for e in un._starts(k, 42, 4, 300)]
+    want = [np.array(e.fit(vec, {e.maxIter: 0}).clusterCenters()) for e in starts]
+    monkeypatch.setattr(un.KMeans, "fit", None)
+    placed = un._blocks(vec, dim)
+    for blocks in (placed, placed.repartition(3)):
+        for mine, theirs in zip(un._first_centers(blocks, dim, starts), want):
+            assert np.allclose(mine, theirs, rtol=0, atol=1e-12)
+    assert len(un._fit_all(vec, dim, starts)) == len(starts)
+
+
+def test_first_centres_of_few_distinct_rows(spark):
+    """Fewer distinct rows than centres: as many centres as there are, as in Spark."""
+    df = spark.createDataFrame([(float(i % 2), 1.0) for i in range(9)], "x double, y double").coalesce(1)
+    vec, dim = un._scaled_vectors(df, ["x", "y"], None)
+    starts = un._starts(3, 42, 3, 300)
+    own = [e.fit(vec) for e in starts]
+    for mine, model in zip(un._fit_all(vec, dim, starts), own):
+        assert np.allclose(mine.clusterCenters(), model.clusterCenters(), atol=1e-12)
+
+
+def test_random_numbers_are_the_jvms(spark):
+    from framewise.functions import jvm_random as r
+    for seed in (0, 42, -7, 2 ** 40 + 3):
+        java, own = spark._jvm.java.util.Random(seed), r.JavaRandom(seed)
+        assert [java.nextInt(), java.nextInt(7), java.nextInt(8), java.nextLong(), java.nextDouble()] == \
+            [own.next_int(), own.next_int(7), own.next_int(8), own.next_long(), own.next_double()]
+        one = r.XorShift(seed)
+        numbers = [one.next_double() for _ in range(900)]
+        assert r.doubles([seed, 1], 0, 900)[0].tolist() == numbers
+        assert r.doubles([1, seed], 333, 401)[1].tolist() == numbers[333:734]
+    for n, parts in ((1, 2), (5, 3), (60, 7), (5000, 3)):
+        df = spark.range(0, n, 1, parts)
+        sizes = [n * (p + 1) // parts - n * p // parts for p in range(parts)]
+        for seed in range(4):
+            p, i = r.take_one(sizes, seed)
+            assert sum(sizes[:p]) + i == df._jdf.javaRDD().takeSample(False, 1, seed)[0]
